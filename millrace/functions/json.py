@@ -29,9 +29,10 @@ def json_state(text: Column) -> Column:
 def keep_keys(settings: Column, keys: Sequence[str], rename: Mapping[str, str] | None = None) -> Column:
     """Only the listed keys of a settings map, renamed where asked."""
     kept = F.map_filter(settings, lambda key, _: key.isin(*keys))
-    for old, new in (rename or {}).items():
-        kept = F.transform_keys(kept, lambda key, _, old=old, new=new: F.when(key == old, new).otherwise(key))
-    return kept
+    if not rename:
+        return kept
+    names = F.create_map(*[F.lit(name) for pair in rename.items() for name in pair])
+    return F.transform_keys(kept, lambda key, _: F.coalesce(F.try_element_at(names, key), key))
 
 
 def drop_keys(settings: Column, keys: Sequence[str]) -> Column:

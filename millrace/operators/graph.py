@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.json import parse_dependencies
@@ -61,44 +61,43 @@ def topological_levels(tasks: DataFrame, edges: DataFrame, group: Sequence[str],
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
     are left to missing_dependencies and ignored here.
 
-    Runs one round per level, for all jobs together. A round marks the open edges whose
-    dependency was placed in the round before, and places the tasks without unmarked
-    edges. Only open edges are carried on, so the work shrinks from round to round. Each
-    round is staged, which keeps the plan flat and lets Spark broadcast a small frontier;
-    the driver sees two counts per round and no rows.
+    Runs one job per level, for all task graphs together. Round r marks the open edges
+    whose dependency was freed in the round before; a task is freed once all its edges
+    are marked, so its level is the round of its last mark. Only open edges go on to the
+    next round, and each round is staged, so the plan stays flat and Spark can choose the
+    join by the size of what was freed. The driver sees one count per round and no rows.
     """
     spark = tasks.sparkSession
-    node = [*group, key]
-    dep = [*group, "dep_key"]
-    placed = scratch_path(spark, "levels")
+    node, dep = [*group, key], [*group, "dep_key"]
+    path = scratch_path(spark, "rounds")
     nodes = tasks.select(*node).distinct()
     known = edges.select(*group, key, "dep_key").join(_nodes_as_deps(tasks, group, key), dep, "left_semi")
-    open_edges = stage(known.distinct(), "edges")
-
-    def place(frontier: DataFrame, level: int) -> DataFrame:
-        return stage(frontier.select(*node), "level", f"{placed}/level={level}")
-
-    level = 0
-    frontier = place(nodes.join(open_edges, node, "left_anti"), level)
-    remaining = open_edges.count()
-    while remaining:
-        reached = frontier.select(*group, F.col(key).alias("dep_key"), F.lit(True).alias("met"))
-        marked = stage(
-            open_edges.join(reached, dep, "left").withColumn("met", F.col("met").isNotNull()), "marked"
-        )
+
+    def staged(df: DataFrame, number: int) -> tuple[DataFrame, int]:
+        seen = Observation(f"open_edges_{number}")
+        counted = df.observe(seen, F.count_if(~F.col("met")).alias("open"))
+        result = stage(counted, "round", f"{path}/round={number}")
+        return result, seen.get["open"]
+
+    marked, remaining = staged(known.distinct().withColumn("met", F.lit(False)), 0)
+    roots = nodes.join(marked, node, "left_anti").select(*node)
+    freed, number, moved = roots, 0, remaining
+    while remaining and moved:
+        reached = freed.select(*group, F.col(key).alias("dep_key"), F.lit(True).alias("reached"))
         open_edges = marked.filter(~F.col("met")).drop("met")
-        still_open = open_edges.count()
-        if still_open == remaining:
-            break
-        remaining = still_open
-        level += 1
-        free = marked.groupBy(*node).agg(F.bool_and("met").alias("free")).filter("free")
-        frontier = place(free, level)
-    done = spark.read.parquet(placed).select(*node, F.col("level").cast("int").alias("level"))
-    if not remaining:
-        return done
-    stuck = open_edges.select(*node).distinct().withColumn("level", F.lit(None).cast("int"))
-    return done.unionByName(stuck)
+        joined = open_edges.join(reached, dep, "left")
+        number += 1
+        marked, left = staged(
+            joined.select(*node, "dep_key", F.col("reached").isNotNull().alias("met")), number
+        )
+        moved, remaining = remaining - left, left
+        freed = marked.groupBy(*node).agg(F.bool_and("met").alias("free")).filter("free").select(*node)
+    # The marked edges of every round, and the edges the last round left open.
+    history = spark.read.parquet(path).filter(F.col("met") | (F.col("round") == number))
+    levels = history.groupBy(*node).agg(F.max("round").alias("last"), F.bool_and("met").alias("placed"))
+    return roots.withColumn("level", F.lit(0)).unionByName(
+        levels.select(*node, F.when(F.col("placed"), F.col("last")).cast("int").alias("level"))
+    )
 
 
 def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -7,12 +7,14 @@ bounded by the number of rules, whatever the size of the group.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.json import json_state, parse_dependencies
 from millrace.functions.text import clean_key, commands_have_prefix
-from millrace.operators.settings import setting, without_placeholder
+from millrace.operators.settings import without_placeholder
 
 # Task types and the fields each of them needs ("a|b": one of them).
 REQUIRED_FIELDS = {
@@ -30,7 +32,7 @@ COMMAND_TYPE = "dbt"
 
 
 def blank(value: Column) -> Column:
-    return value.isNull() | (value == "")
+    return value.isNull() | (value.cast("string") == "")
 
 
 def reasons(rules: Mapping[str, Column]) -> Column:
@@ -59,24 +61,34 @@ def known_type(task_type: Column) -> Column:
     return task_type.isin(*TASK_TYPES)
 
 
-def type_rules(
-    task_type: Column, config: Column, default_warehouse: Column | None = None
-) -> dict[str, Column]:
-    """Rules on the type and on the fields it needs, over a JSON settings column."""
+def type_rules(task_type: Column, fields: Column, default_warehouse: Column | None = None) -> dict[str, Column]:
+    """Rules on the type and on the fields it needs, over settings parsed to map<string,string>."""
     fallback = default_warehouse if default_warehouse is not None else F.lit(None).cast("string")
+    field_of = lambda name: F.try_element_at(fields, F.lit(name))
     rules = {"unknown_type": ~known_type(task_type)}
-    for kind, fields in REQUIRED_FIELDS.items():
-        for field in fields:
-            given = F.coalesce(*[F.nullif(setting(config, name), F.lit("")) for name in field.split("|")])
-            rules[f"{kind}:missing:{field}"] = (task_type == kind) & given.isNull()
-    warehouse = without_placeholder(setting(config, "warehouse_id"), fallback)
+    for kind, names in REQUIRED_FIELDS.items():
+        for name in names:
+            absent = [blank(field_of(choice)) for choice in name.split("|")]
+            rules[f"{kind}:missing:{name}"] = (task_type == kind) & reduce(and_, absent)
+    warehouse = without_placeholder(field_of("warehouse_id"), fallback)
     rules["missing:warehouse_id"] = task_type.isin(*WAREHOUSE_TYPES) & blank(warehouse)
-    text = setting(config, "commands")
+    text = field_of("commands")
     commands = F.coalesce(F.from_json(text, "array<string>"), F.array(text))
     rules["bad_command"] = (task_type == COMMAND_TYPE) & text.isNotNull() & ~commands_have_prefix(commands)
     return rules
 
 
+def with_type_reasons(
+    tasks: DataFrame,
+    task_type: str = "task_type",
+    config: str = "task_config",
+    default_warehouse: Column | None = None,
+) -> DataFrame:
+    """Add the reasons of type_rules; the JSON settings of a row are parsed once for all rules."""
+    parsed = tasks.withColumn("_fields", F.from_json(config, "map<string,string>"))
+    return with_reasons(parsed, type_rules(F.col(task_type), F.col("_fields"), default_warehouse)).drop("_fields")
+
+
 def dependency_rules(depends_on: Column) -> dict[str, Column]:
     """Rules on a dependency list: valid JSON, and an array of strings."""
     state = json_state(depends_on)

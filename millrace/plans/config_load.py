@@ -21,7 +21,7 @@ from millrace.operators.graph import (
 )
 from millrace.operators.merge import Audit, action_counts, reconcile
 from millrace.operators.settings import job_settings, task_settings
-from millrace.operators.validate import blank, dependency_rules, reasons, repeated_keys, type_rules
+from millrace.operators.validate import blank, dependency_rules, reasons, repeated_keys, with_type_reasons
 from millrace.schemas import CONTROL, CONTROL_KEYS
 
 GROUP, KEY = "resource_id", "task_key"
@@ -141,8 +141,9 @@ def _prepared(
 ) -> tuple[DataFrame, DataFrame]:
     rows = task_rows(job_rows(jobs, variables))
     if strict:
-        checks = reasons(type_rules(F.col("task_type"), F.col("task_config"), warehouse))
-        rows = rows.withColumn("reasons", F.concat("reasons", F.when(F.col(KEY).isNull(), F.array()).otherwise(checks)))
+        own = rows.withColumnRenamed("reasons", "_own")
+        typed = F.when(F.col("task_type").isNull(), F.array().cast("array<string>")).otherwise(F.col("reasons"))
+        rows = with_type_reasons(own, default_warehouse=warehouse).withColumn("reasons", F.concat("_own", typed)).drop("_own")
     return rows, with_graph_reasons(rows)
 
 

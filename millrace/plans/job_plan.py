@@ -20,7 +20,7 @@ from millrace.operators.settings import (
     with_task_settings,
     without_placeholder,
 )
-from millrace.operators.validate import reasons, type_rules
+from millrace.operators.validate import with_type_reasons
 
 GROUP, KEY = "resource_id", "task_key"
 
@@ -52,14 +52,13 @@ def task_plan(control: DataFrame, default_warehouse: Column | None = None) -> Da
     config = F.col("task_config")
     levels = topological_levels(control, dependency_edges(control), [GROUP], KEY)
     return (
-        with_task_settings(control)
+        with_type_reasons(with_task_settings(control), default_warehouse=warehouse)
         .withColumns(
             {
                 "cleaned_key": clean_key(F.col(KEY)),
                 "warehouse_id": without_placeholder(setting(config, "warehouse_id"), warehouse),
                 "file_source": file_source(setting(config, "file_source")),
                 "parameters": normalised_parameters(F.col("task_type"), setting(config, "parameters")),
-                "reasons": reasons(type_rules(F.col("task_type"), config, warehouse)),
             }
         )
         .join(levels, [GROUP, KEY], "left")
