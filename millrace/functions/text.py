@@ -74,5 +74,5 @@ def commands_have_prefix(commands: Column, prefixes: tuple[str, ...] = COMMAND_P
 
 def display_name(name: Column, resource_id: Column, prefix: str = "") -> Column:
     """The job's name, or its id when it has none, after a prefix."""
-    shown = F.coalesce(name, resource_id)
+    shown = F.coalesce(name, resource_id.cast("string"))
     return F.concat(F.lit(prefix), shown) if prefix else shown

@@ -23,6 +23,7 @@ from millrace.operators.merge import Audit, action_counts, reconcile
 from millrace.operators.settings import job_settings, task_settings
 from millrace.operators.validate import blank, dependency_rules, reasons, repeated_keys, with_type_reasons
 from millrace.schemas import CONTROL, CONTROL_KEYS
+from millrace.sources.staging import stage
 
 GROUP, KEY = "resource_id", "task_key"
 
@@ -39,7 +40,6 @@ def job_rows(jobs: DataFrame, variables: Mapping[str, Any] | Column | None = Non
         fill_template(F.col("job"), variables).alias("text"),
     )
     job = F.from_json("text", "map<string,variant>")
-    tasks = F.try_variant_get(F.try_element_at(job, F.lit("tasks")), "$", "array<variant>")
     rules = {
         "undefined_variable": F.col("unknown"),
         "job_not_a_mapping": F.col("reason").isNull() & ~F.col("unknown") & F.col("job").isNull(),
@@ -97,7 +97,7 @@ def task_rows(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", F.concat("job_reasons", reasons(own))).drop("job_reasons", "_task")
 
 
-def with_graph_reasons(rows: DataFrame) -> DataFrame:
+def graph_reasons(rows: DataFrame) -> DataFrame:
     """(path, resource_id, task_key, reason): row reasons, repeated keys and graph errors."""
     tasks = rows.filter(F.col(KEY).isNotNull())
     edges = dependency_edges(tasks)
@@ -144,7 +144,9 @@ def _prepared(
         own = rows.withColumnRenamed("reasons", "_own")
         typed = F.when(F.col("task_type").isNull(), F.array().cast("array<string>")).otherwise(F.col("reasons"))
         rows = with_type_reasons(own, default_warehouse=warehouse).withColumn("reasons", F.concat("_own", typed)).drop("_own")
-    return rows, with_graph_reasons(rows)
+    # Rows are read by every check and by the merge: parsed once, then staged.
+    rows = stage(rows, "task-rows")
+    return rows, stage(graph_reasons(rows), "problems")
 
 
 def _merged(control: DataFrame, accepted: DataFrame, as_of: Column, user: Column, scope: str) -> DataFrame:
