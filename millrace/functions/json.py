@@ -40,16 +40,18 @@ def drop_keys(settings: Column, keys: Sequence[str]) -> Column:
     return F.map_filter(settings, lambda key, _: ~key.isin(*keys))
 
 
+def dependency_list(value: Column) -> Column:
+    """A parsed dependency value as array<string>: JSON null is empty, other than strings NULL."""
+    shape = F.schema_of_variant(value)
+    items = F.try_variant_get(value, "$", "array<string>")
+    strings = shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(items, lambda item: item.isNotNull())
+    return F.when(shape == "VOID", F.array().cast("array<string>")).when(strings, items)
+
+
 def parse_dependencies(text: Column) -> Column:
     """A JSON array of strings; NULL text or JSON null is an empty list, anything else NULL."""
-    value = F.try_parse_json(text)
-    items = F.try_variant_get(value, "$", "array<variant>")
-    strings = F.forall(items, lambda item: F.schema_of_variant(item) == "STRING")
     empty = F.array().cast("array<string>")
-    return (
-        F.when(text.isNull() | F.is_variant_null(value), empty)
-        .when(strings, F.try_variant_get(value, "$", "array<string>"))
-    )
+    return F.when(text.isNull(), empty).otherwise(dependency_list(F.try_parse_json(text)))
 
 
 def parameters_as_strings(parameters: Column) -> Column:

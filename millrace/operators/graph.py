@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
-from millrace.functions.json import parse_dependencies
+from millrace.functions.json import dependency_list
 from millrace.functions.text import clean_key
 from millrace.sources.staging import scratch_path, stage
 
@@ -26,10 +26,11 @@ def dependency_edges(
 
     With clean=True keys and dependencies are cleaned alike.
     """
-    deps = F.col(depends_on)
     if isinstance(tasks.schema[depends_on].dataType, StringType):
-        deps = parse_dependencies(deps)
-    edges = tasks.select(*group, key, F.explode(deps).alias("dep_key"))
+        parsed = tasks.select(*group, key, F.try_parse_json(depends_on).alias("_value"))
+        edges = parsed.select(*group, key, F.explode(dependency_list(F.col("_value"))).alias("dep_key"))
+    else:
+        edges = tasks.select(*group, key, F.explode(depends_on).alias("dep_key"))
     if clean:
         edges = edges.withColumns({key: clean_key(F.col(key)), "dep_key": clean_key(F.col("dep_key"))})
     return edges.distinct()

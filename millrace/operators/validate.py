@@ -12,7 +12,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.json import json_state, parse_dependencies
+from millrace.functions.json import dependency_list
 from millrace.functions.text import clean_key, commands_have_prefix
 from millrace.operators.settings import without_placeholder
 
@@ -89,15 +89,20 @@ def with_type_reasons(
     return with_reasons(parsed, type_rules(F.col(task_type), F.col("_fields"), default_warehouse)).drop("_fields")
 
 
-def dependency_rules(depends_on: Column) -> dict[str, Column]:
-    """Rules on a dependency list: valid JSON, and an array of strings."""
-    state = json_state(depends_on)
+def dependency_rules(value: Column, given: Column) -> dict[str, Column]:
+    """Rules on a dependency list: valid JSON (value is parsed, given its text), and an array of strings."""
     return {
-        "broken_depends_on": state == "broken",
-        "depends_on_not_a_list_of_keys": (state != "broken") & parse_dependencies(depends_on).isNull(),
+        "broken_depends_on": given.isNotNull() & value.isNull(),
+        "depends_on_not_a_list_of_keys": value.isNotNull() & dependency_list(value).isNull(),
     }
 
 
+def with_dependency_reasons(tasks: DataFrame, depends_on: str = "depends_on") -> DataFrame:
+    """Add the reasons of dependency_rules; the text of a row is parsed once."""
+    parsed = tasks.withColumn("_value", F.try_parse_json(depends_on))
+    return with_reasons(parsed, dependency_rules(F.col("_value"), F.col(depends_on))).drop("_value")
+
+
 def key_collisions(tasks: DataFrame, group: Sequence[str], key: str) -> DataFrame:
     """(group, cleaned_key, keys) for cleaned keys that stand for several task keys."""
     return (

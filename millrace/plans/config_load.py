@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.text import display_name, fill_template, undefined_variables
+from millrace.functions.text import display_name, fill_template
 from millrace.operators.graph import (
     cyclic_groups,
     dependency_edges,
@@ -29,32 +29,32 @@ GROUP, KEY = "resource_id", "task_key"
 
 
 def job_rows(jobs: DataFrame, variables: Mapping[str, Any] | Column | None = None) -> DataFrame:
-    """(path, resource_id, job, reasons): templates filled, the job parsed into a settings map."""
+    """(path, resource_id, job, tasks, job_reasons): templates filled, the job parsed to a settings map."""
     variables = variables if variables is not None else {}
-    unknown = F.size(undefined_variables(F.concat_ws("\n", "resource_id", "job"), variables)) > 0
     filled = jobs.select(
         "path",
         "reason",
-        unknown.alias("unknown"),
-        F.coalesce(fill_template(F.col("resource_id"), variables), F.col("resource_id")).alias("resource_id"),
-        fill_template(F.col("job"), variables).alias("text"),
+        F.col(GROUP).alias("_id"),
+        fill_template(F.col(GROUP), variables).alias(GROUP),
+        F.col("job").isNotNull().alias("_given"),
+        fill_template(F.col("job"), variables).alias("_text"),
     )
-    job = F.from_json("text", "map<string,variant>")
+    parsed = filled.withColumn("job", F.from_json("_text", "map<string,variant>"))
+    listed = parsed.withColumn(
+        "tasks", F.try_variant_get(F.try_element_at("job", F.lit("tasks")), "$", "array<variant>")
+    )
+    unknown = F.col("_given") & (F.col("_text").isNull() | F.col(GROUP).isNull())
     rules = {
-        "undefined_variable": F.col("unknown"),
-        "job_not_a_mapping": F.col("reason").isNull() & ~F.col("unknown") & F.col("job").isNull(),
+        "undefined_variable": unknown,
+        "job_not_a_mapping": F.col("_given") & F.col("_text").isNotNull() & F.col("job").isNull(),
         "no_tasks": F.col("job").isNotNull() & (F.coalesce(F.size("tasks"), F.lit(0)) < 1),
     }
-    return (
-        filled.select("path", "reason", "unknown", "resource_id", job.alias("job"))
-        .withColumn("tasks", F.try_variant_get(F.try_element_at("job", F.lit("tasks")), "$", "array<variant>"))
-        .select(
-            "path",
-            "resource_id",
-            "job",
-            "tasks",
-            F.array_compact(F.concat(F.array("reason"), reasons(rules))).alias("job_reasons"),
-        )
+    return listed.select(
+        "path",
+        F.coalesce(GROUP, "_id").alias(GROUP),
+        "job",
+        "tasks",
+        F.array_compact(F.concat(F.array("reason"), reasons(rules))).alias("job_reasons"),
     )
 
 
@@ -66,35 +66,40 @@ def task_rows(jobs: DataFrame) -> DataFrame:
     """One control row per task, with the reasons of its job and its own."""
     job = F.col("job")
     name = F.try_variant_get(F.try_element_at(job, F.lit("name")), "$", "string")
-    tasks = jobs.select(
+    named = jobs.select(
         "path",
         GROUP,
         display_name(name, F.col(GROUP)).alias("job_name"),
         job_settings(job).alias("job_config"),
         "job_reasons",
-        F.explode_outer("tasks").alias("task"),
+        "tasks",
     )
     task = F.col("task")
-    deps = F.try_variant_get(task, "$.depends_on", "variant")
-    rows = tasks.select(
+    tasks = named.withColumn("task", F.explode_outer("tasks")).withColumns(
+        {
+            KEY: _text(task, "task_key"),
+            "task_type": _text(task, "task_type"),
+            "_deps": F.try_variant_get(task, "$.depends_on", "variant"),
+        }
+    )
+    deps, there = F.col("_deps"), task.isNotNull()
+    own = {
+        "missing:task_key": there & blank(F.col(KEY)),
+        "missing:task_type": there & blank(F.col("task_type")),
+        **dependency_rules(deps, deps),
+    }
+    return tasks.select(
         "path",
         GROUP,
         "job_name",
-        _text(task, "task_key").alias(KEY),
+        KEY,
         F.when(deps.isNull() | F.is_variant_null(deps), "[]").otherwise(F.to_json(deps)).alias("depends_on"),
-        _text(task, "task_type").alias("task_type"),
+        "task_type",
         "job_config",
         task_settings(F.try_variant_get(task, "$", "map<string,variant>")).alias("task_config"),
         F.coalesce(F.try_variant_get(task, "$.disabled", "boolean"), F.lit(False)).alias("disabled"),
-        "job_reasons",
-        task.isNotNull().alias("_task"),
+        F.concat("job_reasons", reasons(own)).alias("reasons"),
     )
-    own = {
-        "missing:task_key": F.col("_task") & blank(F.col(KEY)),
-        "missing:task_type": F.col("_task") & blank(F.col("task_type")),
-        **dependency_rules(F.col("depends_on")),
-    }
-    return rows.withColumn("reasons", F.concat("job_reasons", reasons(own))).drop("job_reasons", "_task")
 
 
 def graph_reasons(rows: DataFrame) -> DataFrame:

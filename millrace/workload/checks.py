@@ -71,7 +71,7 @@ def dependency_lists(spark, d):
         .when(k < 70, F.lit("[1]")).when(k < 80, F.lit("[oops"))
     )
     events = table(spark, d, "events").select("event_id", depends_on.alias("depends_on"))
-    return _codes(v.with_reasons(events, v.dependency_rules(F.col("depends_on"))), "event_id")
+    return _codes(v.with_dependency_reasons(events), "event_id")
 
 
 def _turns(spark, d, shortest):
