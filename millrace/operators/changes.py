@@ -34,16 +34,14 @@ def changes_since(
     """
     changed = newer_than(control, updated, watermark)
     kind = control.schema[key].dataType
-    entry = lambda task, action: F.struct(task.cast(kind).alias(key), F.lit(action).alias("action"))
-    nothing = F.lit(None)
-    entries = F.array_compact(
-        F.array(
-            entry(nothing, "updated"),
-            F.when(F.col(created) == F.col(updated), entry(F.col(key), "new")),
-            F.when(F.col(disabled), entry(nothing, "disabled")),
-        )
+    nobody = F.lit(None).cast(kind)
+    made = F.col(created) == F.col(updated)
+    entries = F.array(
+        F.struct(nobody.alias(key), F.lit("updated").alias("action")),
+        F.struct(F.col(key).alias(key), F.when(made, "new").alias("action")),
+        F.struct(nobody.alias(key), F.when(F.col(disabled), "disabled").alias("action")),
     )
-    return changed.select(group, F.inline(entries)).distinct()
+    return changed.select(group, F.inline(entries)).filter("action IS NOT NULL").distinct()
 
 
 def next_watermark(rows_read: DataFrame, updated: str = "updated_timestamp") -> DataFrame:

@@ -36,8 +36,12 @@ def blank(value: Column) -> Column:
 
 
 def reasons(rules: Mapping[str, Column]) -> Column:
-    """Codes of the rules a row breaks; a rule that is NULL is not broken."""
-    return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules.items()]))
+    """Codes of the rules a row breaks; a rule that is NULL is not broken.
+
+    concat_ws drops the NULLs inside generated code; only rows with codes are split.
+    """
+    joined = F.concat_ws("\n", *[F.when(broken, F.lit(code)) for code, broken in rules.items()])
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\n"))
 
 
 def with_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

@@ -54,7 +54,7 @@ def job_rows(jobs: DataFrame, variables: Mapping[str, Any] | Column | None = Non
         F.coalesce(GROUP, "_id").alias(GROUP),
         "job",
         "tasks",
-        F.array_compact(F.concat(F.array("reason"), reasons(rules))).alias("job_reasons"),
+        F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(reasons(rules)).alias("job_reasons"),
     )
 
 

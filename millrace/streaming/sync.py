@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from millrace.operators.merge import merge
 from millrace.operators.validate import quarantine
+from millrace.sinks.partitions import merge_partitions
+from millrace.sources.staging import stage
 from millrace.streaming.flows import trigger
 
 SEED = -1
@@ -56,13 +58,36 @@ def merge_flow(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = snapshot(spark, root, schema, batch_id)
-        merged = merge(target, prepare(batch), keys, **merge_options)
+        merged = merge(target, stage(prepare(batch), "source"), keys, **merge_options)
         merged.write.mode("overwrite").parquet(snapshot_path(root, batch_id))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return trigger(writer, interval).start()
 
 
+def partition_merge_flow(
+    stream: DataFrame,
+    path: str,
+    schema: StructType,
+    keys: list[str],
+    partition_by: list[str],
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    interval: str | None = None,
+    **merge_options,
+) -> StreamingQuery:
+    """Merge each micro-batch into a partitioned table, rewriting only the partitions it touches.
+
+    For tables too large for whole snapshots. Merging a batch again gives the same rows.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        merge_partitions(batch.sparkSession, path, schema, prepare(batch), keys, partition_by, **merge_options)
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return trigger(writer, interval).start()
+
+
 def quarantine_flow(
     stream: DataFrame,
     check: Callable[[DataFrame], DataFrame],

@@ -87,7 +87,22 @@ def stream_config(spark, d):
     return sync.snapshot(spark, root, control.schema)
 
 
+def stream_partitions(spark, d):
+    """Orders arrive again with new prices and are merged into a table partitioned by year."""
+    orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    old = orders.filter(F.col("o_orderdate") < at("2000-01-01"))
+    new = orders.filter(F.col("o_orderdate") >= at("1999-01-01")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    path, checkpoint = scratch_path(spark, "orders"), scratch_path(spark, "orders-checkpoint")
+    old.write.partitionBy("year").parquet(path)
+    arrivals = flows.file_arrivals(spark, _folder(new, "arrivals", 4), new.schema, files_per_batch=2)
+    sync.partition_merge_flow(
+        arrivals, path, orders.schema, ["year", "o_orderkey"], ["year"], checkpoint
+    ).awaitTermination()
+    return spark.read.schema(orders.schema).parquet(path)
+
+
 QUERIES = {
+    "stream_partitions": stream_partitions,
     "stream_silver": stream_silver,
     "stream_merge": stream_merge,
     "stream_accepted": stream_accepted,
@@ -98,6 +113,9 @@ QUERIES = {
 _BAD = "WITH bad AS (SELECT DISTINCT conv_id FROM conversations WHERE length(text) < 60)"
 
 SQL = {
+    "stream_partitions": """
+        SELECT * REPLACE (CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN o_totalprice + 1 ELSE o_totalprice END
+                          AS o_totalprice), CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""",
     "stream_silver": """
         SELECT event_id, ts, user_id, upper(event_type) AS event_type, value FROM events
         WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND value > 0""",
