@@ -35,6 +35,11 @@ def blank(value: Column) -> Column:
     return value.isNull() | (value.cast("string") == "")
 
 
+def unset(setting: Column) -> Column:
+    """True for settings, as JSON text, that are missing or empty."""
+    return setting.isNull() | setting.isin("", "[]", "{}")
+
+
 def reasons(rules: Mapping[str, Column]) -> Column:
     """Codes of the rules a row breaks; a rule that is NULL is not broken.
 
@@ -72,13 +77,13 @@ def type_rules(task_type: Column, fields: Column, default_warehouse: Column | No
     rules = {"unknown_type": ~known_type(task_type)}
     for kind, names in REQUIRED_FIELDS.items():
         for name in names:
-            absent = [blank(field_of(choice)) for choice in name.split("|")]
+            absent = [unset(field_of(choice)) for choice in name.split("|")]
             rules[f"{kind}:missing:{name}"] = (task_type == kind) & reduce(and_, absent)
     warehouse = without_placeholder(field_of("warehouse_id"), fallback)
     rules["missing:warehouse_id"] = task_type.isin(*WAREHOUSE_TYPES) & blank(warehouse)
     text = field_of("commands")
     commands = F.coalesce(F.from_json(text, "array<string>"), F.array(text))
-    rules["bad_command"] = (task_type == COMMAND_TYPE) & text.isNotNull() & ~commands_have_prefix(commands)
+    rules["bad_command"] = (task_type == COMMAND_TYPE) & ~unset(text) & ~commands_have_prefix(commands)
     return rules
 
 

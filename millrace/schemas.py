@@ -2,62 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 # Column names and types of the tables users already have.
-CONTROL_DDL = """
-    resource_id STRING,
-    job_name STRING,
-    task_key STRING,
-    depends_on STRING,
-    task_type STRING,
-    job_config STRING,
-    task_config STRING,
-    disabled BOOLEAN,
-    created_by STRING,
-    created_timestamp TIMESTAMP,
-    updated_by STRING,
-    updated_timestamp TIMESTAMP
-"""
-ID_MAP_DDL = """
-    resource_id STRING,
-    job_id BIGINT,
-    job_name STRING,
-    created_by STRING,
-    created_timestamp TIMESTAMP,
-    updated_by STRING,
-    updated_timestamp TIMESTAMP
-"""
-BRONZE_SALES_DDL = """
-    order_id STRING,
-    customer_id STRING,
-    product_id STRING,
-    order_date DATE,
-    quantity INT,
-    unit_price DECIMAL(10,2),
-    revenue DECIMAL(12,2),
-    status STRING,
-    processed_at TIMESTAMP
-"""
-CUSTOMER_DDL = """
-    customer_id STRING,
-    first_name STRING,
-    last_name STRING,
-    email STRING,
-    registration_date STRING,
-    status STRING
-"""
-AUDIT_COLUMNS = ("created_by", "created_timestamp", "updated_by", "updated_timestamp")
-
+CONTROL_FIELDS = {
+    "resource_id": "string",
+    "job_name": "string",
+    "task_key": "string",
+    "depends_on": "string",
+    "task_type": "string",
+    "job_config": "string",
+    "task_config": "string",
+    "disabled": "boolean",
+    "created_by": "string",
+    "created_timestamp": "timestamp",
+    "updated_by": "string",
+    "updated_timestamp": "timestamp",
+}
+ID_MAP_FIELDS = {
+    "resource_id": "string",
+    "job_id": "bigint",
+    "job_name": "string",
+    "created_by": "string",
+    "created_timestamp": "timestamp",
+    "updated_by": "string",
+    "updated_timestamp": "timestamp",
+}
+BRONZE_SALES_FIELDS = {
+    "order_id": "string",
+    "customer_id": "string",
+    "product_id": "string",
+    "order_date": "date",
+    "quantity": "int",
+    "unit_price": "decimal(10,2)",
+    "revenue": "decimal(12,2)",
+    "status": "string",
+    "processed_at": "timestamp",
+}
+CUSTOMER_FIELDS = {
+    "customer_id": "string",
+    "first_name": "string",
+    "last_name": "string",
+    "email": "string",
+    "registration_date": "string",
+    "status": "string",
+}
 CONTROL_KEYS = ("resource_id", "task_key")
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def schema(fields: dict[str, str]) -> StructType:
+    result = StructType()
+    for name, kind in fields.items():
+        result = result.add(name, {"bigint": "long", "int": "integer"}.get(kind, kind))
+    return result
 
 
-CONTROL = schema(CONTROL_DDL)
-ID_MAP = schema(ID_MAP_DDL)
-BRONZE_SALES = schema(BRONZE_SALES_DDL)
-SILVER_SALES = T.StructType(BRONZE_SALES.fields + [T.StructField("updated_at", T.TimestampType())])
-CUSTOMER = schema(CUSTOMER_DDL)
+CONTROL = schema(CONTROL_FIELDS)
+ID_MAP = schema(ID_MAP_FIELDS)
+BRONZE_SALES = schema(BRONZE_SALES_FIELDS)
+SILVER_SALES = schema({**BRONZE_SALES_FIELDS, "updated_at": "timestamp"})
+CUSTOMER = schema(CUSTOMER_FIELDS)

@@ -21,7 +21,10 @@ _JOB_SCHEMA = "path string, resource_id string, job string, reason string"
 
 
 def read_documents(spark: SparkSession, folder: str, glob: str = YAML_GLOB) -> DataFrame:
-    """(path, content) for every document below folder, sub-folders included."""
+    """(path, content) for every document below folder, sub-folders included.
+
+    A file of no bytes holds no document and gives no row.
+    """
     return (
         spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
