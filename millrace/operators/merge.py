@@ -101,21 +101,22 @@ def _full(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFram
 def _left(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target left join source, then the source rows whose key the target lacks.
 
-    The check for repeated matches tests an aggregate of the matched keys: a filter on the
-    counts alone would be moved below the join and see unmatched rows too.
+    The second pass over the target reads its key columns alone. The check for repeated
+    matches tests an aggregate of the matched keys: a filter on the counts alone would be
+    moved below the join and see unmatched rows too.
     """
-    key_columns = [f"_s_{k}" for k in keys] + ["_s__spread"]
-    counted = source.groupBy(*key_columns).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = lambda left, right: reduce(and_, [F.col(f"{left}{k}") == F.col(f"{right}{k}") for k in keys])
+    counted = source.groupBy(*[F.col(f"_s_{k}").alias(f"_m_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     matched = (
-        target.select(*[f"_t_{k}" for k in keys], "_t__spread")
-        .join(counted, _on("_t_", "_s_", keys))
-        .groupBy(*[F.col(c).alias(c.replace("_s_", "_m_", 1)) for c in key_columns])
+        target.select(*[f"_t_{k}" for k in keys])
+        .join(counted, pairs("_t_", "_m_"))
+        .groupBy(*[f"_m_{k}" for k in keys])
         .agg(F.max("_n").alias("_n"))
         .filter(_once(F.col("_n") > 1, keys))
         .drop("_n")
     )
     known = target.join(source, _on("_t_", "_s_", keys), "left_outer")
-    added = source.join(matched, _on("_s_", "_m_", keys), "left_anti")
+    added = source.join(matched, pairs("_s_", "_m_"), "left_anti")
     return known.unionByName(added, allowMissingColumns=True)
 
 
