@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.temporal import or_epoch, whole_hours
 
-MONEY = "decimal(18,2)"
-
 
 def daily_summary(sales: DataFrame, as_of: Column, done: str = "COMPLETED") -> DataFrame:
     """Per order_date: orders, revenue, quantity, customers, mean order value, orders done.
 
-    Money is summed as decimals, so the result does not depend on the order of the rows.
+    Revenue is summed in its own type: decimals exactly (and, up to decimal(8,s), as
+    longs), doubles in whatever order the rows come.
     """
-    revenue = F.col("revenue").cast(MONEY)
+    revenue = F.col("revenue")
     return sales.groupBy("order_date").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum(revenue).alias("total_revenue"),

@@ -72,7 +72,10 @@ def topological_levels(tasks: DataFrame, edges: DataFrame, group: Sequence[str],
     node, dep = [*group, key], [*group, "dep_key"]
     path = scratch_path(spark, "rounds")
     nodes = tasks.select(*node).distinct()
-    known = edges.select(*group, key, "dep_key").join(_nodes_as_deps(tasks, group, key), dep, "left_semi")
+    # Distinct before the join: after it, the join's partitioning would be kept for the
+    # aggregation, and a dependency that most edges share could not be split.
+    distinct = edges.select(*group, key, "dep_key").distinct()
+    known = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
 
     def staged(df: DataFrame, number: int) -> tuple[DataFrame, int]:
         seen = Observation(f"open_edges_{number}")
@@ -80,7 +83,7 @@ def topological_levels(tasks: DataFrame, edges: DataFrame, group: Sequence[str],
         result = stage(counted, "round", f"{path}/round={number}")
         return result, seen.get["open"]
 
-    marked, remaining = staged(known.distinct().withColumn("met", F.lit(False)), 0)
+    marked, remaining = staged(known.withColumn("met", F.lit(False)), 0)
     roots = nodes.join(marked, node, "left_anti").select(*node)
     freed, number, moved = roots, 0, remaining
     while remaining and moved:

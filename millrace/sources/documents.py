@@ -33,7 +33,7 @@ def read_documents(spark: SparkSession, folder: str, glob: str = YAML_GLOB) -> D
 
 def _yaml_jobs(path: str, content: str) -> Iterator[tuple]:
     try:
-        document = yaml.safe_load(content)
+        document = yaml.load(content, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         yield path, None, None, "invalid_document"
         return

@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.temporal import at as moment
-from millrace.operators.transform import present_and_positive
 from millrace.plans import config_load, job_plan as plan
 from millrace.plans.tasks import ingest_rows
 from millrace.operators.validate import load_status
 from millrace.sinks.tables import write_verified
-from millrace.sources.documents import json_jobs
+from millrace.sources.documents import json_jobs, yaml, yaml_jobs
 from millrace.sources.staging import scratch_path
 from millrace.workload import at, table
 
@@ -143,6 +142,13 @@ def write_counts(spark, d):
     return load_status(frame)
 
 
+def yaml_task_rows(spark, d):
+    """The same documents read by the YAML parser, of which JSON is a part."""
+    jobs = yaml_jobs(_documents(spark, d))
+    rows = config_load.task_rows(config_load.job_rows(jobs, VARIABLES))
+    return rows.select("resource_id", "job_name", "task_key", "depends_on", "task_type", "job_config", "task_config", "disabled")
+
+
 QUERIES = {
     "task_rows": task_rows,
     "config_isolated": config_isolated,
@@ -228,3 +234,7 @@ SQL = {
                count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS rows_kept,
                count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS rows_in_target FROM customer""",
 }
+
+if yaml is not None:
+    QUERIES["yaml_task_rows"] = yaml_task_rows
+    SQL["yaml_task_rows"] = SQL["task_rows"]
