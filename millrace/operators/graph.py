@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
@@ -14,6 +16,9 @@ from millrace.sources.staging import scratch_path, stage
 # Outcomes of a task.
 SUCCESS, FAILED, SKIPPED, DISABLED = "SUCCESS", "FAILED", "SKIPPED", "DISABLED"
 
+# Edges up to which one graph is ordered inside one task.
+SMALL_GRAPH = 20_000
+
 
 def dependency_edges(
     tasks: DataFrame,
@@ -56,52 +61,91 @@ def root_tasks(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: st
     return tasks.select(*group, key).distinct().join(edges, [*group, key], "left_anti")
 
 
-def topological_levels(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+def topological_levels(
+    tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, small: int = SMALL_GRAPH
+) -> DataFrame:
     """(group, key, level): roots are level 0, others one above their highest dependency.
 
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
     are left to missing_dependencies and ignored here.
 
-    Runs one job per level, for all task graphs together. Round r marks the open edges
-    whose dependency was freed in the round before; a task is freed once all its edges
-    are marked, so its level is the round of its last mark. Only open edges go on to the
-    next round, and each round is staged, so the plan stays flat and Spark can choose the
-    join by the size of what was freed. The driver sees one count per round and no rows.
+    Graphs of at most `small` edges, counted first, are ordered one per group after a
+    single shuffle, whatever their depth. Larger ones are peeled level by level across the
+    cluster, so no graph has to fit into a task. The driver sees counts and no rows.
     """
-    spark = tasks.sparkSession
     node, dep = [*group, key], [*group, "dep_key"]
-    path = scratch_path(spark, "rounds")
     nodes = tasks.select(*node).distinct()
     # Distinct before the join: after it, the join's partitioning would be kept for the
     # aggregation, and a dependency that most edges share could not be split.
     distinct = edges.select(*group, key, "dep_key").distinct()
-    known = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
+    known = stage(
+        distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key"), "edges"
+    )
+    large = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select(*group)
+    roots = nodes.join(known, node, "left_anti").select(*node, F.lit(0).alias("level"))
+    if large.isEmpty():
+        return roots.unionByName(_ordered(known, group, key))
+    rest = known.join(large, list(group), "left_anti")
+    peeled = _peeled(known.join(large, list(group), "left_semi"), group, key)
+    return roots.unionByName(_ordered(rest, group, key)).unionByName(peeled)
+
+
+def _ordered(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Levels of the tasks with dependencies, one bounded graph at a time."""
+
+    def order(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        codes, keys = pd.factorize(pd.concat([batch[key], batch["dep_key"]], ignore_index=True))
+        task, needs = np.split(codes, 2)
+        by_dep = np.argsort(needs, kind="stable")
+        starts = np.searchsorted(needs[by_dep], np.arange(len(keys) + 1))
+        waiting = np.bincount(task, minlength=len(keys))
+        inner, level, depth = waiting > 0, np.full(len(keys), -1), 0
+        free = np.flatnonzero(~inner)
+        while free.size:
+            level[free] = depth
+            met = np.concatenate([task[by_dep[starts[n] : starts[n + 1]]] for n in free])
+            np.subtract.at(waiting, met, 1)
+            free, depth = np.unique(met[waiting[met] == 0]), depth + 1
+        shown = pd.array(np.where(level < 0, 0, level), dtype="Int32")
+        shown[level < 0] = pd.NA
+        found = pd.DataFrame({key: keys, "level": shown})[inner]
+        return found.assign(**dict(zip(group, name)))[[*group, key, "level"]]
+
+    schema = edges.select(*group, key).schema.add("level", "integer")
+    return edges.groupBy(*group).applyInPandas(order, schema)
+
+
+def _peeled(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Levels of the tasks with dependencies, one job per level for all graphs together.
+
+    Round r marks the open edges whose dependency was freed in the round before; a task
+    is freed once all its edges are marked, so its level is the round of its last mark.
+    Only open edges go on to the next round, and each round is staged, so the plan stays
+    flat and Spark can choose the join by the size of what was freed.
+    """
+    spark = edges.sparkSession
+    node, dep = [*group, key], [*group, "dep_key"]
+    path = scratch_path(spark, "rounds")
 
     def staged(df: DataFrame, number: int) -> tuple[DataFrame, int]:
         seen = Observation(f"open_edges_{number}")
         counted = df.observe(seen, F.count_if(~F.col("met")).alias("open"))
-        result = stage(counted, "round", f"{path}/round={number}")
-        return result, seen.get["open"]
+        return stage(counted, "round", f"{path}/round={number}"), seen.get["open"]
 
-    marked, remaining = staged(known.withColumn("met", F.lit(False)), 0)
-    roots = nodes.join(marked, node, "left_anti").select(*node)
-    freed, number, moved = roots, 0, remaining
+    marked, remaining = staged(edges.select(*group, key, "dep_key").withColumn("met", F.lit(False)), 0)
+    targets = marked.select(*group, F.col("dep_key").alias(key)).distinct()
+    freed, number, moved = targets.join(marked, node, "left_anti"), 0, remaining
     while remaining and moved:
         reached = freed.select(*group, F.col(key).alias("dep_key"), F.lit(True).alias("reached"))
-        open_edges = marked.filter(~F.col("met")).drop("met")
-        joined = open_edges.join(reached, dep, "left")
+        joined = marked.filter(~F.col("met")).drop("met").join(reached, dep, "left")
         number += 1
-        marked, left = staged(
-            joined.select(*node, "dep_key", F.col("reached").isNotNull().alias("met")), number
-        )
+        marked, left = staged(joined.select(*node, "dep_key", F.col("reached").isNotNull().alias("met")), number)
         moved, remaining = remaining - left, left
         freed = marked.groupBy(*node).agg(F.bool_and("met").alias("free")).filter("free").select(*node)
     # The marked edges of every round, and the edges the last round left open.
     history = spark.read.parquet(path).filter(F.col("met") | (F.col("round") == number))
     levels = history.groupBy(*node).agg(F.max("round").alias("last"), F.bool_and("met").alias("placed"))
-    return roots.withColumn("level", F.lit(0)).unionByName(
-        levels.select(*node, F.when(F.col("placed"), F.col("last")).cast("int").alias("level"))
-    )
+    return levels.select(*node, F.when(F.col("placed"), F.col("last")).cast("int").alias("level"))
 
 
 def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:

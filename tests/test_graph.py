@@ -27,10 +27,15 @@ def test_edges_are_distinct_and_broken_lists_have_none(spark, rows):
     assert not [e for e in found if e[0] == "broken"]
 
 
-def test_levels_cycles_missing_self_roots(spark, rows):
+# Every graph is small, some are, or none is.
+SIZES = [g.SMALL_GRAPH, 4, 0]
+
+
+@pytest.mark.parametrize("small", SIZES)
+def test_levels_cycles_missing_self_roots(spark, rows, small):
     t = tasks(spark, *CASES)
     edges = g.dependency_edges(t)
-    levels = g.topological_levels(t, edges, GROUP, KEY)
+    levels = g.topological_levels(t, edges, GROUP, KEY, small)
     assert rows(levels) == sorted(
         [("broken", "o", 0), ("cycle", "p", 0), ("cycle", "q", None), ("cycle", "r", None), ("cycle", "s", None),
          ("cycle", "t", None), ("diamond", "a", 0), ("diamond", "b", 1), ("diamond", "c", 1), ("diamond", "d", 2),
@@ -42,11 +47,12 @@ def test_levels_cycles_missing_self_roots(spark, rows):
     assert ("none", "x") in rows(g.root_tasks(t, edges, GROUP, KEY))
 
 
-def test_all_on_a_cycle_and_no_edges(spark, rows):
+@pytest.mark.parametrize("small", [g.SMALL_GRAPH, 0])
+def test_all_on_a_cycle_and_no_edges(spark, rows, small):
     loop = tasks(spark, ("j", "a", '["b"]'), ("j", "b", '["a"]'))
-    assert rows(g.topological_levels(loop, g.dependency_edges(loop), GROUP, KEY)) == [("j", "a", None), ("j", "b", None)]
+    assert rows(g.topological_levels(loop, g.dependency_edges(loop), GROUP, KEY, small)) == [("j", "a", None), ("j", "b", None)]
     free = tasks(spark, ("j", "a", "[]"), ("j", "b", None))
-    assert rows(g.topological_levels(free, g.dependency_edges(free), GROUP, KEY)) == [("j", "a", 0), ("j", "b", 0)]
+    assert rows(g.topological_levels(free, g.dependency_edges(free), GROUP, KEY, small)) == [("j", "a", 0), ("j", "b", 0)]
 
 
 def test_cleaned_edges(spark, rows):
@@ -65,8 +71,16 @@ def python_levels(nodes, deps):
         todo -= set(ready)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_graphs(spark, seed):
+def test_a_deep_chain(spark):
+    depth = 3000
+    ids = spark.range(depth).select(F.lit(7).alias("resource_id"), F.col("id").alias("task_key"), (F.col("id") - 1).alias("dep_key"))
+    levels = g.topological_levels(ids, ids.filter("dep_key >= 0"), GROUP, KEY)
+    assert levels.filter(F.col("level") == F.col("task_key")).count() == levels.count() == depth
+
+
+@pytest.mark.parametrize("small", SIZES)
+@pytest.mark.parametrize("seed", range(2))
+def test_random_graphs(spark, seed, small):
     rng = random.Random(seed)
     nodes = [(f"j{j}", f"t{i}") for j in range(4) for i in range(8)]
     deps = {}
@@ -75,7 +89,7 @@ def test_random_graphs(spark, seed):
         pool = [f"t{x}" for x in (range(8) if job == "j0" else range(i))]
         deps[job, task] = [(job, d) for d in rng.sample(pool, min(len(pool), rng.randrange(3)))]
     df = spark.createDataFrame([(j, t, [d for _, d in deps[j, t]]) for j, t in nodes], "resource_id string, task_key string, depends_on array<string>")
-    levels = g.topological_levels(df, g.dependency_edges(df), GROUP, KEY)
+    levels = g.topological_levels(df, g.dependency_edges(df), GROUP, KEY, small)
     assert {(r.resource_id, r.task_key): r.level for r in levels.collect()} == python_levels(nodes, deps)
 
 
