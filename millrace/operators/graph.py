@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -69,8 +69,8 @@ def topological_levels(
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
     are left to missing_dependencies and ignored here.
 
-    Graphs of at most `small` edges, counted first, are ordered one per group after a
-    single shuffle, whatever their depth. Larger ones are peeled level by level across the
+    Graphs of at most `small` edges, counted first, are ordered inside tasks after a single
+    shuffle, whatever their depth. Larger ones are peeled level by level across the
     cluster, so no graph has to fit into a task. The driver sees counts and no rows.
     """
     node, dep = [*group, key], [*group, "dep_key"]
@@ -91,28 +91,52 @@ def topological_levels(
 
 
 def _ordered(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """Levels of the tasks with dependencies, one bounded graph at a time."""
-
-    def order(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        codes, keys = pd.factorize(pd.concat([batch[key], batch["dep_key"]], ignore_index=True))
-        task, needs = np.split(codes, 2)
-        by_dep = np.argsort(needs, kind="stable")
-        starts = np.searchsorted(needs[by_dep], np.arange(len(keys) + 1))
-        waiting = np.bincount(task, minlength=len(keys))
-        inner, level, depth = waiting > 0, np.full(len(keys), -1), 0
-        free = np.flatnonzero(~inner)
-        while free.size:
-            level[free] = depth
-            met = np.concatenate([task[by_dep[starts[n] : starts[n + 1]]] for n in free])
-            np.subtract.at(waiting, met, 1)
-            free, depth = np.unique(met[waiting[met] == 0]), depth + 1
-        shown = pd.array(np.where(level < 0, 0, level), dtype="Int32")
-        shown[level < 0] = pd.NA
-        found = pd.DataFrame({key: keys, "level": shown})[inner]
-        return found.assign(**dict(zip(group, name)))[[*group, key, "level"]]
+    """Levels of the tasks with dependencies, for bounded graphs: one shuffle by group.
+
+    A task walks its sorted rows batch by batch. All graphs that end in a batch are ordered
+    together; the one that may go on is held back, so no more than a batch and one bounded
+    graph are in memory.
+    """
+    names = list(group)
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if batch.empty:
+                continue
+            last = (batch[names] == batch[names].iloc[-1]).all(axis=1)
+            held = batch[last]
+            if not last.all():
+                yield _levels_of(batch[~last], names, key)
+        if held is not None:
+            yield _levels_of(held, names, key)
 
     schema = edges.select(*group, key).schema.add("level", "integer")
-    return edges.groupBy(*group).applyInPandas(order, schema)
+    placed = edges.select(*group, key, "dep_key").repartition(*group).sortWithinPartitions(*group)
+    return placed.mapInPandas(order, schema)
+
+
+def _levels_of(edges: pd.DataFrame, group: list[str], key: str) -> pd.DataFrame:
+    """Levels of whole graphs held in one frame; tasks without dependencies are left out."""
+    ends = [edges[[*group, key]], edges[[*group, "dep_key"]].rename(columns={"dep_key": key})]
+    both = pd.concat(ends, ignore_index=True)
+    codes = both.groupby([*group, key], sort=False).ngroup().to_numpy()
+    nodes = both.drop_duplicates(ignore_index=True)
+    task, needs = np.split(codes, 2)
+    dependants = task[np.argsort(needs, kind="stable")]
+    waiting, used = (np.bincount(x, minlength=len(nodes)) for x in (task, needs))
+    starts = np.cumsum(used) - used
+    inner, level, depth = waiting > 0, np.full(len(nodes), -1), 0
+    free = np.flatnonzero(~inner)
+    while free.size:
+        level[free] = depth
+        n = used[free]
+        met = dependants[np.repeat(starts[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        np.subtract.at(waiting, met, 1)
+        free, depth = np.unique(met[waiting[met] == 0]), depth + 1
+    return nodes.assign(level=pd.Series(level).astype("Int32").mask(level < 0))[inner]
 
 
 def _peeled(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
