@@ -30,9 +30,14 @@ def required_fields(spark, d):
     return _codes(checked, "doc_id")
 
 
+def _numbered(spark, d):
+    """Events with the number k of their props, parsed once."""
+    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def _tasks(spark, d):
     """Events as tasks: the event type picks a task type, the props become settings."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     kind = (
         F.when(F.col("event_type") == "click", "notebook")
         .when(F.col("event_type") == "view", "sql_query")
@@ -53,7 +58,7 @@ def _tasks(spark, d):
             .alias("commands"),
         )
     )
-    return table(spark, d, "events").select("event_id", kind.alias("task_type"), config.alias("task_config"))
+    return _numbered(spark, d).select("event_id", kind.alias("task_type"), config.alias("task_config"))
 
 
 def fields_by_type(spark, d):
@@ -65,12 +70,12 @@ def known_types(spark, d):
 
 
 def dependency_lists(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     depends_on = (
         F.when(k < 20, F.lit("[]")).when(k < 40, F.lit('["a", "b"]')).when(k < 60, F.lit('{"a": 1}'))
         .when(k < 70, F.lit("[1]")).when(k < 80, F.lit("[oops"))
     )
-    events = table(spark, d, "events").select("event_id", depends_on.alias("depends_on"))
+    events = _numbered(spark, d).select("event_id", depends_on.alias("depends_on"))
     return _codes(v.with_dependency_reasons(events), "event_id")
 
 

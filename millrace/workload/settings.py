@@ -12,7 +12,12 @@ from millrace.workload import table
 
 
 def _k():
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("k")
+
+
+def _numbered(spark, d):
+    """Events with the number k of their props, parsed once."""
+    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def _configs(spark, d):
@@ -26,7 +31,7 @@ def _configs(spark, d):
             F.when(_k() > 70, F.struct((_k() > 85).alias("enabled"))).alias("queue"),
         )
     )
-    return table(spark, d, "events").select("event_id", config.alias("config"))
+    return _numbered(spark, d).select("event_id", config.alias("config"))
 
 
 def settings_keep(spark, d):
@@ -41,7 +46,7 @@ def settings_drop(spark, d):
 def settings_default(spark, d):
     text = F.when(_k() > 30, F.col("props"))
     renamed = F.regexp_replace(text, '"k"', '"timeout_seconds"')
-    events = table(spark, d, "events").select("event_id", renamed.alias("job_config"))
+    events = _numbered(spark, d).select("event_id", renamed.alias("job_config"))
     return s.with_job_settings(events).select("event_id", "timeout_seconds", "max_concurrent_runs", "queue")
 
 
@@ -50,14 +55,14 @@ def json_states(spark, d):
         F.when(_k() < 20, F.col("props")).when(_k() < 40, F.lit("[1, 2]")).when(_k() < 60, F.lit("{broken"))
         .when(_k() < 70, F.lit("12")).when(_k() < 80, F.lit("null"))
     )
-    return table(spark, d, "events").select("event_id", j.json_state(text).alias("state"))
+    return _numbered(spark, d).select("event_id", j.json_state(text).alias("state"))
 
 
 def pause_default(spark, d):
     is_new = F.col("event_type") != "view"
     has_trigger = F.col("event_type").isin("view", "click", "purchase")
     explicit = F.when(_k() > 80, "PAUSED").when(_k() > 60, "UNPAUSED")
-    return table(spark, d, "events").select(
+    return _numbered(spark, d).select(
         "event_id",
         s.pause_status(is_new, has_trigger, explicit, F.col("value") > 50).alias("pause_status"),
         s.starts_at_once(is_new, has_trigger, F.col("value") > 50).alias("run_now"),
@@ -99,7 +104,7 @@ def parameters(spark, d):
         F.when(_k() < 30, F.to_json(F.struct("user_id", (F.col("value") > 50).alias("big"))))
         .when(_k() < 60, F.to_json(F.array(F.col("event_type"), F.lit("x"))))
     )
-    return table(spark, d, "events").select("event_id", s.normalised_parameters(kind, text).alias("parameters"))
+    return _numbered(spark, d).select("event_id", s.normalised_parameters(kind, text).alias("parameters"))
 
 
 def clean_keys(spark, d):
