@@ -57,8 +57,8 @@ def _any_null(keys: Sequence[str]) -> Column:
 
 
 def _hashable(df: DataFrame) -> list[str]:
-    complex_types = ("map", "variant", "array<map", "struct")
-    return [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(complex_types)]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [name for name, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
 
 
 def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -105,18 +105,21 @@ def _left(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFram
     matches tests an aggregate of the matched keys: a filter on the counts alone would be
     moved below the join and see unmatched rows too.
     """
-    pairs = lambda left, right: reduce(and_, [F.col(f"{left}{k}") == F.col(f"{right}{k}") for k in keys])
-    counted = source.groupBy(*[F.col(f"_s_{k}").alias(f"_m_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    same_keys = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_m_{k}") for k in keys])
+    named = [f"_m_{k}" for k in keys] + ["_m__spread"]
+    counted = source.groupBy(*[F.col(c.replace("_m_", "_s_", 1)).alias(c) for c in named]).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     matched = (
         target.select(*[f"_t_{k}" for k in keys])
-        .join(counted, pairs("_t_", "_m_"))
-        .groupBy(*[f"_m_{k}" for k in keys])
+        .join(counted, same_keys)
+        .groupBy(*named)
         .agg(F.max("_n").alias("_n"))
         .filter(_once(F.col("_n") > 1, keys))
         .drop("_n")
     )
     known = target.join(source, _on("_t_", "_s_", keys), "left_outer")
-    added = source.join(matched, pairs("_s_", "_m_"), "left_anti")
+    added = source.join(matched, _on("_s_", "_m_", keys), "left_anti")
     return known.unionByName(added, allowMissingColumns=True)
 
 

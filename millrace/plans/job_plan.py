@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions.json import parse_dependencies
 from millrace.functions.text import clean_key, display_name
 from millrace.operators.changes import create_or_update
 from millrace.operators.graph import dependency_edges, topological_levels
@@ -44,7 +45,7 @@ def job_plan(control: DataFrame, ids: DataFrame, live: DataFrame, paused: bool =
 
 
 def task_plan(control: DataFrame, default_warehouse: Column | None = None) -> DataFrame:
-    """One row per task in dependency order: cleaned key, level, settings, parameters, reasons.
+    """One row per task with its level: cleaned key and dependencies, settings, parameters, reasons.
 
     A task with reasons cannot run, and neither can its job; a NULL level means a cycle.
     """
@@ -53,13 +54,16 @@ def task_plan(control: DataFrame, default_warehouse: Column | None = None) -> Da
     levels = topological_levels(control, dependency_edges(control), [GROUP], KEY)
     return (
         with_type_reasons(with_task_settings(control), default_warehouse=warehouse)
+        .withColumn("_needs", parse_dependencies(F.col("depends_on")))
         .withColumns(
             {
                 "cleaned_key": clean_key(F.col(KEY)),
+                "cleaned_depends_on": F.array_distinct(F.transform("_needs", clean_key)),
                 "warehouse_id": without_placeholder(setting(config, "warehouse_id"), warehouse),
                 "file_source": file_source(setting(config, "file_source")),
                 "parameters": normalised_parameters(F.col("task_type"), setting(config, "parameters")),
             }
         )
+        .drop("_needs")
         .join(levels, [GROUP, KEY], "left")
     )

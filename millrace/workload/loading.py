@@ -125,7 +125,7 @@ def task_plan(spark, d):
     planned = plan.task_plan(_planned_control(spark, d))
     return planned.select(
         "resource_id", "task_key", "cleaned_key", "level", "run_if", "task_timeout_seconds", "warehouse_id", "file_source",
-        "parameters", F.array_join("reasons", ",").alias("reasons"),
+        "parameters", F.array_join("cleaned_depends_on", ",").alias("needs"), F.array_join("reasons", ",").alias("reasons"),
     )
 
 
@@ -226,7 +226,7 @@ SQL = {
         SELECT doc_id AS resource_id, k AS task_key, replace(replace(k, '-', '_'), ' ', '_') AS cleaned_key,
                CASE WHEN k = 'b-load' THEN 1 ELSE 0 END AS level, CAST(NULL AS VARCHAR) AS run_if,
                3600 AS task_timeout_seconds, CASE WHEN lang <> 'es' THEN source END AS warehouse_id,
-               'WORKSPACE' AS file_source, '{"n_chars":"' || n_chars || '"}' AS parameters,
+               CASE WHEN k = 'b-load' THEN 'a_extract' ELSE '' END AS needs, 'WORKSPACE' AS file_source, '{"n_chars":"' || n_chars || '"}' AS parameters,
                CASE WHEN lang = 'es' THEN 'missing:warehouse_id' ELSE '' END AS reasons
         FROM documents, (VALUES ('b-load'), ('a extract')) v(k)""",
     "write_counts": """
