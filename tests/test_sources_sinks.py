@@ -121,3 +121,13 @@ def test_merge_rewrites_only_touched_partitions(spark, rows, tmp_path):
 def test_staging_uses_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert staging.scratch_path(spark, "x").startswith(root)
+
+
+def test_literal_rows_replaced_tables_and_views(spark, rows, name):
+    literal = tables.rows(spark, [("a", None), ("b", 2)], "k string, v int")
+    assert literal.schema.simpleString() == "struct<k:string,v:int>"
+    sinks.replace_table(literal, name)
+    sinks.replace_table(literal.filter("v = 2"), name)
+    assert rows(tables.scan(spark, name)) == [("b", 2)]
+    sinks.temp_view(literal, f"{name}_view")
+    assert rows(tables.scan(spark, f"{name}_view")) == [("a", None), ("b", 2)]
