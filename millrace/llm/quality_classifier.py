@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.hash_files import hash_set, rows_in
 from millrace.llm.kneser_ney import scored, train
 
 # Share of trusted text above whose perplexity a language's documents are rejected.
@@ -30,9 +31,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     has nothing to keep. Without trusted text nothing else is rejected. Repeated rows get
     the same verdict each. Columns of docs that share a name with the result's raise.
     """
-    trusted = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id").distinct()
+    trusted = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    known = docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi")
+    key = F.xxhash64("doc_id")
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull())
+    known = rows_in(rows, key, hash_set(trusted.select(key.alias("key")), "trusted-ids"))
     model = train(known.filter(fold != CALIBRATION), label="trusted")
 
     def perplexity(df: DataFrame) -> DataFrame:
