@@ -28,6 +28,7 @@ RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 LEAST_RUN = 16
 RUN = re.compile(rf"[{re.escape(RUN_CHARS)}]{{{LEAST_RUN},}}")
 LEAST_RATIO, LEAST_EACH = 12.0, 0.7
+WEIGHT = 8.0
 
 SYMBOLS = len(RUN_CHARS) + 1  # the characters and the border of a run
 CODE = np.full(256, SYMBOLS - 1, np.int64)
@@ -62,7 +63,8 @@ def texts_in(column: pa.Array) -> list[str]:
 
 
 def train(docs: DataFrame, text: str = "text") -> list[list[float]]:
-    """Log-likelihood ratio of each transition, random over ordinary, with add-one smoothing.
+    """Log-likelihood ratio of each transition, random over ordinary, each
+    smoothed by WEIGHT pseudo-counts of single characters.
 
     All texts are counted; tasks send sums for at most SYMBOLS^2 transitions, and so much
     reaches the driver, whatever the size of the corpus. Without a labelled random string
@@ -96,8 +98,11 @@ def train(docs: DataFrame, text: str = "text") -> list[list[float]]:
     counts[:, border, border] = 0
     if counts[0].sum() == 0:
         return np.zeros((SYMBOLS, SYMBOLS)).tolist()
-    random, ordinary = counts + 1
-    ratio = np.log(random / random.sum(1, keepdims=True)) - np.log(ordinary / ordinary.sum(1, keepdims=True))
+    # A character that is rare by itself is rare after one that was never seen before it.
+    single = counts.sum(1, keepdims=True) + 1
+    single /= single.sum(2, keepdims=True)
+    random, ordinary = (counts + WEIGHT * single) / (counts.sum(2, keepdims=True) + WEIGHT)
+    ratio = np.log(random) - np.log(ordinary)
     ratio[border, :] = ratio[:, border] = 0  # where a run begins and ends says nothing
     return ratio.tolist()
 
