@@ -24,8 +24,8 @@ from millrace.sources.staging import stage
 LENGTH = 4096  # tokens of a sequence
 END = 1  # the id that closes a document
 SHARD = 16_384  # pieces packed together
-SMALL = 8  # lengths below LENGTH / SMALL are small
-GROUPS = 48
+SMALL = 4  # lengths below LENGTH / SMALL are small
+GROUPS = 400
 REMEMBERED = 200_000  # words whose ids a task keeps before it starts afresh
 
 BREAKS = re.compile(r"[ \n\r\t]+")
