@@ -17,11 +17,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.clusters import Sets, clusters, verified
 from millrace.llm.graphs import components
+from millrace.llm.hash_files import hash_set, rows_in
 from millrace.llm.kneser_ney import shard_of
-from millrace.llm.words import mixed
+from millrace.llm.quality_rules import bound
 from millrace.sources.staging import stage
 
 EDITS = 2
@@ -203,21 +205,27 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     shards = max(4, -(-size // SHARD_BYTES))
     buckets = stage(meeting_lines(docs, edits, shards), "meeting")
     near = stage(clusters(buckets), "clusters")
-    lines = numbered_lines(docs).select(F.col("line_hash").alias("node"), "line")
+    texts = numbered_lines(docs).select(F.col("line_hash").alias("node"), "line")
+    lines = rows_in(texts, F.col("node"), hash_set(near.select("node"), "near-lines"))
     members = lines.join(near, "node").dropDuplicates(["node"]).withColumn("weight", F.length("line"))
     links = verified(members, comparer(edits), "a long, b long")
     return components(links)
 
 
+def line_key(document: Column, at: Column) -> Column:
+    return F.xxhash64(F.lit(0), document, at)
+
+
 def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(doc_id, text_hash, drop): numbers of the lines that repeat an earlier one."""
+    """(key): line_key of the lines that repeat an earlier one."""
     lines = stage(numbered_lines(docs).drop("line"), "lines")
     classes = line_classes(docs, edits).withColumnRenamed("node", "line_hash")
     place = F.struct("doc_id", "text_hash", "at")
-    near = stage(lines.join(classes, "line_hash", "left").withColumn("class", F.coalesce("class", "line_hash")), "near")
+    near = lines.join(classes, "line_hash", "left").withColumn("class", F.coalesce("class", "line_hash")).drop("line_hash")
+    near = stage(near, "near")
     firsts = near.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
     later = near.join(firsts, "class").filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("drop"))
+    return later.select(line_key(F.xxhash64("doc_id", "text_hash"), F.col("at")).alias("key"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -233,13 +241,29 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     clash = {"n_lines", "n_dropped"} & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
-    drops = dropped_lines(docs, edits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    joined = docs.join(
-        drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left"
-    )
-    lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines, F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).alias("n_dropped"))
+    drops, columns = hash_set(dropped_lines(docs, edits), "dropped-lines"), docs.columns
+    place = columns.index("text")
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    document = F.xxhash64("doc_id", F.xxhash64("text"))
+    keys = bound(document, lambda d: F.transform(split, lambda _, i: line_key(d, i)))
+    keyed = docs.select("*", keys.alias("_keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(len(columns))
+            drop = drops.has(keys.flatten().to_numpy())
+            ends = np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))
+            texts, n_lines, n_dropped = batch.column(place).to_pylist(), [], []
+            for i, (text, end) in enumerate(zip(texts, ends)):
+                mine = drop[ends[i - 1] if i else 0 : end]
+                n_lines.append(0 if text is None else len(mine))
+                n_dropped.append(int(mine.sum()))
+                if n_dropped[-1]:
+                    texts[i] = "\n".join(line for line, gone in zip(text.split("\n"), mine) if not gone)
+            out = list(batch.columns[:-1])
+            out[place] = pa.array(texts, out[place].type)
+            counts = [pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())]
+            yield pa.record_batch([*out, *counts], [*columns, "n_lines", "n_dropped"])
+
+    schema = StructType(list(docs.schema.fields)).add("n_lines", "integer").add("n_dropped", "integer")
+    return keyed.mapInArrow(run, schema)
