@@ -98,6 +98,8 @@ def train(docs: DataFrame, text: str = "text") -> list[list[float]]:
     counts[:, border, border] = 0
     if counts[0].sum() == 0:
         return np.zeros((SYMBOLS, SYMBOLS)).tolist()
+    # What occurs once among ordinary runs may be the one secret that is looked for.
+    counts[1] = np.maximum(counts[1] - 1, 0)
     # A character that is rare by itself is rare after one that was never seen before it.
     single = counts.sum(1, keepdims=True) + 1
     single /= single.sum(2, keepdims=True)
