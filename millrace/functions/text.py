@@ -48,33 +48,13 @@ def undefined_variables(text: Column, variables: Mapping[str, Any] | Column) ->
 def fill_template(text: Column, variables: Mapping[str, Any] | Column) -> Column:
     """The template with every reference replaced; NULL if a name has no value.
 
-    Values are not scanned again: one that looks like a reference stays as it is. An empty
-    set of variables leaves the text alone.
+    The text is split at its references and put together again with the values in between,
+    so values are not scanned again: one that looks like a reference, or completes one with
+    the text around it, stays as it is. An empty set of variables leaves the text alone.
     """
-    if isinstance(variables, Mapping):
-        values = {name: str(value) for name, value in variables.items()}
-        if not any("${" in value for value in values.values()):
-            return _replaced(text, values)
-    return _rebuilt(text, variable_map(variables))
-
-
-def _replaced(text: Column, values: Mapping[str, str]) -> Column:
-    """One replacement per variable; what still refers to a variable afterwards is undefined."""
-    if not values:
-        return text
-    filled = text
-    for name, value in values.items():
-        filled = F.replace(filled, F.lit("${var." + name + "}"), F.lit(value))
-    return F.when(~F.contains(text, F.lit("${var.")), text).otherwise(
-        F.when(~filled.rlike(VARIABLE_PATTERN), filled)
-    )
-
-
-def _rebuilt(text: Column, values: Column) -> Column:
-    """Split at the references and put together again with the values in between."""
-    pieces = F.split(text, VARIABLE_PATTERN, -1)
+    values = variable_map(variables)
     parts = F.zip_with(
-        pieces,
+        F.split(text, VARIABLE_PATTERN, -1),
         template_names(text),
         lambda piece, name: F.concat(piece, F.when(name.isNull(), "").otherwise(F.try_element_at(values, name))),
     )

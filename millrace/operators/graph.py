@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.json import dependency_list
 from millrace.functions.text import clean_key
-from millrace.sources.staging import scratch_path, stage
+from millrace.sources.staging import stage
 
 # Outcomes of a task.
 SUCCESS, FAILED, SKIPPED, DISABLED = "SUCCESS", "FAILED", "SKIPPED", "DISABLED"
 
-# Edges up to which one graph is ordered inside one task.
-SMALL_GRAPH = 20_000
+# Edges that a task holds at once while it orders graphs.
+BATCH = 200_000
 
 
 def dependency_edges(
@@ -62,114 +63,112 @@ def root_tasks(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: st
 
 
 def topological_levels(
-    tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, small: int = SMALL_GRAPH
+    tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, batch: int = BATCH
 ) -> DataFrame:
     """(group, key, level): roots are level 0, others one above their highest dependency.
 
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
     are left to missing_dependencies and ignored here.
 
-    Graphs of at most `small` edges, counted first, are ordered inside tasks after a single
-    shuffle, whatever their depth. Larger ones are peeled level by level across the
-    cluster, so no graph has to fit into a task. The driver sees counts and no rows.
+    All graphs go through the same rounds. In a round, tasks whose dependencies all have a
+    level are placed by an aggregate; then the edges are walked in batches of bounded size,
+    and what can be placed inside a batch is. Edges of placed tasks leave, the others learn
+    the new levels, until a round places nothing. Graphs that fit into a batch end after
+    the first round; the driver sees two counts a round.
     """
     node, dep = [*group, key], [*group, "dep_key"]
     nodes = tasks.select(*node).distinct()
     # Distinct before the join: after it, the join's partitioning would be kept for the
     # aggregation, and a dependency that most edges share could not be split.
     distinct = edges.select(*group, key, "dep_key").distinct()
-    known = stage(
-        distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key"), "edges"
-    )
-    large = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select(*group)
+    known = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
+    known = stage(known, "edges")
     roots = nodes.join(known, node, "left_anti").select(*node, F.lit(0).alias("level"))
-    if large.isEmpty():
-        return roots.unionByName(_ordered(known, group, key))
-    rest = known.join(large, list(group), "left_anti")
-    peeled = _peeled(known.join(large, list(group), "left_semi"), group, key)
-    return roots.unionByName(_ordered(rest, group, key)).unionByName(peeled)
-
-
-def _ordered(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """Levels of the tasks with dependencies, for bounded graphs: one shuffle by group.
-
-    A task walks its sorted rows batch by batch. All graphs that end in a batch are ordered
-    together; the one that may go on is held back, so no more than a batch and one bounded
-    graph are in memory.
-    """
+    counts = known.groupBy(*node).agg(F.count(F.lit(1)).alias("needs"))
+    open_edges, left = _staged(
+        known.join(counts, node).join(_as_deps(roots, group, key), dep, "left").select(*node, "dep_key", "needs", "dep_level"),
+        "open",
+    )
+    levels = [roots]
+    while left:
+        ready = open_edges.groupBy(*node).agg(
+            F.bool_and(F.col("dep_level").isNotNull()).alias("ready"), (F.max("dep_level") + 1).alias("level")
+        )
+        by_aggregate = ready.filter("ready").select(*node, "level")
+        both = by_aggregate.unionByName(_walked(open_edges, group, key, batch)).groupBy(*node).agg(F.max("level").alias("level"))
+        placed, n_placed = _staged(both, "placed")
+        if not n_placed:
+            break
+        levels.append(placed)
+        rest = open_edges.join(placed.select(*node), node, "left_anti")
+        learnt = rest.join(_as_deps(placed, group, key).withColumnRenamed("dep_level", "_new"), dep, "left")
+        open_edges, left = _staged(
+            learnt.select(*node, "dep_key", "needs", F.coalesce("dep_level", "_new").alias("dep_level")), "open"
+        )
+    if left:
+        levels.append(open_edges.select(*node, F.lit(None).cast("int").alias("level")).distinct())
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _as_deps(placed: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    return placed.select(*group, F.col(key).alias("dep_key"), F.col("level").alias("dep_level"))
+
+
+def _staged(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """A staged table and its number of rows."""
+    staged = stage(df, label)
+    return staged, staged.count()
+
+
+def _walked(edges: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
+    """Levels of the tasks that can be placed inside batches of at most `most` edges, read graph by graph."""
     names = list(group)
 
-    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if batch.empty:
-                continue
-            last = (batch[names] == batch[names].iloc[-1]).all(axis=1)
-            held = batch[last]
-            if not last.all():
-                yield _levels_of(batch[~last], names, key)
-        if held is not None:
-            yield _levels_of(held, names, key)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in batches:
+            for start in range(0, len(frame), most):
+                part = frame.iloc[start : start + most]
+                if size + len(part) > most and held:
+                    yield _levels_of(pd.concat(held, ignore_index=True), names, key)
+                    held, size = [], 0
+                held.append(part)
+                size += len(part)
+        if held:
+            yield _levels_of(pd.concat(held, ignore_index=True), names, key)
 
     schema = edges.select(*group, key).schema.add("level", "integer")
-    placed = edges.select(*group, key, "dep_key").repartition(*group).sortWithinPartitions(*group)
-    return placed.mapInPandas(order, schema)
+    return edges.repartition(*group).sortWithinPartitions(*group, key).mapInPandas(walk, schema)
 
 
 def _levels_of(edges: pd.DataFrame, group: list[str], key: str) -> pd.DataFrame:
-    """Levels of whole graphs held in one frame; tasks without dependencies are left out."""
+    """Levels of the tasks all of whose edges are here and lead to known or placed tasks."""
     ends = [edges[[*group, key]], edges[[*group, "dep_key"]].rename(columns={"dep_key": key})]
     both = pd.concat(ends, ignore_index=True)
     codes = both.groupby([*group, key], sort=False).ngroup().to_numpy()
     nodes = both.drop_duplicates(ignore_index=True)
     task, needs = np.split(codes, 2)
-    dependants = task[np.argsort(needs, kind="stable")]
-    waiting, used = (np.bincount(x, minlength=len(nodes)) for x in (task, needs))
+    given = edges["dep_level"].to_numpy(dtype=float, na_value=np.nan)
+    unknown = np.isnan(given)
+    wanted = np.zeros(len(nodes), np.int64)
+    wanted[task] = edges["needs"].to_numpy()
+    here = np.bincount(task, minlength=len(nodes))
+    waiting = np.bincount(task[unknown], minlength=len(nodes)) + (wanted != here)
+    base, level = np.zeros(len(nodes), np.int64), np.full(len(nodes), -1)
+    np.maximum.at(base, task[~unknown], given[~unknown].astype(np.int64))
+    sources, dependants = needs[unknown], task[unknown]
+    order = np.argsort(sources, kind="stable")
+    dependants, used = dependants[order], np.bincount(sources, minlength=len(nodes))
     starts = np.cumsum(used) - used
-    inner, level, depth = waiting > 0, np.full(len(nodes), -1), 0
-    free = np.flatnonzero(~inner)
+    free = np.flatnonzero((here > 0) & (waiting == 0))
     while free.size:
-        level[free] = depth
+        level[free] = base[free] + 1
         n = used[free]
         met = dependants[np.repeat(starts[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        np.maximum.at(base, met, np.repeat(level[free], n))
         np.subtract.at(waiting, met, 1)
-        free, depth = np.unique(met[waiting[met] == 0]), depth + 1
-    return nodes.assign(level=pd.Series(level).astype("Int32").mask(level < 0))[inner]
-
-
-def _peeled(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """Levels of the tasks with dependencies, one job per level for all graphs together.
-
-    Round r marks the open edges whose dependency was freed in the round before; a task
-    is freed once all its edges are marked, so its level is the round of its last mark.
-    Only open edges go on to the next round, and each round is staged, so the plan stays
-    flat and Spark can choose the join by the size of what was freed.
-    """
-    spark = edges.sparkSession
-    node, dep = [*group, key], [*group, "dep_key"]
-    path = scratch_path(spark, "rounds")
-
-    def staged(df: DataFrame, number: int) -> tuple[DataFrame, int]:
-        seen = Observation(f"open_edges_{number}")
-        counted = df.observe(seen, F.count_if(~F.col("met")).alias("open"))
-        return stage(counted, "round", f"{path}/round={number}"), seen.get["open"]
-
-    marked, remaining = staged(edges.select(*group, key, "dep_key").withColumn("met", F.lit(False)), 0)
-    targets = marked.select(*group, F.col("dep_key").alias(key)).distinct()
-    freed, number, moved = targets.join(marked, node, "left_anti"), 0, remaining
-    while remaining and moved:
-        reached = freed.select(*group, F.col(key).alias("dep_key"), F.lit(True).alias("reached"))
-        joined = marked.filter(~F.col("met")).drop("met").join(reached, dep, "left")
-        number += 1
-        marked, left = staged(joined.select(*node, "dep_key", F.col("reached").isNotNull().alias("met")), number)
-        moved, remaining = remaining - left, left
-        freed = marked.groupBy(*node).agg(F.bool_and("met").alias("free")).filter("free").select(*node)
-    # The marked edges of every round, and the edges the last round left open.
-    history = spark.read.parquet(path).filter(F.col("met") | (F.col("round") == number))
-    levels = history.groupBy(*node).agg(F.max("round").alias("last"), F.bool_and("met").alias("placed"))
-    return levels.select(*node, F.when(F.col("placed"), F.col("last")).cast("int").alias("level"))
+        free = np.unique(met[waiting[met] == 0])
+    return nodes.assign(level=pd.Series(level).astype("Int32"))[level >= 0]
 
 
 def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:

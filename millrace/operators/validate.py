@@ -173,8 +173,12 @@ def run_summary(results: DataFrame, error: str = "error") -> DataFrame:
 
 
 def load_status(counts: DataFrame) -> DataFrame:
-    """SUCCESS when every kept row is found in the target, else FAILED; from write counts."""
-    complete = F.col("rows_in_target") >= F.col("rows_kept")
+    """SUCCESS when the target grew by exactly the kept rows, else FAILED; from write counts.
+
+    Counts without rows_before are those of a target that was empty or overwritten.
+    """
+    before = F.col("rows_before") if "rows_before" in counts.columns else F.lit(0)
+    complete = F.col("rows_in_target") - before == F.col("rows_kept")
     return counts.select(
         F.lit("data_validation").alias("validation_type"),
         F.when(complete, "SUCCESS").otherwise("FAILED").alias("status"),

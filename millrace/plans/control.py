@@ -69,7 +69,7 @@ class ControlTable:
         """Add rows; flags and times they lack take the table's defaults."""
         now = F.current_timestamp()
         defaults = {"disabled": F.lit(False), "created_timestamp": now, "updated_timestamp": now}
-        replace_own_source(insert_rows(self.rows, rows, defaults), self.name)
+        insert_rows(self.spark.createDataFrame([], self.rows.schema), rows, defaults).write.insertInto(self.name)
 
     def update(self, condition: Column, assignments: Mapping[str, Column]) -> None:
         """Set columns of the selected rows and note the time."""

@@ -109,6 +109,8 @@ def ingest(spark: SparkSession, task: Ingestion, sample: DataFrame, as_of: Colum
         lambda df: ingest_rows(df, task.task_key, as_of, **options),
         lambda df: write_table(df, task.target, task.write_mode),
         lambda: spark.table(task.target).count(),
+        task.write_mode,
+        spark.catalog.tableExists(task.target),
     )
 
 
@@ -117,5 +119,5 @@ def ingest_then_validate(
 ) -> DataFrame:
     """Ingest, then one row that says whether every kept row arrived."""
     counts = ingest(spark, task, sample, as_of, **options)
-    frame = spark.createDataFrame([counts], "rows_read bigint, rows_kept bigint, rows_in_target bigint")
+    frame = spark.createDataFrame([counts], "rows_read bigint, rows_kept bigint, rows_before bigint, rows_in_target bigint")
     return load_status(frame).withColumn("validation_timestamp", as_of)

@@ -11,7 +11,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Templates such as ${var.env} live in columns; SQL text must keep them as they are.
     "spark.sql.variable.substitute": "false",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 # For large clusters: many initial shuffle partitions, which AQE then joins to even sizes.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.merge import merge
@@ -22,8 +22,9 @@ def merge_partitions(
 ) -> None:
     """Merge source into the parquet table at path, partition by partition.
 
-    The partition columns belong to the keys, so no row moves between partitions. The
-    semi join on them prunes the scan to the touched partitions at run time. The result is
+    The partition columns belong to the keys, so no row moves between partitions. The scan
+    is pruned at run time to the partitions between the least and greatest values of the
+    source, and a semi join keeps those it touches. The result is
     staged before anything is overwritten, and merging the same source again changes
     nothing, so a failed run is simply repeated. Deletions are not offered here: a
     partition left without rows would not be overwritten.
@@ -35,7 +36,11 @@ def merge_partitions(
     # Read several times below, and better planned once its size is known.
     source = stage(source, "source")
     touched = source.select(*partition_by).distinct()
+    # Bounds known when the scan starts: partitions outside are not read.
     table = spark.read.schema(schema).parquet(path)
+    for name in partition_by:
+        least, most = (touched.agg(f(name).alias(name)).scalar() for f in (F.min, F.max))
+        table = table.filter(F.col(name).between(least, most))
     merged = merge(table.join(touched, list(partition_by), "left_semi"), source, keys, **merge_options)
     staged = stage(merged.select(*schema.names), "partitions")
     # Rebalancing keeps files of even size: it splits large partitions and merges small ones.

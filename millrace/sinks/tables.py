@@ -109,13 +109,21 @@ def write_verified(
     transform: Callable[[DataFrame], DataFrame],
     write: Callable[[DataFrame], object],
     count_target: Callable[[], int],
+    mode: str = "overwrite",
+    exists: bool = False,
 ) -> dict[str, int]:
-    """Write transform(source) and report rows read, kept and found in the target.
+    """Write transform(source) and report rows read, kept, in the target before and after.
 
-    Rows read and kept are observed while the write runs; only the target is counted after it.
+    Rows read and kept are observed while the write runs; the target is counted after it,
+    and before it as well if rows are appended. A write that mode `ignore` skips, as the
+    target exists, reads and keeps no rows.
     """
+    before = count_target() if exists and mode in ("append", "ignore") else 0
+    if exists and mode == "ignore":
+        return {"rows_read": 0, "rows_kept": 0, "rows_before": before, "rows_in_target": before}
     read, kept = Observation("rows_read"), Observation("rows_kept")
     observed = source.observe(read, F.count(F.lit(1)).alias("n"))
     result = transform(observed).observe(kept, F.count(F.lit(1)).alias("n"))
     write(result)
-    return {"rows_read": read.get["n"], "rows_kept": kept.get["n"], "rows_in_target": count_target()}
+    counts = {"rows_read": read.get["n"], "rows_kept": kept.get["n"]}
+    return counts | {"rows_before": before, "rows_in_target": count_target()}

@@ -23,7 +23,7 @@ _JOB_SCHEMA = "path string, resource_id string, job string, reason string"
 def read_documents(spark: SparkSession, folder: str, glob: str = YAML_GLOB) -> DataFrame:
     """(path, content) for every document below folder, sub-folders included.
 
-    A file of no bytes holds no document and gives no row.
+    A file of no bytes holds no document and gives no row: Spark's sources read no such file.
     """
     return (
         spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
@@ -34,17 +34,28 @@ def read_documents(spark: SparkSession, folder: str, glob: str = YAML_GLOB) -> D
 def _yaml_jobs(path: str, content: str) -> Iterator[tuple]:
     try:
         document = yaml.load(content, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except yaml.YAMLError:
+        jobs = document.get("jobs") if isinstance(document, dict) else None
+        texts = {str(k): _json_text(v) for k, v in jobs.items()} if isinstance(jobs, dict) else {}
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+        # What no parser accepts and what no JSON can say, NaN or an impossible date for instance.
         yield path, None, None, "invalid_document"
         return
-    jobs = document.get("jobs") if isinstance(document, dict) else None
     if jobs is None:
         yield path, None, None, "no_jobs_key"
     elif not isinstance(jobs, dict):
         yield path, None, None, "jobs_not_a_mapping"
     else:
-        for resource_id, job in jobs.items():
-            yield path, str(resource_id), json.dumps(job, ensure_ascii=False, default=str), None
+        for resource_id, text in texts.items():
+            yield path, resource_id, text, None
+
+
+def _json_text(value) -> str:
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple, set)) else x
+
+    return json.dumps(plain(value), ensure_ascii=False, default=str, allow_nan=False)
 
 
 def yaml_jobs(documents: DataFrame) -> DataFrame:
@@ -55,8 +66,8 @@ def yaml_jobs(documents: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "resource_id", "job", "reason"]
         for batch in batches:
-            found = [row for p, c in zip(batch["path"], batch["content"]) for row in _yaml_jobs(p, c)]
-            yield pd.DataFrame(found, columns=columns)
+            for path, content in zip(batch["path"], batch["content"]):
+                yield pd.DataFrame(list(_yaml_jobs(path, content)), columns=columns, dtype=object)
 
     return documents.select("path", "content").mapInPandas(parse, _JOB_SCHEMA)
 

@@ -26,7 +26,7 @@ def order_lines(spark, d):
         F.col("o_orderdate").alias("order_date"),
         F.col("l_quantity").cast("int").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.col("l_extendedprice").cast("decimal(8,2)").alias("revenue"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("revenue"),
         F.lower("o_orderstatus").alias("status"),
         F.col("l_shipdate").alias("processed_at"),
     )

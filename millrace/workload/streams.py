@@ -15,16 +15,16 @@ from millrace.workload import at, table
 from millrace.workload import loading
 
 
-def _folder(df, label, files):
-    """The table as a folder of files, to be found file by file."""
+def _folder(df, label, rows=50_000):
+    """The table as a folder of files, to be found file by file; their number follows the table's size."""
     path = scratch_path(df.sparkSession, label)
-    df.repartition(files).write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return path
 
 
 def stream_silver(spark, d):
     events = table(spark, d, "events")
-    source = _folder(events, "arrivals", 4)
+    source = _folder(events, "arrivals")
     target, checkpoint = scratch_path(spark, "silver"), scratch_path(spark, "silver-checkpoint")
     arrivals = flows.file_arrivals(spark, source, events.schema, files_per_batch=2)
 
@@ -39,9 +39,9 @@ def stream_silver(spark, d):
 def stream_merge(spark, d):
     """The newest event of every user, merged batch by batch into snapshots."""
     events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    source = _folder(events, "arrivals", 4)
+    source = _folder(events, "arrivals")
     root, checkpoint = scratch_path(spark, "users"), scratch_path(spark, "users-checkpoint")
-    sync.seed(events.limit(0), root)
+    sync.seed(spark.createDataFrame([], events.schema), root)
     arrivals = flows.file_arrivals(spark, source, events.schema, files_per_batch=2)
     sync.merge_flow(
         arrivals, root, events.schema, ["user_id"], checkpoint,
@@ -53,7 +53,7 @@ def stream_merge(spark, d):
 
 def _quarantined(spark, d):
     turns = table(spark, d, "conversations")
-    source = _folder(turns.repartition("conv_id"), "turns", 1)
+    source = _folder(turns, "turns")
     good, bad, checkpoint = (scratch_path(spark, x) for x in ("good", "bad", "turns-checkpoint"))
     arrivals = flows.file_arrivals(spark, source, turns.schema)
     sync.quarantine_flow(
@@ -75,7 +75,7 @@ def stream_config(spark, d):
     """Documents arrive as a stream and are loaded into control-table snapshots."""
     documents = loading._documents(spark, d)
     control = loading._control(spark, d)
-    source = _folder(documents, "documents", 2)
+    source = _folder(documents, "documents")
     root, rejects, checkpoint = (scratch_path(spark, x) for x in ("control", "problems", "control-checkpoint"))
     sync.seed(control, root)
     arrivals = flows.file_arrivals(spark, source, documents.schema, files_per_batch=1)
@@ -94,7 +94,7 @@ def stream_partitions(spark, d):
     new = orders.filter(F.col("o_orderdate") >= at("1999-01-01")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
     path, checkpoint = scratch_path(spark, "orders"), scratch_path(spark, "orders-checkpoint")
     old.write.partitionBy("year").parquet(path)
-    arrivals = flows.file_arrivals(spark, _folder(new, "arrivals", 4), new.schema, files_per_batch=2)
+    arrivals = flows.file_arrivals(spark, _folder(new, "arrivals"), new.schema, files_per_batch=2)
     sync.partition_merge_flow(
         arrivals, path, orders.schema, ["year", "o_orderkey"], ["year"], checkpoint
     ).awaitTermination()

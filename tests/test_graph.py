@@ -27,8 +27,8 @@ def test_edges_are_distinct_and_broken_lists_have_none(spark, rows):
     assert not [e for e in found if e[0] == "broken"]
 
 
-# Every graph is small, some are, or none is.
-SIZES = [g.SMALL_GRAPH, 4, 0]
+# Every graph fits into a batch, some do, or no two edges do.
+SIZES = [g.BATCH, 4, 1]
 
 
 @pytest.mark.parametrize("small", SIZES)
@@ -47,7 +47,7 @@ def test_levels_cycles_missing_self_roots(spark, rows, small):
     assert ("none", "x") in rows(g.root_tasks(t, edges, GROUP, KEY))
 
 
-@pytest.mark.parametrize("small", [g.SMALL_GRAPH, 0])
+@pytest.mark.parametrize("small", [g.BATCH, 1])
 def test_all_on_a_cycle_and_no_edges(spark, rows, small):
     loop = tasks(spark, ("j", "a", '["b"]'), ("j", "b", '["a"]'))
     assert rows(g.topological_levels(loop, g.dependency_edges(loop), GROUP, KEY, small)) == [("j", "a", None), ("j", "b", None)]

@@ -70,7 +70,7 @@ def test_ingestion(spark, rows):
     task = tasks.Ingestion.of("load", {"catalog": "spark_catalog", "schema": "default", "source_table": f"{name}_s",
                                        "target_table": name, "write_mode": "append"})
     counts = tasks.ingest(spark, task, sample, now())
-    assert counts == {"rows_read": 3, "rows_kept": 2, "rows_in_target": 2}
+    assert counts == {"rows_read": 3, "rows_kept": 2, "rows_before": 0, "rows_in_target": 2}
     assert rows(spark.table(name), "customer_id", "full_name", "task_key") == [("1", "John Doe", "load"), ("2", None, "load")]
     assert tasks.ingest_then_validate(spark, task, sample, now()).first()["status"] == "SUCCESS"
     assert spark.table(name).count() == 4

@@ -4,6 +4,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.validate import load_status
+from millrace.sinks.partitions import merge_partitions
 from millrace.operators.changes import file_diff
 from millrace.schemas import CONTROL
 from millrace.sinks import partitions, tables as sinks
@@ -26,12 +28,17 @@ def test_documents_of_a_folder(spark, rows, tmp_path):
     (tmp_path / "list.yaml").write_text("jobs: [1, 2]")
     (tmp_path / "empty.yaml").write_text("# nothing yet\n")
     (tmp_path / "none.yaml").write_text("jobs: {}")
+    (tmp_path / "bytes.yaml").write_text("")
+    (tmp_path / "date.yaml").write_text("jobs:\n  a:\n    day: 2024-13-45")
+    (tmp_path / "keys.yaml").write_text("jobs:\n  k:\n    2024-01-02: x")
+    (tmp_path / "nan.yaml").write_text("jobs:\n  a:\n    n: .nan")
     read = documents.read_documents(spark, str(tmp_path))
-    assert read.count() == 6
+    assert read.count() == 9
     jobs = documents.yaml_jobs(read).select(documents.file_name(F.col("path")).alias("file"), "resource_id", "reason")
     assert rows(jobs) == [
-        ("broken.yaml", None, "invalid_document"), ("empty.yaml", None, "no_jobs_key"), ("list.yaml", None, "jobs_not_a_mapping"),
-        ("one.yaml", "a", None), ("two.yml", "é", None)]
+        ("broken.yaml", None, "invalid_document"), ("date.yaml", None, "invalid_document"),
+        ("empty.yaml", None, "no_jobs_key"), ("keys.yaml", "k", None), ("list.yaml", None, "jobs_not_a_mapping"),
+        ("nan.yaml", None, "invalid_document"), ("one.yaml", "a", None), ("two.yml", "é", None)]
 
 
 def test_json_documents_match_yaml_ones(spark, rows):
@@ -101,7 +108,7 @@ def test_verified_write(spark, tmp_path):
     path = str(tmp_path / "out")
     counts = sinks.write_verified(
         spark.range(10), lambda df: df.filter("id > 6"), lambda df: df.write.parquet(path), lambda: spark.read.parquet(path).count())
-    assert counts == {"rows_read": 10, "rows_kept": 3, "rows_in_target": 3}
+    assert counts == {"rows_read": 10, "rows_kept": 3, "rows_before": 0, "rows_in_target": 3}
 
 
 def test_merge_rewrites_only_touched_partitions(spark, rows, tmp_path):
@@ -131,3 +138,36 @@ def test_literal_rows_replaced_tables_and_views(spark, rows, name):
     assert rows(tables.scan(spark, name)) == [("b", 2)]
     sinks.temp_view(literal, f"{name}_view")
     assert rows(tables.scan(spark, f"{name}_view")) == [("a", None), ("b", 2)]
+
+
+def test_a_replaced_partitioned_table_keeps_no_old_partition(spark, rows, name):
+    spark.range(10).selectExpr("id", "id % 2 AS part").write.partitionBy("part").saveAsTable(name)
+    sinks.replace_own_source(spark.table(name).filter("part = 0"), name)
+    assert spark.table(name).select("part").distinct().count() == 1
+
+
+@pytest.mark.parametrize("mode, total, status", [("append", 6, "SUCCESS"), ("overwrite", 3, "SUCCESS"), ("ignore", 3, "SUCCESS")])
+def test_verified_writes_to_an_existing_table(spark, name, mode, total, status):
+    spark.range(3).write.saveAsTable(name)
+    counts = sinks.write_verified(
+        spark.range(10), lambda df: df.filter("id > 6"), lambda df: sinks.write_table(df, name, mode),
+        lambda: spark.table(name).count(), mode, True)
+    assert counts["rows_in_target"] == total
+    frame = spark.createDataFrame([counts], "rows_read bigint, rows_kept bigint, rows_before bigint, rows_in_target bigint")
+    assert load_status(frame).first()["status"] == status
+
+
+def test_an_append_that_loses_rows_fails(spark):
+    frame = spark.createDataFrame([(10, 3, 100, 102)], "rows_read bigint, rows_kept bigint, rows_before bigint, rows_in_target bigint")
+    assert load_status(frame).first()["status"] == "FAILED"
+
+
+def test_a_partition_merge_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(100).selectExpr("id", "id % 10 AS part", "1 AS v").write.partitionBy("part").parquet(path)
+    schema = spark.read.parquet(path).select("id", "v", "part").schema
+    before = spark.read.parquet(path).count()
+    source = spark.createDataFrame([(3, 9, 3)], schema)
+    merge_partitions(spark, path, schema, source, ["id", "part"], ["part"], update=["v"])
+    after = spark.read.schema(schema).parquet(path)
+    assert after.count() == before and after.filter("v = 9").count() == 1

@@ -37,6 +37,8 @@ def filled(spark, text, variables):
         ("${var.b} ${var.a} ${var.b}", {"a": "x"}, None, ["b"]),
         ('say "${var.a}"', {"a": 'q"uote'}, 'say "q"uote"', []),
         ("${var.flag}", {"flag": True}, "True", []),
+        ("$${var.a}{var.b}", {"a": "", "b": "y"}, "${var.b}", []),
+        ("${var.my-var} stays", {"my-var": "x"}, "${var.my-var} stays", []),
         ("${var.a}-${var.b}", {"a": "${var.b}", "b": "y"}, "${var.b}-y", []),
         ("${var.a}", {}, "${var.a}", []),
         ("", {"a": "x"}, "", []),
