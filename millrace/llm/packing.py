@@ -10,10 +10,13 @@ first, where they leave the least room.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +29,41 @@ END = 1  # the id that closes a document
 SHARD = 16_384  # pieces packed together
 SMALL = 4  # lengths below LENGTH / SMALL are small
 GROUPS = 400
-REMEMBERED = 200_000  # words whose ids a task keeps before it starts afresh
+REMEMBERED = 400_000  # words whose ids a worker keeps before it starts afresh
 
 BREAKS = re.compile(r"[ \n\r\t]+")
 
+# How a tokenizer of lower-case words cuts a text, as its file states it.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Words of ASCII and Latin letters that NFC leaves alone, without the first character of
+# added tokens, and their parts by that pattern once they are lower-case.
+LATIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u017f]+|[0-9]|[^a-z\u00df-\u017f0-9]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies use for each byte: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
 
 class WordIds(dict):
     """Token ids of a word as little-endian 32-bit bytes.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those
-    of its words one after the other.
+    of its words one after the other. Where it cuts words by PATTERN, those of Latin letters
+    are cut here and only their parts go to its vocabulary; all others go through it whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.letters = tokenizer.encode_batch_fast, tokenizer.model, byte_letters()
+        self.cuts = cuts_latin_words(json.loads(tokenizer.to_str()))
 
     def of(self, text: str) -> bytes:
         words = BREAKS.split(text)
@@ -52,20 +73,59 @@ class WordIds(dict):
             pass
         if len(self) > REMEMBERED:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for word, found in zip(part, self.encode(part, add_special_tokens=False)):
+        whole = []
+        for word in dict.fromkeys(words):
+            if word in self:
+                continue
+            if self.cuts and LATIN.fullmatch(word):
+                self[word] = b"".join(map(self.part, PARTS.findall(word.lower())))
+            else:
+                whole.append(word)
+        for a in range(0, len(whole), 10_000):
+            some = whole[a : a + 10_000]
+            for word, found in zip(some, self.encode(some, add_special_tokens=False)):
                 self[word] = np.array(found.ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, words))
 
+    def part(self, part: str) -> bytes:
+        """Of a part that is a word by itself."""
+        found = self.get(part)
+        if found is None:
+            letters = part.encode().decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.model.tokenize(letters)]
+            found = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+def cuts_latin_words(config: dict) -> bool:
+    """Whether a tokenizer's file lower-cases texts and cuts them by PATTERN, and its added tokens begin with <."""
+    normal, cut = config["normalizer"] or {}, config["pre_tokenizer"] or {}
+    steps, cuts = normal.get("normalizers", []), cut.get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == NORMAL
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and steps[1]["content"] == " "
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": PATTERN}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and all(t["content"].startswith("<") and not t["normalized"] for t in config["added_tokens"])
+    )
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker process, so that it meets a word once."""
+    return WordIds(path)
+
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END, cut only above length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
