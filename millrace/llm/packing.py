@@ -66,17 +66,13 @@ class WordIds(dict):
         self.cuts = cuts_latin_words(json.loads(tokenizer.to_str()))
 
     def of(self, text: str) -> bytes:
-        words = BREAKS.split(text)
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self) > REMEMBERED:
+        words = self.words(text)
+        new = [word for word in set(words) if word not in self]
+        if len(self) > REMEMBERED and new:
             self.clear()
+            new = list(set(words))
         whole = []
-        for word in dict.fromkeys(words):
-            if word in self:
-                continue
+        for word in new:
             if self.cuts and LATIN.fullmatch(word):
                 self[word] = b"".join(map(self.part, PARTS.findall(word.lower())))
             else:
@@ -87,6 +83,11 @@ class WordIds(dict):
                 self[word] = np.array(found.ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, words))
 
+    def words(self, text: str) -> list[str]:
+        """split() knows the white space that PATTERN drops, and four controls that it keeps."""
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return text.split() if self.cuts and not odd else BREAKS.split(text)
+
     def part(self, part: str) -> bytes:
         """Of a part that is a word by itself."""
         found = self.get(part)
