@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -71,6 +72,18 @@ def test_pieces_and_places(documents, odd, none):
     assert packing.pack(none, PATH).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    """Odd characters, odd white space, contractions and added tokens."""
+    letters = [chr(c) for c in range(1, 0x250)] + list("'''  \n\tsdtSLV<|>Σςẞ\u0301\u030c가각\u1100\u1161\u3000\u2028中文🙂")
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(5000)]
+    texts += ["a<|endoftext|>b <|startoftext|>", "it's we'll'd ''s don't", "", " ", "\x1c\x1d a\x1eb"]
+    ids, whole = packing.WordIds(PATH), Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert ids.cuts
+    for text, found in zip(texts, whole):
+        assert ids.of(text) == np.array(found.ids, "<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_fills_sequences(seed):
     lengths = np.random.default_rng(seed).integers(1, 4097, 3000)
