@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from millrace.llm import secrets
+from millrace.llm import secrets, sql
 from millrace.llm.decontamination import contaminated
 from millrace.llm.html_text import extract_text
 from millrace.llm.line_dedup import dedup_lines
@@ -77,4 +77,8 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filter": sql.url_filter(URL_RULES),
+    "op4_quality_rules": sql.quality_by_host(),
+    "op9_decontamination": sql.decontamination_pairs(),
+}
