@@ -27,7 +27,7 @@ from millrace.llm.shared import mapped, save, shared_folder
 from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 
 # Bytes of text that a shard stands for, and that a task holds as arrays at once.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 16_000_000
 TRAIN_BLOCK, SCORE_BLOCK = 12_000_000, 2_000_000
 
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
@@ -164,13 +164,7 @@ def train(texts: DataFrame, text: str = "text", label: str = "model") -> Model:
         save(f"{folder}/counts-{shard}.npy", small)
         save(f"{folder}/large-{shard}.npy", n[small == 255])
         del keys, order, first, at
-        stats = np.zeros(len(v) * 2, WORD)
-        one = stats[: len(v)]
-        one["key"], one["total"] = v, n
-        one["n1"], one["n2"], one["n3"] = n == 1, n == 2, n >= 3
-        two = stats[len(v) :]
-        two["key"], two["c"], two["pred"] = w, n, 1
-        words = summed(stats)
+        words = word_stats_of(v, w, n)
         owner = shard_of(mixed(words["key"], words["key"]), shards)
         order = np.argsort(owner, kind="stable")
         words, owner = words[order], owner[order]
@@ -224,6 +218,28 @@ def summed(stats: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_stats_of(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One row for each word of distinct pairs (v, w) of count n; either side is sorted by itself, to hold little at once."""
+    def side(keys: np.ndarray, columns: dict) -> tuple[np.ndarray, dict]:
+        order = np.argsort(keys)
+        first = grouped(keys, order)
+        sums = {name: np.add.reduceat(of()[order], first, dtype=np.int64) for name, of in columns.items()}
+        return keys[order[first]], sums
+
+    sides = [
+        side(v, {"total": lambda: n, "n1": lambda: n == 1, "n2": lambda: n == 2, "n3": lambda: n >= 3}),
+        side(w, {"c": lambda: n, "pred": lambda: np.ones(len(n), np.uint8)}),
+    ]
+    found = np.union1d(sides[0][0], sides[1][0])
+    out = np.zeros(len(found), WORD)
+    out["key"] = found
+    for keys, sums in sides:
+        at = np.searchsorted(found, keys)
+        for name, values in sums.items():
+            out[name][at] = values
+    return out
+
+
 def columnar(words: np.ndarray) -> bytes:
     """Column after column, which packs better than row after row."""
     parts = [low_bytes(words["key"])] + [words[n].astype("<f8" if WORD[n].kind == "f" else "<u4") for n in STATS.names]
