@@ -5,7 +5,7 @@ distance share a segment unchanged. Every line files its segments by length and
 probes, for its own and each shorter length, the substrings that could be such a segment.
 Map tasks send the hashes of both in packed arrays; a shard sorts them and yields the
 lines that meet. Only those lines' texts are fetched, and a banded bit-parallel edit
-distance decides.
+distance decides. Lines too short to allow edits are copies only if they are equal.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from millrace.llm.quality_rules import bound
 from millrace.sources.staging import stage
 
 EDITS = 2
-LEAST_CHARS = 40  # shorter lines are too common to be copies and stay
+LEAST_CHARS = 1  # of a line that may be a copy; blank ones stay
+EDIT_CHARS = 40  # shorter lines say something else after two edits, so they are copies only if equal
 SHARD_BYTES = 24_000_000  # of text for each shard
 BLOCK = 600_000  # entries packed at once
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("filed", "u1")])
@@ -79,7 +80,7 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, at, line, line_hash) of the lines that are long enough."""
+    """(doc_id, text_hash, at, line, line_hash) of the lines that are not blank."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     long = rows.filter((F.length("line") >= LEAST_CHARS) & F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
@@ -144,7 +145,7 @@ def meeting_lines(docs: DataFrame, edits: int, shards: int) -> DataFrame:
         kept = entries[np.repeat(good, size)]
         return pd.DataFrame({"bucket": kept["key"].view(np.int64) if len(kept) else [], "node": kept["line"]})
 
-    rows = numbered_lines(docs).select("line", "line_hash")
+    rows = numbered_lines(docs).filter(F.length("line") >= EDIT_CHARS).select("line", "line_hash")
     packs = rows.mapInArrow(send, "shard int, data binary")
     return packs.groupBy("shard").applyInPandas(meet, "bucket long, node long")
 
@@ -231,9 +232,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """All columns of docs, text without its repeated lines, and n_lines, n_dropped.
 
-    Of lines of LEAST_CHARS characters or more that equal one another or are within `edits`
+    Of lines that equal one another or, from EDIT_CHARS characters on, are within `edits`
     character edits, directly or at more removes, the first in order of (doc_id, line)
-    stays; so do all shorter lines. NULL and empty texts stay as they are, with no line
+    stays; so do all blank lines. NULL and empty texts stay as they are, with no line
     dropped; rows that repeat doc_id and text are one document and are treated alike; NULL
     ids come first. A text may be left empty. Columns of docs that share a name with the
     result's raise.

@@ -76,6 +76,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()} == want
 
 
+def test_short_lines_that_repeat_go(spark):
+    cjk = "これは三十九文字に満たない短い文ですが全体で一つの意味を持つものです。"
+    texts = ["All rights reserved.\n \n" + cjk, "all rights reserved.\nx\n \n\nAll rights reserved.", "x\n" + cjk + "\ny\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in ld.dedup_lines(docs).collect()}
+    assert found == {0: (texts[0], 3, 0), 1: ("all rights reserved.\nx\n \n", 5, 1), 2: ("y", 4, 3)}
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     found = {(r.doc_id, r.text) for r in ld.dedup_lines(odd).collect()}
     text = odd.filter("doc_id = 1").first()["text"]
