@@ -54,6 +54,15 @@ def test_what_a_host_repeats_goes_where_no_article_is_marked(spark):
     assert extract_text(empty).count() == 0
 
 
+def test_an_article_that_the_markup_does_not_mark_does_not_hide_what_is_repeated(spark):
+    notice = "This site keeps small files on your machine so that it works as it should every time"
+    own = [" ".join(f"w{p}x{i}" for i in range(40)) for p in range(6)]
+    hidden = ["<!-- <article> -->", "<nav><article>x</article></nav>", ""] * 2
+    rows = [(p, f"http://h/{p}", f"{h}<div>{notice}</div><p>{t}</p>") for p, (h, t) in enumerate(zip(hidden, own))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == dict(enumerate(own))
+
+
 def test_pieces_and_places(documents, odd, none):
     tokenizer = Tokenizer.from_file(PATH)
     for docs in (documents, odd):
