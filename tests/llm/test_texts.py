@@ -63,6 +63,14 @@ def test_an_article_that_the_markup_does_not_mark_does_not_hide_what_is_repeated
     assert {r.page_id: r.text for r in extract_text(pages).collect()} == dict(enumerate(own))
 
 
+def test_short_blocks_that_a_host_repeats_go(spark):
+    own = [" ".join(f"w{p}x{i}" for i in range(40)) for p in range(4)] + ["only five words of it"]
+    rows = [(p, f"http://h/{p}", f"<div>Subscribe to our letter</div><p>{t}</p><div>無断転載を禁じます</div><div>All rights reserved by us</div>") for p, t in enumerate(own)]
+    rows.append((5, "http://other/1", "<div>Subscribe to our letter</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in extract_text(pages).sort("page_id").collect()] == [*own, "Subscribe to our letter"]
+
+
 def test_pieces_and_places(documents, odd, none):
     tokenizer = Tokenizer.from_file(PATH)
     for docs in (documents, odd):
