@@ -129,6 +129,7 @@ def agreement() -> Column:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark; rows with NULL ids are judged together."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows that hold a passage of the benchmark; rows that share a doc_id are judged by their own texts."""
+    row = F.xxhash64("doc_id", "text")
+    bad = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row == F.col("_bad"), "left_anti")

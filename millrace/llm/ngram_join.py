@@ -198,6 +198,24 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that of the least doc_id; texts without words and NULL ids stay."""
-    drop = jaccard_classes(docs).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each class, that of the least doc_id; texts without words stay.
+
+    Rows are judged by themselves: those of one doc_id with other texts need not share a
+    verdict, of rows that repeat doc_id and text one stays, and rows with NULL ids are searched like
+    others, after those with ids.
+    """
+    row = F.xxhash64("doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row"))
+    keys = docs.select(key.alias("doc_id"), "text")
+    found = jaccard_classes(keys)
+    # A row's mark is 0 if it is a copy of another, 1 if only of rows that equal it.
+    marks = found.groupBy(F.col("doc_id.row").alias("_row")).agg(
+        F.max(F.col("doc_id.row") != F.col("class_id.row")).alias("_copy"), F.max("n_links").alias("_links")
+    )
+    marks = stage(
+        marks.filter(F.col("_copy") | (F.col("_links") > 0)).select("_row", F.when(F.col("_copy"), 0).otherwise(1).alias("_mark")),
+        "marks",
+    )
+    marked = docs.withColumn("_row", row).join(marks, "_row", "left")
+    once = marked.filter("_mark = 1").dropDuplicates(["_row"])
+    return marked.filter("_mark IS NULL").unionByName(once).select(docs.columns)

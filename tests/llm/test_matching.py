@@ -167,6 +167,20 @@ def test_contamination(spark, odd, none):
     assert contaminated(odd, b).count() == 0 and contaminated(none, b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
 
 
+def test_verdicts_are_of_rows_and_not_of_ids(spark):
+    rng = random.Random(11)
+    item, *own = (prose(rng, 40) for _ in range(7))
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(None, item), (None, own[0]), (1, own[1] + " " + item), (1, own[2]), (2, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in without_contaminated(docs, benchmark).collect()} == {rows[i] for i in (1, 3, 4, 5)}
+    rows = [(1, own[0]), (2, own[0]), (2, own[1]), (3, own[2]), (3, own[2]), (None, own[2]), (None, own[3]), (None, own[3]),
+            (None, own[4]), (4, None), (4, None), (5, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [rows[i] for i in (0, 2, 3, 6, 8, 9, 10, 11, 12)]
+    assert sorted(map(str, map(tuple, without_copies(docs).collect()))) == sorted(map(str, want))
+
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
