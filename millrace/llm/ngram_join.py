@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
 
 Texts become sets of word shingles, sets become signatures, and a signature is cut into
-TREES runs of values, each a path in one prefix trie. Documents that share a prefix in some
-trie are candidates; prefixes are shortened, value by value, from LONGEST until a pair at
-the threshold shares one in some trie with the target probability. Candidates are then
-compared exactly. Equal sets are one node from the start, so copies of any number cost one.
+TREES bands of values, each hashed whole. Documents that share a band are candidates; the
+bands' length is the longest, up to LONGEST, at which a pair at the threshold shares one with
+the target probability, computed once. Candidates are then compared exactly. Equal sets are
+one node from the start, so copies of any number cost one.
 """
 
 from __future__ import annotations
