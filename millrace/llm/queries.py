@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and the pipeline; SQL where it can express them."""
+"""The numbered operators over their whole tables, and the pipeline; SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quality_classifier import classify
 from millrace.llm.quality_rules import judge_documents
 from millrace.llm.url_filter import judge_urls
+from millrace.llm.whitening import whiten
 from millrace.sources.tables import scan_parquet as table
 
 # The URL policy of op3.
@@ -69,11 +70,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_url_filter, op4_quality_rules, op5_ngram_join, op6_html_extraction,
         op7_packing, op8_quality_classifier, op9_decontamination, op10_secret_scan,
+        op13_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
 
