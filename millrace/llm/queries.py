@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from millrace.llm import secrets, sql
+from millrace.llm.alignment import align
 from millrace.llm.decontamination import contaminated
 from millrace.llm.html_text import extract_text
 from millrace.llm.line_dedup import dedup_lines
@@ -70,6 +71,11 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(table(spark, folder, "documents"), *paths)
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
 
@@ -79,7 +85,7 @@ QUERIES = {
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_url_filter, op4_quality_rules, op5_ngram_join, op6_html_extraction,
         op7_packing, op8_quality_classifier, op9_decontamination, op10_secret_scan,
-        op13_whitening,
+        op11_token_alignment, op13_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
 
