@@ -19,17 +19,19 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.sources.staging import stage
 
-BLOCK = 8_000_000  # bytes of text that share a dictionary
-BATCH = 1_000_000  # bytes, or products, that are held as arrays at once
-REMEMBERED = 400_000  # units that a worker keeps before it starts afresh
+BLOCK = 2_000_000  # characters of text that share a dictionary
+BATCH = 200_000  # characters, or products, that are held as arrays at once
+REMEMBERED = 100_000  # units that a worker keeps before it starts afresh
 
 SPACE = "▁"  # how pieces write a space
 # White space in the widest sense, its run before other characters, and what follows up to
@@ -37,6 +39,8 @@ SPACE = "▁"  # how pieces write a space
 WHOLE = re.compile(".+", re.DOTALL)
 UNIT = re.compile(rf"[\s{SPACE}]*[^\s{SPACE}]+(?:(?![ \n])[\s{SPACE}]+[^\s{SPACE}]*)*|[\s{SPACE}]+")
 BYTE = re.compile("<0x([0-9A-F]{2})>")
+# Fixed value: how byte-level vocabularies cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 Matrix = tuple[np.ndarray, np.ndarray, np.ndarray]  # CSR: where rows start and end, columns, values
 
@@ -72,12 +76,15 @@ def products(a: Matrix, b: Matrix, most: int = BATCH) -> Iterator[tuple[np.ndarr
 
 def summed(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of one place added up, in order of rows and columns."""
-    down = (rows[1:] < rows[:-1]) | (rows[1:] == rows[:-1]) & (columns[1:] < columns[:-1])
-    if down.any():
-        order = np.lexsort((columns, rows))
-        rows, columns, values = rows[order], columns[order], values[order]
-    new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])))
-    at = np.flatnonzero(new)
+    width = int(columns.max()) + 1
+    if width < 1 << 62 - int(rows.max()).bit_length():
+        place = rows * width + columns
+    else:
+        place = np.unique(np.array([rows, columns]), axis=1, return_inverse=True)[1].ravel()
+    if (place[1:] < place[:-1]).any():
+        order = np.argsort(place)
+        rows, columns, values, place = rows[order], columns[order], values[order], place[order]
+    at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     return rows[at], columns[at], np.add.reduceat(values, at)
 
 
@@ -114,16 +121,19 @@ class Tokenizers:
     """Token ids of units by both tokenizers, and the bytes of every id."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(bytes_path)
-        self.a.encode_special_tokens = True
+        with open(bytes_path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.a_bytes = byte_level_tokens(config["model"]["vocab"])
+        self.a = byte_level_encoder(config, self.a_bytes) or any_encoder(bytes_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.a_bytes = byte_level_tokens(json.loads(self.a.to_str())["model"]["vocab"])
         self.b_bytes = [self.piece_bytes(i, piece) for i, piece in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        # How ids are written before another of their kind, and as the last of a group or a unit.
+        ends = (self.a_bytes, ","), (self.a_bytes, "|"), (self.b_bytes, ","), (self.b_bytes, ";"), (self.b_bytes, "\n")
+        self.written = [f"{i}{end}" for ids, end in ends for i in range(len(ids))]
         self.mark = self.b.encode("\n")
         # No piece may hold a line feed, or a space after something else.
         joins = any("\n" in p or " " in p or SPACE in p.lstrip(SPACE) for p in pieces)
@@ -137,12 +147,36 @@ class Tokenizers:
         return self.cut.findall(" " + text)
 
     def ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
         if self.cut is WHOLE:
-            return a, self.b.encode([u[1:] for u in units], num_threads=1)
+            return self.a(units), self.b.encode([u[1:] for u in units], num_threads=1)
         # After a line feed a unit is encoded as inside a text.
         b = self.b.encode(["\n" + u for u in units], num_threads=1)
-        return a, [x[len(self.mark) :] for x in b]
+        return self.a(units), [x[len(self.mark) :] for x in b]
+
+
+def byte_level_encoder(config: dict, tokens: list[bytes]):
+    """Ids by the ranks of a vocabulary whose merges are in order of their ids; None for another kind of tokenizer."""
+    import tiktoken
+
+    model, cut = config["model"], config["pre_tokenizer"] or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(pair)] for pair in pairs]
+    plain = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+    if not plain or config["normalizer"] or model.get("dropout") or any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    added = {t["id"] for t in config["added_tokens"]}
+    ranks = {token: i for i, token in enumerate(tokens) if i not in added}
+    encode = tiktoken.Encoding("units", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda units: list(map(encode, units))
+
+
+def any_encoder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda units: [x.ids for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
 def byte_level_tokens(vocabulary: dict[str, int]) -> list[bytes]:
@@ -186,64 +220,78 @@ class Units(dict):
         self.new = []
 
     def align(self, units: list[str]) -> None:
-        a, b = self.both.ids(units)
-        known_a, known_b = self.both.a_bytes, self.both.b_bytes
+        both = self.both
+        a, b = both.ids(units)
         sizes = np.zeros((len(units), 5), np.int64)
-        for i, unit in enumerate(units):
-            whole = unit.encode()
-            if b"".join(map(known_a.__getitem__, a[i])) != whole or b"".join(map(known_b.__getitem__, b[i])) != whole:
-                sizes[i, 4], a[i], b[i] = 1, [], []
-        sizes[:, 0], sizes[:, 1] = [len(x) for x in a], [len(x) for x in b]
-        a_ids, b_ids = (np.fromiter((t for x in y for t in x), np.int64) for y in (a, b))
-        a_size = np.fromiter((len(known_a[t]) for t in a_ids.tolist()), np.int64)
-        b_size = np.fromiter((len(known_b[t]) for t in b_ids.tolist()), np.int64)
-        a_group, b_group = groups_of(a_size, b_size)
+        whole = "".join(units).encode()
+        if any(self.joined(k, x) != whole for k, x in ((both.a_bytes, a), (both.b_bytes, b))):
+            for i, unit in enumerate(units):
+                if any(self.joined(k, x[i : i + 1]) != unit.encode() for k, x in ((both.a_bytes, a), (both.b_bytes, b))):
+                    sizes[i, 4], a[i], b[i] = 1, [], []
+        sizes[:, 0], sizes[:, 1] = list(map(len, a)), list(map(len, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        a_group, b_group = groups_of(both.a_size[a_ids], both.b_size[b_ids])
         n_groups = int(a_group[-1]) + 1 if len(a_group) else 0
         unit_of = np.zeros(n_groups, np.int64)
         unit_of[a_group] = np.repeat(np.arange(len(units)), sizes[:, 0])
         sizes[:, 2] = np.bincount(unit_of, minlength=len(units))
-        self.groups += written(a_ids, a_group, b_ids, b_group, np.cumsum(sizes[:, 2]))
+        self.groups += self.as_text(a_ids, a_group, b_ids, b_group, unit_of, sizes[:, 0] > 0)
         found = [np.zeros((3, 0), np.int64)]
         for group, x, y, links in shared_links(a_ids, a_group, b_ids, b_group, n_groups):
             found.append(np.array([unit_of[group], x << 32 | y, links]))
         unit, pair, links = np.concatenate(found, axis=1)
         if len(unit):
-            unit, pair, links = summed(unit, pair, links)
+            codes, number = np.unique(pair, return_inverse=True)
+            unit, number, links = summed(unit, number, links)
+            pair = codes[number]
         sizes[:, 3] = np.bincount(unit, links, len(units)).astype(np.int64)
         ends = self.starts[-1] + np.cumsum(np.bincount(unit, minlength=len(units)))
         self.sizes, self.starts = np.concatenate((self.sizes, sizes)), np.concatenate((self.starts, ends))
         self.pairs, self.links = np.concatenate((self.pairs, pair)), np.concatenate((self.links, links))
 
-
-def written(a_ids, a_group, b_ids, b_group, ends: np.ndarray) -> list[str]:
-    """The groups of each unit as text: a1,a2|b1;a3|b2,b3."""
-    n_groups = int(ends[-1]) if len(ends) else 0
-    a_edge, b_edge = (np.searchsorted(g, np.arange(n_groups + 1)).tolist() for g in (a_group, b_group))
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    each = [
-        f"{','.join(a_text[a_edge[g] : a_edge[g + 1]])}|{','.join(b_text[b_edge[g] : b_edge[g + 1]])}"
-        for g in range(n_groups)
-    ]
-    return [";".join(each[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    @staticmethod
+    def joined(known: list[bytes], ids: list[list[int]]) -> bytes:
+        return b"".join(map(known.__getitem__, chain.from_iterable(ids)))
+
+    def as_text(self, a_ids, a_group, b_ids, b_group, unit_of: np.ndarray, used: np.ndarray) -> list[str]:
+        """The groups of each unit as text: a1,a2|b1;a3|b2,b3."""
+        out = np.full(len(used), "", object)
+        if len(a_ids) == 0:
+            return out.tolist()
+        n_a, n_b = len(self.both.a_bytes), len(self.both.b_bytes)
+        a_last = np.append(a_group[1:] != a_group[:-1], True)
+        b_last = np.append(b_group[1:] != b_group[:-1], True)
+        closes = np.append(unit_of[1:] != unit_of[:-1], True)[b_group] & b_last
+        # A token's place: behind all of its kind before it, and the other kind's of groups before its own (B: and of its own).
+        a_place = np.arange(len(a_ids)) + np.searchsorted(b_group, a_group, "left")
+        b_place = np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, "right")
+        codes = np.empty(len(a_ids) + len(b_ids), np.int64)
+        codes[a_place] = a_ids + n_a * a_last
+        codes[b_place] = b_ids + 2 * n_a + n_b * (b_last.astype(np.int64) + closes)
+        text = "".join(map(self.both.written.__getitem__, codes.tolist()))
+        out[used] = text.split("\n")[:-1]
+        return out.tolist()
 
 
 FOUND = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-LOCAL = "block long, at array<int>, links array<long>, a array<int>, b array<int>, docs array<int>"
+LOCAL = "block long, at binary, links binary, a array<int>, b array<int>, docs array<int>"
 
 
 def aligned_block(texts: list[str | None], units: Units, detail: bool):
     """(columns of FOUND, groups, pairs and links of each text, dictionary) of a block."""
-    cut = [units.both.units(text) if text else [] for text in texts]
-    numbers = [list(map(units.__getitem__, some)) for some in cut]
+    numbers = [np.array(list(map(units.__getitem__, units.both.units(text) if text else [])), np.int32) for text in texts]
     units.learn()
-    flat = np.fromiter((u for some in numbers for u in some), np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(some) for some in numbers])
+    flat = np.concatenate(numbers)
+    doc = np.repeat(np.arange(len(texts)), list(map(len, numbers)))
     # A text that a tokenizer changes has no tokens. Units change by themselves.
     bad = np.bincount(doc, units.sizes[flat, 4], len(texts)) > 0
     flat, doc = flat[~bad[doc]], doc[~bad[doc]]
     sums = [np.bincount(doc, units.sizes[flat, k], len(texts)).astype(np.int64) for k in range(4)]
-    groups = [";".join(map(units.groups.__getitem__, some)) if some and not b else "" for some, b in zip(numbers, bad)]
-    digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+    groups, digests = [], []
+    for some, b in zip(numbers, bad):
+        text = "" if b else ";".join(map(units.groups.__getitem__, some.tolist()))
+        digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        groups += [text] * detail
     key, n = np.unique(doc * len(units) + flat, return_counts=True)
     doc, unit = (key // len(units), key % len(units)) if len(units) else (key, key)
     size = units.starts[unit + 1] - units.starts[unit]
@@ -252,8 +300,8 @@ def aligned_block(texts: list[str | None], units: Units, detail: bool):
     doc, links = np.repeat(doc, size), np.repeat(n, size) * units.links[at]
     if len(doc):
         doc, number, links = summed(doc, number, links)
-    edges = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(edges, pa.array(x, t)) for x, t in ((number, pa.int32()), (links, pa.int64()))]
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+    lists = [pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])]) for x in (number.astype("<i4"), links.astype("<i8"))]
     words = codes >> 32, codes & 0xFFFFFFFF, np.bincount(number, minlength=len(codes))
     found = [*(pa.array(s) for s in sums), pa.array(digests)]
     return found, pa.array(groups) if detail else None, lists, words
@@ -329,10 +377,9 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, id: str = "doc_id"
         if words.num_rows:
             words = words.sort_by("at")
         count, best = words["count"].to_numpy(), words["best"].to_numpy()
-        number, links = (docs[n].combine_chunks() for n in ("at", "links"))
-        edges, at, n = number.offsets.to_numpy(), number.flatten().to_numpy(), links.flatten().to_numpy()
-        edges = edges - edges[0] if len(edges) else edges
-        doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        at, n = (np.frombuffer(b"".join(docs[c].to_pylist()), kind) for c, kind in (("at", "<i4"), ("links", "<i8")))
+        size = pc.binary_length(docs["at"]).to_numpy() // 4
+        edges, doc = np.append(0, np.cumsum(size)), np.repeat(np.arange(len(size)), size)
         columns = [docs["id"], *(docs[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))]
         for some in (n * best[at], n * count[at]):
             total = np.zeros(docs.num_rows, np.int64)

@@ -16,6 +16,7 @@ from millrace.llm.ngram_join import jaccard_classes
 from millrace.llm.packing import pack
 from millrace.llm.quality_classifier import classify
 from millrace.llm.quality_rules import judge_documents
+from millrace.llm.suffix_dedup import without_repeats
 from millrace.llm.url_filter import judge_urls
 from millrace.llm.whitening import whiten
 from millrace.sources.tables import scan_parquet as table
@@ -76,6 +77,15 @@ def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align(table(spark, folder, "documents"), *paths)
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
 
@@ -85,7 +95,7 @@ QUERIES = {
     for f in (
         op1_lm_scoring, op2_line_dedup, op3_url_filter, op4_quality_rules, op5_ngram_join, op6_html_extraction,
         op7_packing, op8_quality_classifier, op9_decontamination, op10_secret_scan,
-        op11_token_alignment, op13_whitening,
+        op11_token_alignment, op12_suffix_dedup, op13_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
 
