@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from millrace.llm.mapped_tables import MappedTable, mapped_table
 from millrace.llm.suffix_groups import suffix_array
@@ -40,6 +40,7 @@ HELD = 100_000  # contexts that a task counts before it sends them
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 MIX = np.uint64(0xD6E8FEB86659FD93)
 CONTEXT = "core_0 long, core_1 long, id_0 long, id_1 long, before binary, after binary, low int, high int"
+SPANS = ArrayType(StructType().add("start", "long").add("end", "long"))
 FLAGS = "id_0 long, id_1 long, bits_0 long, bits_1 long"
 
 
@@ -310,7 +311,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, b
     new = ["n_bytes", "spans", "kept"]
     kept = [c for c in docs.columns if c not in new]
     schema = StructType([f for f in docs.schema.fields if f.name in kept])
-    schema = schema.add("n_bytes", "long").add("spans", "array<struct<start:long,end:long>>").add("kept", "binary")
+    schema = schema.add("n_bytes", "long").add("spans", SPANS).add("kept", "binary")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
