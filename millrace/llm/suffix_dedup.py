@@ -13,17 +13,19 @@ their strings repeat.
 A context is one symbol a byte up to the core, and one symbol, its place among the
 bucket's, for the core and all that follows, so suffixes are compared to their ends. Buckets
 of more than `bucket` different contexts (a passage among ever different neighbours) are
-counted string by string instead, by partial aggregates, and not by one task.
+halved: strings that start far before the core share more bytes before it, the others more
+bytes after it, so either half falls into smaller buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from millrace.llm.mapped_tables import MappedTable, mapped_table
@@ -33,9 +35,9 @@ from millrace.sources.staging import stage
 LENGTH = 400
 WINDOW = 128  # most; two longs say which of its strings repeat
 GRAM = 16
-PIECE = 1_000_000  # bytes of a text that are held as arrays at once
+PIECE = 500_000  # bytes of a text that are held as arrays at once
 BUCKET = 256  # different contexts of a core that one suffix array sorts
-HELD = 100_000  # contexts that a task counts before it sends them
+HELD = 40_000  # contexts that a task counts before it sends them
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -53,13 +55,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+@lru_cache(1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, for 2^bits bytes."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(1 << bits, x, np.uint64))) for x in (BASE, inverse(int(BASE))))
+
+
 class Rolling:
     """Hashes of the substrings of some bytes."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        up, down = (np.cumprod(np.full(n + 1, x, np.uint64)) for x in (BASE, inverse(int(BASE))))
-        self.down = down
+        up, self.down = powers(max(PIECE + LENGTH, n).bit_length())
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data + np.uint64(1)) * up[:n], out=self.sums[1:])
 
@@ -269,26 +276,57 @@ def sorted_buckets(found: DataFrame, shape: Shape) -> DataFrame:
     return found.repartition("core_0", "core_1").sortWithinPartitions("core_0", "core_1").mapInArrow(run, FLAGS)
 
 
-def counted_buckets(found: DataFrame, shape: Shape) -> DataFrame:
-    """FLAGS of contexts by counting each string of a bucket."""
-    w = shape.window
-    each = found.select("*", F.explode(F.sequence("low", "high")).alias("t"))
-    # What distinguishes strings of a core and a distance: the bytes before it and those after.
-    parts = F.expr("substring(before, high - t + 1, t)"), F.expr(f"substring(after, 1, {w - 1} - t)")
-    key = F.md5(F.concat(*(F.hex(F.col(c)) for c in ("core_0", "core_1", "t")), F.lit(":"), F.hex(parts[0]), F.lit(":"), F.hex(parts[1])))
-    strings = stage(each.select("id_0", "id_1", "t", "n", key.alias("string")), "strings")
-    twice = strings.groupBy("string").agg(F.sum("n").alias("n")).filter("n > 1").select("string")
-    bits = [F.bit_or(F.expr(f"if(t between {64 * i} and {64 * i + 63}, shiftleft(1L, t - {64 * i}), 0L)")).alias(f"bits_{i}") for i in (0, 1)]
-    return strings.join(twice, "string", "left_semi").groupBy("id_0", "id_1").agg(*bits)
+def halved(work: DataFrame, window: int) -> DataFrame:
+    """Contexts of too large buckets, their strings cut in two by how far before the core they start.
+
+    Strings of one half share more bytes, those up to the nearest start and those up to the
+    nearest end, and these make the new buckets. A context is at most two rows afterwards.
+    """
+    middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+    ends = F.array(F.struct(F.col("first").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("last").alias("b")))
+    ends = F.filter(ends, lambda e: F.greatest(F.col("low"), e["a"]) <= F.least(F.col("high"), e["b"]))
+    rows = work.withColumn("half", F.explode(ends)).withColumns({"first": F.col("half.a"), "last": F.col("half.b")})
+    rows = rows.withColumns({"to": F.least("high", "last"), "from": F.greatest("low", "first")})
+    rows = rows.withColumns({
+        "before": F.expr("substring(before, high - to + 1, to)"), "after": F.expr(f"substring(after, 1, {window - 1} - from)"),
+    })
+    shared = F.expr("substring(before, to - first + 1, first)"), F.expr(f"substring(after, 1, {window - 1} - last)")
+    named = [F.hex("core_0"), F.hex("core_1"), F.hex("first"), F.hex("last"), *map(F.hex, shared)]
+    rows = rows.withColumn("core", F.md5(F.concat_ws(":", *named)))
+    long = lambda start: F.conv(F.substring("core", start, 16), 16, -10).cast("long")
+    return rows.select(
+        long(1).alias("core_0"), long(17).alias("core_1"), "id_0", "id_1", "before", "after",
+        F.col("from").alias("low"), F.col("to").alias("high"), "n", "first", "last",
+    )
+
+
+def all_bits(word: int) -> Column:
+    """The bits from column first to column last, as far as they are in a 64-bit word."""
+    low, high = f"greatest(first - {64 * word}, 0)", f"least(last - {64 * word}, 63)"
+    return F.expr(f"if({low} <= {high}, shiftleft(-1L, {low}) & shiftrightunsigned(-1L, 63 - {high}), 0L)").alias(f"bits_{word}")
 
 
 def repeated_contexts(found: DataFrame, shape: Shape, bucket: int) -> DataFrame:
-    core = ["core_0", "core_1"]
-    large = stage(found.groupBy(*core).count().filter(F.col("count") > bucket).select(*core), "large")
-    small = sorted_buckets(found.join(large, core, "left_anti"), shape)
-    if large.isEmpty():
-        return small
-    return small.unionByName(counted_buckets(found.join(large, core, "left_semi"), shape))
+    """FLAGS of contexts. A bucket too large to sort is halved until its parts are not, or hold one string alone."""
+    core, parts = ["core_0", "core_1"], []
+    work = found.withColumns({"first": F.lit(0), "last": F.lit(shape.window - 1)})
+    whole = (F.col("low") <= F.col("first")) & (F.col("high") >= F.col("last"))
+    strings = F.md5(F.concat_ws(":", F.hex("before"), F.hex("after")))
+    while True:
+        sizes = work.groupBy(*core).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("n").alias("times"),
+            (F.bool_and(whole) & (F.min(strings) == F.max(strings))).alias("same"),
+        )
+        large = stage(sizes.filter(F.col("rows") > bucket).select(*core, "same", "times"), "large")
+        if large.isEmpty():
+            parts.append(sorted_buckets(work, shape))
+            break
+        parts.append(sorted_buckets(work.join(large, core, "left_anti"), shape))
+        alike = work.join(large.filter("same AND times > 1"), core, "left_semi")
+        parts.append(alike.select("id_0", "id_1", all_bits(0), all_bits(1)))
+        work = stage(halved(work.join(large.filter("NOT same"), core, "left_semi"), shape.window), "halves")
+    flags = reduce(DataFrame.unionByName, parts)
+    return flags.groupBy("id_0", "id_1").agg(*(F.bit_or(c).alias(c) for c in ("bits_0", "bits_1")))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
