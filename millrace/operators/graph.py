@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.json import dependency_list
@@ -70,11 +70,8 @@ def topological_levels(
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
     are left to missing_dependencies and ignored here.
 
-    All graphs go through the same rounds. In a round, tasks whose dependencies all have a
-    level are placed by an aggregate; then the edges are walked in batches of bounded size,
-    and what can be placed inside a batch is. Edges of placed tasks leave, the others learn
-    the new levels, until a round places nothing. Graphs that fit into a batch end after
-    the first round; the driver sees two counts a round.
+    Graphs of at most `batch` edges are ordered whole, many in one task, in a single pass.
+    Larger ones are spread over tasks and contracted round by round: see _contracted.
     """
     node, dep = [*group, key], [*group, "dep_key"]
     nodes = tasks.select(*node).distinct()
@@ -82,32 +79,115 @@ def topological_levels(
     # aggregation, and a dependency that most edges share could not be split.
     distinct = edges.select(*group, key, "dep_key").distinct()
     known = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
-    known = stage(known, "edges")
+    known, n_edges = _staged(known, "edges")
     roots = nodes.join(known, node, "left_anti").select(*node, F.lit(0).alias("level"))
-    counts = known.groupBy(*node).agg(F.count(F.lit(1)).alias("needs"))
-    open_edges, left = _staged(
-        known.join(counts, node).join(_as_deps(roots, group, key), dep, "left").select(*node, "dep_key", "needs", "dep_level"),
-        "open",
-    )
-    levels = [roots]
+    if n_edges <= batch:
+        return roots.unionByName(_walked_whole(known, group, key, batch))
+    large, n_large = _staged(known.groupBy(*group).count().filter(F.col("count") > batch).select(*group), "large")
+    if not n_large:
+        return roots.unionByName(_walked_whole(known, group, key, batch))
+    small = _walked_whole(known.join(large, list(group), "left_anti"), group, key, batch)
+    deep = _contracted(known.join(large, list(group), "left_semi"), roots, group, key, batch)
+    return roots.unionByName(small).unionByName(deep)
+
+
+def _contracted(edges: DataFrame, roots: DataFrame, group: Sequence[str], key: str, batch: int) -> DataFrame:
+    """Levels of the tasks of large graphs, of which roots are the tasks without edges.
+
+    An edge says level(task) >= max(base, level(dep) + step). Each round places tasks that
+    wait for nothing, and those whose dependencies are placed inside a batch of edges in
+    order of their keys. A task that waits for a single other one needs no place of its
+    own: its edge is followed by doubling, to where it ends, and replaces it in the edges
+    of others, whose parallel ones become one. So chains of any length take a number of
+    steps that grows with its logarithm, and so do graphs that fall apart into chains; what
+    remains are tasks that wait for several others, a layer of them or a batch a round.
+    In the end the tasks that were followed take their level from where they ended.
+    """
+    node, dep = [*group, key], [*group, "dep_key"]
+    start = edges.select(*node, "dep_key", F.lit(0).alias("base"), F.lit(1).alias("step"))
+    longest = edges.count() + 1  # no path has more edges
+    at_start = _as_deps(roots.select(*node, "level"), group, key)
+    waiting, left = _staged(_merged(_resolved(start, at_start, dep), node), "waiting")
+    placed_parts, followed_parts = [], []
     while left:
-        ready = open_edges.groupBy(*node).agg(
-            F.bool_and(F.col("dep_level").isNotNull()).alias("ready"), (F.max("dep_level") + 1).alias("level")
+        per_task = waiting.groupBy(*node).agg(
+            F.count("dep_key").alias("n"), F.max("dep_key").alias("dep_key"), F.max("base").alias("base"), F.max("step").alias("step")
         )
-        by_aggregate = ready.filter("ready").select(*node, "level")
-        both = by_aggregate.unionByName(_walked(open_edges, group, key, batch)).groupBy(*node).agg(F.max("level").alias("level"))
-        placed, n_placed = _staged(both, "placed")
-        if not n_placed:
+        state = stage(per_task, "state")
+        ready = state.filter("n = 0").select(*node, F.col("base").alias("level"))
+        placed = ready.unionByName(_walked(waiting, group, key, batch)).groupBy(*node).agg(F.max("level").alias("level"))
+        placed, n_placed = _staged(placed, "placed")
+        single = state.filter("n = 1").select(*node, "dep_key", "base", "step").join(placed, node, "left_anti")
+        followed, n_followed = _followed(single.select(*node, "dep_key", "base", "step"), group, key, longest)
+        if not n_placed and not n_followed:
             break
-        levels.append(placed)
-        rest = open_edges.join(placed.select(*node), node, "left_anti")
-        learnt = rest.join(_as_deps(placed, group, key).withColumnRenamed("dep_level", "_new"), dep, "left")
-        open_edges, left = _staged(
-            learnt.select(*node, "dep_key", "needs", F.coalesce("dep_level", "_new").alias("dep_level")), "open"
+        placed_parts.append(placed)
+        followed_parts.append(followed)
+        gone = placed.select(*node).unionByName(state.filter("n = 1").select(*node)).distinct()
+        rest = waiting.join(gone, node, "left_anti").select(*node, "dep_key", "base", "step")
+        ends = followed.select(
+            *group, F.col(key).alias("dep_key"), F.col("dep_key").alias("_end"),
+            F.col("base").alias("_base"), F.col("step").alias("_step"),
+        )
+        base, step = F.col("base"), F.col("step")
+        moved = rest.join(ends, dep, "left").select(
+            *node, F.coalesce("_end", "dep_key").alias("dep_key"),
+            F.greatest(base, F.col("_base") + step).alias("base"), (step + F.coalesce("_step", F.lit(0))).alias("step"),
+        )
+        waiting, left = _staged(_merged(_resolved(moved, _as_deps(placed, group, key), dep), node), "waiting")
+    levels = reduce(DataFrame.unionByName, [roots, *placed_parts]) if placed_parts else roots
+    for followed in reversed(followed_parts):
+        ended = followed.join(_as_deps(levels, group, key), dep)
+        level = F.greatest(F.col("base"), F.col("dep_level") + F.col("step"))
+        found = stage(ended.select(*node, level.alias("level")), "ended")
+        levels = levels.unionByName(found)
+    tasks = edges.select(*node).distinct()
+    return tasks.join(levels, node, "left").select(*node, "level")
+
+
+def _resolved(waiting: DataFrame, placed: DataFrame, dep: list[str]) -> DataFrame:
+    """Edges to placed tasks become a base without a dependency."""
+    known = F.col("dep_level").isNotNull()
+    joined = waiting.join(placed, dep, "left")
+    return joined.select(
+        *[c for c in waiting.columns if c not in ("dep_key", "base", "step")],
+        F.when(~known, F.col("dep_key")).alias("dep_key"),
+        F.greatest(F.col("base"), F.col("dep_level") + F.col("step")).alias("base"),
+        F.when(known, 0).otherwise(F.col("step")).alias("step"),
+    )
+
+
+def _merged(waiting: DataFrame, node: list[str]) -> DataFrame:
+    """Parallel edges as one."""
+    return waiting.groupBy(*node, "dep_key").agg(F.max("base").alias("base"), F.max("step").alias("step"))
+
+
+def _followed(single: DataFrame, group: Sequence[str], key: str, longest: int) -> tuple[DataFrame, int]:
+    """Edges of tasks that wait for one other, made to end at a task that is not such; by doubling.
+
+    Those that lead into a cycle grow beyond the longest path and are left out.
+    """
+    node, dep = [*group, key], [*group, "dep_key"]
+    current, n = _staged(single, "followed")
+    while n:
+        ends = current.select(
+            *group, F.col(key).alias("dep_key"), F.col("dep_key").alias("_end"),
+            F.col("base").alias("_base"), F.col("step").alias("_step"),
         )
-    if left:
-        levels.append(open_edges.select(*node, F.lit(None).cast("int").alias("level")).distinct())
-    return reduce(DataFrame.unionByName, levels)
+        joined = current.join(ends, dep, "left")
+        step = F.col("step") + F.coalesce("_step", F.lit(0))
+        base = F.greatest(F.col("base"), F.col("_base") + F.col("step"))
+        jumped = joined.select(
+            *node, F.coalesce("_end", "dep_key").alias("dep_key"), base.alias("base"), step.alias("step"),
+            F.col("_end").isNotNull().alias("_on"),
+        )
+        seen = Observation()
+        counted = jumped.filter(F.col("step") < longest).observe(seen, F.count_if("_on").alias("on"), F.count(F.lit(1)).alias("n"))
+        current = stage(counted, "followed").drop("_on")
+        n = seen.get["n"]
+        if not seen.get["on"]:
+            break
+    return current, n
 
 
 def _as_deps(placed: DataFrame, group: Sequence[str], key: str) -> DataFrame:
@@ -120,55 +200,94 @@ def _staged(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return staged, staged.count()
 
 
-def _walked(edges: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
-    """Levels of the tasks that can be placed inside batches of at most `most` edges, read graph by graph."""
+def _walked_whole(edges: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
+    """Levels of the tasks of graphs of at most `most` edges, several graphs of about that many edges together."""
     names = list(group)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for frame in batches:
-            for start in range(0, len(frame), most):
-                part = frame.iloc[start : start + most]
-                if size + len(part) > most and held:
-                    yield _levels_of(pd.concat(held, ignore_index=True), names, key)
-                    held, size = [], 0
-                held.append(part)
-                size += len(part)
-        if held:
-            yield _levels_of(pd.concat(held, ignore_index=True), names, key)
+        for frame in _cut(batches, names, most):
+            yield _levels_of(frame.assign(base=0, step=1), names, key, whole=True)
 
     schema = edges.select(*group, key).schema.add("level", "integer")
-    return edges.repartition(*group).sortWithinPartitions(*group, key).mapInPandas(walk, schema)
+    return edges.repartition(*group).sortWithinPartitions(*group).mapInPandas(walk, schema)
 
 
-def _levels_of(edges: pd.DataFrame, group: list[str], key: str) -> pd.DataFrame:
-    """Levels of the tasks all of whose edges are here and lead to known or placed tasks."""
-    ends = [edges[[*group, key]], edges[[*group, "dep_key"]].rename(columns={"dep_key": key})]
+def _walked(waiting: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
+    """Levels of the tasks that can be placed inside batches of about `most` edges, in order of group and key.
+
+    A task with more edges than that is left to the next round's count.
+    """
+    names = [*group, key]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _cut(batches, names, most):
+            yield _levels_of(frame, list(group), key, whole=False)
+
+    schema = waiting.select(*names).schema.add("level", "integer")
+    return waiting.repartitionByRange(*names).sortWithinPartitions(*names).mapInPandas(walk, schema)
+
+
+def _cut(batches: Iterator[pd.DataFrame], names: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """Sorted rows in frames of about `most` that end where `names` change; values with more rows are left out."""
+    held, size, skipped = [], 0, None
+    for whole in batches:
+        for start in range(0, len(whole), most):
+            held.append(whole.iloc[start : start + most])
+            size += len(held[-1])
+            if size < most:
+                continue
+            frame = pd.concat(held, ignore_index=True)
+            number = frame.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+            if skipped is not None and skipped == tuple(frame[names].iloc[0]):
+                frame, number = frame[number > 0], number[number > 0]
+            skipped = None
+            last = number == number[-1] if len(number) else number
+            if len(number) and last.all() and len(number) > most:
+                held, size, skipped = [], 0, tuple(frame[names].iloc[0])
+                continue
+            if len(number) and not last.all():
+                yield frame[~last].reset_index(drop=True)
+                frame = frame[last]
+            held, size = [frame], len(frame)
+    frame = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    if len(frame) and skipped is not None and skipped == tuple(frame[names].iloc[0]):
+        frame = frame[frame.groupby(names, sort=False, dropna=False).ngroup().to_numpy() > 0].reset_index(drop=True)
+    if len(frame):
+        yield frame
+
+
+def _levels_of(edges: pd.DataFrame, group: list[str], key: str, whole: bool) -> pd.DataFrame:
+    """Levels of the tasks all of whose dependencies are placed by these edges.
+
+    The edges of a task are all here, one without dep_key being a base. If graphs are
+    whole, tasks without edges are roots, and those that cannot be placed have no level.
+    """
+    known = edges["dep_key"].isna().to_numpy()
+    ends = [edges[[*group, key]], edges.loc[~known, [*group, "dep_key"]].rename(columns={"dep_key": key})]
     both = pd.concat(ends, ignore_index=True)
-    codes = both.groupby([*group, key], sort=False).ngroup().to_numpy()
+    codes = both.groupby([*group, key], sort=False, dropna=False).ngroup().to_numpy()
     nodes = both.drop_duplicates(ignore_index=True)
-    task, needs = np.split(codes, 2)
-    given = edges["dep_level"].to_numpy(dtype=float, na_value=np.nan)
-    unknown = np.isnan(given)
-    wanted = np.zeros(len(nodes), np.int64)
-    wanted[task] = edges["needs"].to_numpy()
-    here = np.bincount(task, minlength=len(nodes))
-    waiting = np.bincount(task[unknown], minlength=len(nodes)) + (wanted != here)
-    base, level = np.zeros(len(nodes), np.int64), np.full(len(nodes), -1)
-    np.maximum.at(base, task[~unknown], given[~unknown].astype(np.int64))
-    sources, dependants = needs[unknown], task[unknown]
-    order = np.argsort(sources, kind="stable")
-    dependants, used = dependants[order], np.bincount(sources, minlength=len(nodes))
+    task, needs = codes[: len(edges)], codes[len(edges) :]
+    level, own = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
+    own[task] = True
+    np.maximum.at(level, task, edges["base"].to_numpy(dtype=np.int64))
+    dependants, steps = task[~known], edges["step"].to_numpy(dtype=np.int64)[~known]
+    waiting = np.bincount(dependants, minlength=len(nodes))
+    order = np.argsort(needs, kind="stable")
+    dependants, steps, used = dependants[order], steps[order], np.bincount(needs, minlength=len(nodes))
     starts = np.cumsum(used) - used
-    free = np.flatnonzero((here > 0) & (waiting == 0))
+    free = np.flatnonzero((waiting == 0) & (own | whole))
+    placed = np.zeros(len(nodes), bool)
     while free.size:
-        level[free] = base[free] + 1
+        placed[free] = True
         n = used[free]
-        met = dependants[np.repeat(starts[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        np.maximum.at(base, met, np.repeat(level[free], n))
+        at = np.repeat(starts[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met = dependants[at]
+        np.maximum.at(level, met, np.repeat(level[free], n) + steps[at])
         np.subtract.at(waiting, met, 1)
         free = np.unique(met[waiting[met] == 0])
-    return nodes.assign(level=pd.Series(level).astype("Int32"))[level >= 0]
+    found = nodes.assign(level=pd.Series(level, dtype="Int32").where(placed))
+    return found[own if whole else own & placed]
 
 
 def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -176,6 +295,126 @@ def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:
     return levels.filter(F.col("level").isNull()).select(*group).distinct()
 
 
+def cycle_members(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, batch: int = BATCH) -> DataFrame:
+    """(group, key, cycle): the tasks on cycles, and the least key of those they are on cycles with.
+
+    Tasks that merely wait for a cycle are not named, nor are tasks between two cycles.
+    What no cycle leads to and what leads to no cycle is cut off first, by levels of the
+    edges and of their reverse; the rest falls into strongly connected parts, whole graphs
+    of at most `batch` edges in a task, larger ones by spreading least keys forwards and
+    then backwards until nothing changes, a part of each at least a round.
+    """
+    node, dep = [*group, key], [*group, "dep_key"]
+    ahead = topological_levels(tasks, edges, group, key, batch).filter(F.col("level").isNull()).select(*node)
+    open_edges = _between(edges.select(*node, "dep_key").distinct(), ahead, group, key)
+    back = open_edges.select(*group, F.col("dep_key").alias(key), F.col(key).alias("dep_key"))
+    core = topological_levels(ahead, back, group, key, batch).filter(F.col("level").isNull()).select(*node)
+    rest, n_edges = _staged(_between(open_edges, core, group, key), "core")
+    if n_edges <= batch:
+        return _local_cycles(rest, group, key, batch)
+    large = stage(rest.groupBy(*group).count().filter(F.col("count") > batch).select(*group), "large")
+    small = _local_cycles(rest.join(large, list(group), "left_anti"), group, key, batch)
+    return small.unionByName(_spread_cycles(rest.join(large, list(group), "left_semi"), group, key))
+
+
+def _between(edges: DataFrame, nodes: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Edges both of whose ends are among some tasks."""
+    deps = nodes.select(*group, F.col(key).alias("dep_key"))
+    return edges.join(nodes, [*group, key], "left_semi").join(deps, [*group, "dep_key"], "left_semi").select(*edges.columns)
+
+
+def _local_cycles(edges: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
+    names = list(group)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _cut(batches, names, most):
+            yield _cycles_of(frame, names, key)
+
+    schema = edges.select(*group, key).schema.add("cycle", edges.schema[key].dataType)
+    return edges.repartition(*group).sortWithinPartitions(*group).mapInPandas(find, schema)
+
+
+def _cycles_of(edges: pd.DataFrame, group: list[str], key: str) -> pd.DataFrame:
+    """Tasks of strongly connected parts that hold an edge, with the part's least key.
+
+    Least numbers spread along edges; where one spreads back to its own start, all that it
+    reached in both directions is a part. Tasks are numbered in order of their keys.
+    """
+    ends = [edges[[*group, key]], edges[[*group, "dep_key"]].rename(columns={"dep_key": key})]
+    both = pd.concat(ends, ignore_index=True)
+    codes = both.groupby([*group, key], sort=True, dropna=False).ngroup().to_numpy()
+    nodes = both.assign(_code=codes).drop_duplicates("_code").sort_values("_code", ignore_index=True).drop(columns="_code")
+    to, source = np.split(codes, 2)
+    part = np.full(len(nodes), -1)
+    active = np.ones(len(nodes), bool)
+    while active.any():
+        live = active[to] & active[source]
+        a, b = source[live], to[live]
+        colour = _least(np.where(active, np.arange(len(nodes)), len(nodes)), a, b)
+        same = colour[a] == colour[b]
+        root = colour == np.arange(len(nodes))
+        home = _least(np.where(root & active, np.arange(len(nodes)), len(nodes)), b[same], a[same])
+        found = active & (home == colour)
+        part[found] = colour[found]
+        active &= ~found
+    held = np.zeros(len(nodes), bool)
+    inner = part[to] == part[source]
+    held[part[to[inner]]] = True
+    chosen = held[part]
+    return nodes.assign(cycle=nodes[key].to_numpy()[part])[chosen]
+
+
+def _least(start: np.ndarray, source: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The least number that reaches each place along edges."""
+    value = start.copy()
+    while True:
+        before = value.copy()
+        np.minimum.at(value, to, before[source])
+        if (value == before).all():
+            return value
+
+
+def _spread_cycles(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Cycles of graphs that no task holds whole; each round settles at least one part of every graph."""
+    node, parts = [*group, key], []
+    left, n = _staged(edges, "left")
+    while n:
+        deps = left.select(*group, F.col("dep_key").alias(key))
+        nodes = stage(left.select(*node).union(deps).distinct(), "nodes")
+        colour = _spread(nodes.withColumn("colour", F.col(key)), left, group, key)
+        named = _coloured(left, colour, group, key).filter("colour = dep_colour")
+        back = named.select(*group, F.col("dep_key").alias(key), F.col(key).alias("dep_key"))
+        roots = colour.select(*node, F.when(F.col("colour") == F.col(key), F.col(key)).alias("colour"))
+        home = _spread(roots, back, group, key).withColumnRenamed("colour", "home")
+        part = stage(colour.join(home.filter("home IS NOT NULL"), node).select(*node, F.col("colour").alias("cycle")), "part")
+        inner = _coloured(left, part.withColumnRenamed("cycle", "colour"), group, key).filter("colour = dep_colour")
+        parts.append(part.join(inner.select(*group, F.col("colour").alias("cycle")).distinct(), [*group, "cycle"], "left_semi").select(*node, "cycle"))
+        rest = nodes.join(part.select(*node), node, "left_anti")
+        left, n = _staged(_between(left, rest, group, key), "left")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _coloured(edges: DataFrame, colour: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    deps = colour.select(*group, F.col(key).alias("dep_key"), F.col("colour").alias("dep_colour"))
+    return edges.join(colour, [*group, key]).join(deps, [*group, "dep_key"])
+
+
+def _spread(values: DataFrame, edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """The least colour that reaches each task from those it depends on, its own among them; NULL is none."""
+    node = [*group, key]
+    current = stage(values.select(*node, "colour"), "colour")
+    while True:
+        deps = current.select(*group, F.col(key).alias("dep_key"), "colour")
+        reached = edges.join(deps, [*group, "dep_key"]).groupBy(*node).agg(F.min("colour").alias("_new"))
+        seen = Observation()
+        least = F.least("colour", "_new")
+        joined = current.join(reached, node, "left").withColumn("_changed", ~F.col("colour").eqNullSafe(least))
+        joined = joined.observe(seen, F.count_if("_changed").alias("n"))
+        current = stage(joined.select(*node, least.alias("colour")), "colour")
+        if not seen.get["n"]:
+            return current
+
+
 def run_decisions(
     tasks: DataFrame,
     edges: DataFrame,

@@ -6,7 +6,7 @@ also on the turn they answer.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from millrace.operators import graph as g
 from millrace.workload import table
@@ -85,6 +85,23 @@ def dag_cycles(spark, d):
     return g.cyclic_groups(_levels_with_cycles(spark, d), GROUP)
 
 
+def dag_cycle_members(spark, d):
+    """Turns on a cycle; those that merely wait for one are not."""
+    tasks = _tasks(spark, d)
+    edges = g.dependency_edges(tasks).unionByName(_back_edges(spark, d))
+    return g.cycle_members(tasks, edges, GROUP, KEY)
+
+
+def dag_levels_deep(spark, d):
+    """Order lines of a supplier as one chain, far longer than a batch."""
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("resource_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("task_key")
+    )
+    before = F.lag("task_key").over(Window.partitionBy("resource_id").orderBy("task_key"))
+    chain = lines.distinct().withColumn("dep_key", before)
+    return g.topological_levels(lines, chain.filter("dep_key IS NOT NULL"), GROUP, KEY, batch=100)
+
+
 def run_if(spark, d):
     run = (
         F.when(F.col("role") == "assistant", "NONE_FAILED")
@@ -106,6 +123,8 @@ QUERIES = {
     "dag_self": dag_self,
     "dag_levels_cyclic": dag_levels_cyclic,
     "dag_cycles": dag_cycles,
+    "dag_cycle_members": dag_cycle_members,
+    "dag_levels_deep": dag_levels_deep,
     "run_if": run_if,
 }
 
@@ -144,6 +163,13 @@ SQL = {
         SELECT resource_id, CAST(turn AS VARCHAR) AS task_key,
                CASE WHEN resource_id NOT IN (SELECT resource_id FROM cyclic) THEN CAST(max(level) AS INTEGER) END AS level
         FROM walk GROUP BY 1, 2""",
+    "dag_cycle_members": f"""WITH RECURSIVE {_EDGES}, {_OPENED}
+        SELECT resource_id, CAST(turn AS VARCHAR) AS task_key, '0' AS cycle FROM reach
+        WHERE resource_id IN (SELECT resource_id FROM cyclic)""",
+    "dag_levels_deep": """
+        SELECT l_suppkey AS resource_id, task_key,
+               CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY task_key) - 1 AS INTEGER) AS level
+        FROM (SELECT DISTINCT l_suppkey, l_orderkey * 8 + l_linenumber AS task_key FROM lineitem)""",
     "dag_cycles": f"WITH RECURSIVE {_EDGES}, {_OPENED} SELECT resource_id FROM cyclic",
     "run_if": f"""WITH {_EDGES},
         o AS (SELECT resource_id, turn, CASE WHEN size > 1500 THEN 'DISABLED' WHEN size >= 1200 THEN NULL

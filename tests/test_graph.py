@@ -123,3 +123,73 @@ def test_disabled_tasks_satisfy_their_dependants(spark, rows):
     edges = spark.createDataFrame([("j", "b", "a")], "resource_id string, task_key string, dep_key string")
     none = spark.createDataFrame([], "resource_id string, task_key string, outcome string")
     assert rows(g.run_decisions(t, edges, none, GROUP, KEY)) == [("j", "a", "DISABLED"), ("j", "b", "RUN")]
+
+
+def chains(spark, groups, depth):
+    ids = spark.range(groups * depth).selectExpr(f"id % {groups} AS resource_id", f"id div {groups} AS task_key")
+    return ids, ids.filter("task_key > 0").withColumn("dep_key", F.col("task_key") - 1)
+
+
+def stages_of(monkeypatch, run):
+    """How many tables run() stages, and its result."""
+    calls = []
+    stage = g.stage
+    monkeypatch.setattr(g, "stage", lambda *a: calls.append(a[1]) or stage(*a))
+    result = run()
+    monkeypatch.setattr(g, "stage", stage)
+    return len(calls), result
+
+
+def test_chains_over_many_batches_take_logarithmic_rounds(spark, monkeypatch):
+    steps = {}
+    for depth in (60, 960):
+        nodes, edges = chains(spark, 3, depth)
+        steps[depth], levels = stages_of(monkeypatch, lambda: g.topological_levels(nodes, edges, GROUP, KEY, 20))
+        assert levels.filter(F.col("level") == F.col(KEY)).count() == levels.count() == 3 * depth
+    # Sixteen times as long: four doublings more, where rounds by length would be hundreds.
+    assert steps[960] - steps[60] <= 6 and steps[960] < 30
+
+
+def test_ladders_become_chains(spark, monkeypatch):
+    """Rungs of four tasks: two wait for the last of the rung before, one for both, one for that."""
+    depth = 80
+    rungs = [("j", f"{kind}{i}", [f"d{i - 1}"] if kind in "ab" and i else ["ab"[0] + str(i), f"b{i}"] if kind == "c" else [f"c{i}"] if kind == "d" else [])
+             for i in range(depth) for kind in "abcd"]
+    t = spark.createDataFrame(rungs, "resource_id string, task_key string, depends_on array<string>")
+    steps, levels = stages_of(monkeypatch, lambda: g.topological_levels(t, g.dependency_edges(t), GROUP, KEY, 10))
+    place = {"a": 0, "b": 0, "c": 1, "d": 2}
+    assert {r.task_key: r.level for r in levels.collect()} == {k: 3 * int(k[1:]) + place[k[0]] for _, k, _ in rungs}
+    assert steps < 60
+
+
+def test_a_cycle_that_spans_batches(spark, rows):
+    ring = [("j", i, (i - 1) % 50) for i in range(50)] + [("j", 50 + i, 49 + i) for i in range(30)]
+    edges = spark.createDataFrame(ring, "resource_id string, task_key long, dep_key long")
+    nodes = edges.select(*GROUP, KEY).union(spark.createDataFrame([("j", 99)], "resource_id string, task_key long"))
+    levels = g.topological_levels(nodes, edges, GROUP, KEY, 7)
+    assert rows(levels.filter("level IS NOT NULL")) == [("j", 99, 0)] and levels.count() == 81
+
+
+def python_cycles(nodes, deps):
+    reach = {}
+    for n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            for d in deps[todo.pop()]:
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        reach[n] = seen
+    return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes if n in reach[n]}
+
+
+@pytest.mark.parametrize("small", SIZES)
+@pytest.mark.parametrize("seed", range(2))
+def test_tasks_on_cycles_are_told_from_tasks_behind_them(spark, seed, small):
+    rng = random.Random(seed)
+    nodes = [(f"j{j}", f"t{i:02d}") for j in range(3) for i in range(14)]
+    deps = {(j, t): [(j, f"t{d:02d}") for d in rng.sample(range(14), rng.choice([0, 1, 1, 2]))] for j, t in nodes}
+    df = spark.createDataFrame([(j, t, [d for _, d in deps[j, t]]) for j, t in nodes], "resource_id string, task_key string, depends_on array<string>")
+    found = g.cycle_members(df, g.dependency_edges(df), GROUP, KEY, small).collect()
+    assert {(r.resource_id, r.task_key): (r.resource_id, r.cycle) for r in found} == python_cycles(nodes, deps)
+    assert len(found) == len({(r.resource_id, r.task_key) for r in found})
