@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.transform import newer_than
 
+NULL_SPREAD = 1024
+
 
 def changes_first(control: DataFrame, group: str = "resource_id") -> DataFrame:
     """Without a watermark every job is new."""
@@ -74,12 +76,14 @@ def create_or_update(
     rows: DataFrame, ids: DataFrame, live: DataFrame, key: str = "resource_id", value: str = "job_id"
 ) -> DataFrame:
     """CREATE without a stored id, RECREATE when that id is no longer live, else UPDATE."""
-    known = live.select(F.col(value)).distinct().withColumn("_live", F.lit(True))
-    found = lookup_ids(rows, ids, key, value).join(known, value, "left")
+    known = live.select(F.col(value)).distinct().withColumns({"_live": F.lit(True), "_spread": F.lit(0)})
+    # Rows without an id match nothing, but would all be sent to one task by it.
+    spread = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(F.col(key)), F.lit(NULL_SPREAD)).cast("int")).otherwise(0)
+    found = lookup_ids(rows, ids, key, value).withColumn("_spread", spread).join(known, [value, "_spread"], "left")
     action = (
         F.when(F.col(value).isNull(), "CREATE").when(F.col("_live").isNull(), "RECREATE").otherwise("UPDATE")
     )
-    return found.withColumn("action", action).drop("_live")
+    return found.withColumn("action", action).drop("_live", "_spread")
 
 
 def file_diff(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ Two join shapes give the same rows:
   finds the source small enough to broadcast; beyond that it is a sort-merge join
   whose target side AQE may split. For increments into large targets.
 * ``how="full"``: one full outer join, each side shuffled once. For sources about as
-  large as the target, such as snapshots.
+  large as the target, such as snapshots. Keys that hold much of the target are joined
+  apart, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.temporal import EPOCH
+from millrace.sources.staging import stage
 
 NULL_KEY_SPREAD = 1024
+HEAVY = 64  # a key with more than one row in so many is heavy
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
@@ -70,56 +73,59 @@ def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.when(_any_null(keys), scattered).otherwise(F.lit(0))
 
 
-def _prefixed(df: DataFrame, prefix: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return df.select(
-        *[F.col(c).alias(f"{prefix}{c}") for c in columns],
-        _spread(df, keys).alias(f"{prefix}_spread"),
-        F.lit(True).alias(f"{prefix}_here"),
-    )
+def _prefixed(df: DataFrame, prefix: str, keys: Sequence[str], columns: Sequence[str], complete: bool = False) -> DataFrame:
+    spread = [] if complete else [_spread(df, keys).alias(f"{prefix}_spread")]
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns], *spread, F.lit(True).alias(f"{prefix}_here"))
+
+
+def _on(left: str, right: str, joined: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(f"{left}{k}") == F.col(f"{right}{k}") for k in joined])
 
 
-def _on(left: str, right: str, keys: Sequence[str]) -> Column:
-    pairs = [F.col(f"{left}{k}") == F.col(f"{right}{k}") for k in keys]
-    return reduce(and_, [*pairs, F.col(f"{left}_spread") == F.col(f"{right}_spread")])
+def _complete(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
 
 
-def _once(repeated: Column, keys: Sequence[str]) -> Column:
-    message = f"several source rows match one target row on ({', '.join(keys)})"
-    return F.when(repeated, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
+def _repeated(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Complete keys that several source rows have; rows are counted before they are shuffled."""
+    counts = source.filter(_complete(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter("_n > 1").select(*keys)
 
 
-def _full(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join; the check for repeated matches uses the join's own partitioning."""
-    by = [*[F.col(f"_s_{k}") for k in keys], F.col("_s__spread")]
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-    numbered = source.withColumn("_nth", nth)
-    joined = target.join(numbered, _on("_t_", "_s_", keys), "full_outer")
-    both = F.col("_t__here").isNotNull() & F.col("_s__here").isNotNull()
-    return joined.filter(_once(both & (F.col("_nth") > 1), keys)).drop("_nth")
+def _heavy(target: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys that make up more than a HEAVY-th of the target, by a sketch of bounded size."""
+    hashes = target.filter(_complete(keys)).select(F.xxhash64(*keys).alias("h"))
+    row = hashes.agg(F.count("h").alias("n"), F.expr(f"approx_top_k(h, {HEAVY}, {HEAVY * 32})").alias("top")).first()
+    return [top["item"] for top in row["top"] or () if top["count"] * HEAVY > row["n"]]
 
 
-def _left(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _full(target: DataFrame, source: DataFrame, keys: Sequence[str], joined: Sequence[str], heavy: list[int]) -> DataFrame:
+    """Full outer join, each side shuffled once.
+
+    Rows of heavy target keys are left out of the shuffle: the few source rows that may
+    match them, no more than there are heavy keys, are joined to them where they are.
+    """
+    def is_heavy(side: str) -> Column:
+        return F.coalesce(F.xxhash64(*[F.col(f"{side}{k}") for k in keys]).isin(heavy), F.lit(False))
+
+    if not heavy:
+        return target.join(source, _on("_t_", "_s_", joined), "full_outer")
+    few, many = stage(source.filter(is_heavy("_s_")), "heavy"), target.filter(is_heavy("_t_"))
+    rest = target.filter(~is_heavy("_t_")).join(source.filter(~is_heavy("_s_")), _on("_t_", "_s_", joined), "full_outer")
+    return rest.unionByName(_left(many, few, keys, joined))
+
+
+def _left(target: DataFrame, source: DataFrame, keys: Sequence[str], joined: Sequence[str]) -> DataFrame:
     """Target left join source, then the source rows whose key the target lacks.
 
-    The second pass over the target reads its key columns alone. The check for repeated
-    matches tests an aggregate of the matched keys: a filter on the counts alone would be
-    moved below the join and see unmatched rows too.
+    The second pass over the target reads its key columns alone.
     """
     same_keys = reduce(and_, [F.col(f"_t_{k}") == F.col(f"_m_{k}") for k in keys])
-    named = [f"_m_{k}" for k in keys] + ["_m__spread"]
-    counted = source.groupBy(*[F.col(c.replace("_m_", "_s_", 1)).alias(c) for c in named]).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    matched = (
-        target.select(*[f"_t_{k}" for k in keys])
-        .join(counted, same_keys)
-        .groupBy(*named)
-        .agg(F.max("_n").alias("_n"))
-        .filter(_once(F.col("_n") > 1, keys))
-        .drop("_n")
-    )
-    known = target.join(source, _on("_t_", "_s_", keys), "left_outer")
-    added = source.join(matched, _on("_s_", "_m_", keys), "left_anti")
+    named = [f"_m_{k}" for k in joined]
+    wanted = source.select(*[F.col(c.replace("_m_", "_s_", 1)).alias(c) for c in named])
+    matched = target.select(*[f"_t_{k}" for k in keys]).join(wanted, same_keys).select(*named).distinct()
+    known = target.join(source, _on("_t_", "_s_", joined), "left_outer")
+    added = source.join(matched, _on("_s_", "_m_", joined), "left_anti")
     return known.unionByName(added, allowMissingColumns=True)
 
 
@@ -136,6 +142,8 @@ def merge(
     keep_deleted: bool = False,
     with_action: bool = False,
     how: str = "left",
+    staged: bool = False,
+    complete: bool = False,
 ) -> DataFrame:
     """Merge source into target on keys.
 
@@ -145,16 +153,31 @@ def merge(
     defaults values of columns an inserted row does not bring.
     delete   None, "all", or the scope columns: target rows absent from the source go,
              everywhere or only in scopes the source touches.
+    staged   the source is a staged table or a file already; otherwise it is staged here.
+    complete no key of either side holds a NULL: sides are joined on the keys alone, so that
+             a target bucketed by them is not shuffled.
+
+    The source is read once to stage it and once to find keys that several of its rows
+    have. It is an error if one of them is in the target; such rows, however many share a
+    key, are inserted without being joined. So what is joined has one row a key.
     """
     if how not in ("left", "full"):
         raise ValueError(f"how must be 'left' or 'full', not {how!r}")
+    if not staged:
+        source = stage(source, "source")
+    repeated = stage(_repeated(source, keys), "repeated")
+    extra = None
+    if not repeated.isEmpty():
+        if not target.select(*keys).join(repeated, list(keys), "left_semi").isEmpty():
+            raise ValueError(f"several source rows match one target row on ({', '.join(keys)})")
+        extra = source.join(repeated, list(keys), "left_semi").select(*source.columns)
     audit_columns = {**audit.created, **audit.updated} if audit else {}
     shared = [c for c in target.columns if c in source.columns]
     if update is None:
         update = [c for c in shared if c not in keys and c not in audit_columns]
     defaults = defaults or {}
 
-    probe = _prefixed(target, "_t_", keys, target.columns)
+    probe = _prefixed(target, "_t_", keys, target.columns, complete)
     scope = None if delete in (None, "all") else list(delete)
     if scope:
         touched = source.select(*[F.col(c).alias(f"_g_{c}") for c in scope]).distinct()
@@ -163,16 +186,20 @@ def merge(
             reduce(and_, [F.col(f"_t_{c}") == F.col(f"_g_{c}") for c in scope]),
             "left_outer",
         ).drop(*[f"_g_{c}" for c in scope])
-    feed = _prefixed(source, "_s_", keys, source.columns)
-    joined = (_full if how == "full" else _left)(probe, feed, keys)
+    once = source if extra is None else source.join(repeated, list(keys), "left_anti").select(*source.columns)
+    feed = _prefixed(once, "_s_", keys, source.columns, complete)
+    on = [*keys] if complete else [*keys, "_spread"]
+    joined = _full(probe, feed, keys, on, _heavy(target, keys)) if how == "full" else _left(probe, feed, keys, on)
+    if extra is not None:
+        joined = joined.unionByName(_prefixed(extra, "_s_", keys, source.columns, complete), allowMissingColumns=True)
 
     in_target, in_source = F.col("_t__here").isNotNull(), F.col("_s__here").isNotNull()
     applies = F.coalesce(when(_t, _s), F.lit(False)) if when else F.lit(True)
-    complete = reduce(and_, [_t(k).isNotNull() for k in keys])
+    named = _complete([f"_t_{k}" for k in keys])  # no deletion could name the others
     gone = (
         F.lit(False)
         if delete is None
-        else complete if delete == "all" else complete & F.col("_g__here").isNotNull()
+        else named if delete == "all" else named & F.col("_g__here").isNotNull()
     )
     action = (
         F.when(~in_target, "insert")

@@ -1,7 +1,7 @@
 """Micro-batch merges into a folder of snapshots.
 
-Batch n reads the newest snapshot below n and writes snapshot n. A batch that is
-repeated after a failure therefore reads the same input and overwrites its own
+Batch n reads the newest whole snapshot below n and writes snapshot n, then its entry in the
+ledger. A batch that is repeated after a failure therefore reads the same input and overwrites its own
 output, and its audit time is the batch's own, not the clock's.
 """
 
@@ -14,33 +14,30 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.operators.merge import merge
-from millrace.operators.validate import quarantine
 from millrace.sinks.partitions import merge_partitions
 from millrace.sources.staging import stage
+from millrace.streaming import ledger
 from millrace.streaming.flows import trigger
 
 SEED = -1
 
 
-def snapshot_path(root: str, batch_id: int) -> str:
-    return f"{root}/batch_id={batch_id}"
-
-
 def seed(target: DataFrame, root: str) -> None:
     """The snapshot before the first batch."""
-    target.write.mode("overwrite").parquet(snapshot_path(root, SEED))
+    ledger.write(target, root, SEED)
 
 
 def snapshot(spark: SparkSession, root: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """The newest snapshot, or the newest below a batch."""
-    return spark.read.schema(schema).parquet(snapshot_path(root, newest(spark, root, below)))
+    """The newest whole snapshot, or the newest below a batch."""
+    return spark.read.schema(schema).parquet(ledger.batch_path(root, newest(spark, root, below)))
 
 
 def newest(spark: SparkSession, root: str, below: int | None = None) -> int:
-    """Number of the newest snapshot, from file names alone; an empty snapshot counts too."""
-    files = spark.read.schema("batch_id bigint").parquet(root).inputFiles()
-    numbers = {int(part.removeprefix("batch_id=")) for f in files for part in f.split("/") if part.startswith("batch_id=")}
-    return max(n for n in numbers if below is None or n < below)
+    """Number of the newest whole snapshot; an empty snapshot counts too."""
+    found = ledger.newest(spark, root, below)
+    if found is None:
+        raise ValueError(f"no snapshot below {root}")
+    return found
 
 
 def merge_flow(
@@ -58,8 +55,8 @@ def merge_flow(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = snapshot(spark, root, schema, batch_id)
-        merged = merge(target, stage(prepare(batch), "source"), keys, **merge_options)
-        merged.write.mode("overwrite").parquet(snapshot_path(root, batch_id))
+        merged = merge(target, stage(prepare(batch), "source"), keys, staged=True, **merge_options)
+        ledger.write(merged, root, batch_id)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return trigger(writer, interval).start()
@@ -88,29 +85,6 @@ def partition_merge_flow(
     return trigger(writer, interval).start()
 
 
-def quarantine_flow(
-    stream: DataFrame,
-    check: Callable[[DataFrame], DataFrame],
-    group: list[str],
-    accepted_root: str,
-    rejected_root: str,
-    checkpoint: str,
-    interval: str | None = None,
-) -> StreamingQuery:
-    """Split each micro-batch: sound groups go on, bad ones go to a side folder with their reasons.
-
-    Both folders are written per batch, so a repeated batch overwrites itself.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = quarantine(check(batch), group)
-        accepted.write.mode("overwrite").parquet(snapshot_path(accepted_root, batch_id))
-        rejected.write.mode("overwrite").parquet(snapshot_path(rejected_root, batch_id))
-
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return trigger(writer, interval).start()
-
-
 def control_flow(
     documents: DataFrame,
     parse: Callable[[DataFrame], DataFrame],
@@ -131,8 +105,8 @@ def control_flow(
         spark = batch.sparkSession
         control = snapshot(spark, root, schema, batch_id)
         result = load(control, parse(batch), batch_time(batch_id))
-        result.table.write.mode("overwrite").parquet(snapshot_path(root, batch_id))
-        result.problems.write.mode("overwrite").parquet(snapshot_path(rejects_root, batch_id))
+        ledger.write(result.problems, rejects_root, batch_id)
+        ledger.write(result.table, root, batch_id)
 
     writer = documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return trigger(writer, interval).start()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import merge as m
 from millrace.operators.ranking import newest_per_key
 from millrace.plans.sales import incremental_load as load
+from millrace.sinks import buckets
+from millrace.sinks.partitions import merge_partitions
+from millrace.sources.staging import scratch_path
 from millrace.workload import at, plain, table
 from millrace.workload.relational import orders_bronze
 
@@ -67,6 +72,33 @@ def incremental_load(spark, d):
     return plain(load(silver, bronze, at(AS_OF)))
 
 
+def incremental_load_bucketed(spark, d):
+    """The same load into a table bucketed by order, which is not shuffled."""
+    bronze = orders_bronze(spark, d)
+    silver = bronze.filter(F.col("processed_at") < at(LOADED_UNTIL)).select(
+        "*", (F.col("processed_at") - F.expr("INTERVAL 30 DAYS")).alias("updated_at")
+    )
+    name = f"silver_{uuid.uuid4().hex}"
+    buckets.write_bucketed(silver, name, ["order_id"], 16)
+    merged = lambda target: load(target, bronze, at(AS_OF), how="full", complete=True)
+    buckets.replace_bucketed(spark, name, merged, ["order_id"], 16)
+    return plain(spark.table(name))
+
+
+def _yearly(orders):
+    """Orders with the year they are kept under; some have none."""
+    return orders.withColumn("year", F.when(F.col("o_orderkey") % 17 != 0, F.year("o_orderdate")))
+
+
+def reconcile_partitions(spark, d):
+    """A table partitioned by year takes a snapshot of some years; what those years lack goes."""
+    target, path = _yearly(_target(spark, d)), scratch_path(spark, "orders")
+    target.write.partitionBy("year").parquet(path)
+    source = _yearly(_partial_source(spark, d))
+    merge_partitions(spark, path, target.schema, source, ["year", "o_orderkey"], ["year"], delete=["year"])
+    return spark.read.schema(target.schema).parquet(path)
+
+
 def scoped_delete(spark, d):
     source = table(spark, d, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))
     return m.scoped_delete(table(spark, d, "orders"), source, ["o_custkey", "o_orderkey"], ["o_custkey"])
@@ -136,6 +168,8 @@ QUERIES = {
     "conditional_upsert": conditional_upsert,
     "incremental_window": incremental_window,
     "incremental_load": incremental_load,
+    "incremental_load_bucketed": incremental_load_bucketed,
+    "reconcile_partitions": reconcile_partitions,
     "scoped_delete": scoped_delete,
     "reconcile": reconcile,
     "reconcile_all": reconcile_all,
@@ -235,3 +269,13 @@ SQL = {
                     ELSE o_orderpriority END AS o_orderpriority
         FROM orders""",
 }
+
+SQL["incremental_load_bucketed"] = SQL["incremental_load"]
+SQL["reconcile_partitions"] = """
+    WITH y AS (SELECT *, CAST(CASE WHEN o_orderkey % 17 <> 0 THEN year(o_orderdate) END AS INTEGER) AS year FROM orders),
+         t AS (SELECT * FROM y WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+         s AS (SELECT * REPLACE (o_totalprice * 1.1::DOUBLE AS o_totalprice) FROM y
+               WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P' AND o_totalprice * 1.1::DOUBLE > 200000)
+    SELECT * FROM s
+    UNION ALL
+    SELECT * FROM t WHERE year IS NULL OR year NOT IN (SELECT year FROM s WHERE year IS NOT NULL)"""

@@ -66,3 +66,62 @@ def test_nothing_to_order(spark):
     some = spark.createDataFrame([("j", "a")], none)
     assert g.topological_levels(some, edges, ["resource_id"], "task_key").count() == 1
     assert g.topological_levels(some.limit(0), edges.limit(0), ["resource_id"], "task_key").count() == 0
+
+
+def tasks_of(df, condition="true"):
+    """Rows per partition of a result."""
+    parts = df.filter(condition).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    return sorted(r["count"] for r in parts)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins are shuffled into 16 partitions that nothing splits or merges afterwards."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.files.maxPartitionBytes": "40k",
+            "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["left", "full"])
+def test_a_third_of_the_source_on_one_key(spark, hot, shuffled, how):
+    target = spark.range(N, 2 * N).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("n"))
+    merged = m.upsert(target, hot.repartition(16), ["k"], how=how, with_action=True)
+    assert merged.groupBy("action").count().collect() and merged.count() == 2 * N
+    sizes = tasks_of(merged, "action = 'insert'")
+    assert sum(sizes) == N and max(sizes) <= 3 * sizes[len(sizes) // 2]
+
+
+def test_a_third_of_the_target_on_one_key(spark, hot, shuffled):
+    source = hot.select("k").distinct().withColumn("n", F.lit(-1).cast("long")).union(
+        spark.createDataFrame([(10 * N, 5)], "k long, n long"))
+    merged = m.upsert(hot.repartition(16), source, ["k"], how="full", with_action=True)
+    assert merged.count() == N + 1 and merged.filter("action = 'update' AND n = -1").count() == N
+    sizes = tasks_of(merged)
+    assert max(sizes) <= 3 * sizes[len(sizes) // 2]
+
+
+def test_heavy_keys_that_the_source_lacks_or_shares_are_kept_apart(spark, rows):
+    target = spark.range(900).selectExpr("CASE WHEN id < 300 THEN 'a' WHEN id < 600 THEN 'b' ELSE CAST(id AS STRING) END AS k", "id AS v")
+    source = spark.createDataFrame([("a", -1), ("700", -2), ("new", -3)], "k string, v long")
+    merged = m.reconcile(target, source, ["k"], "all", keep_deleted=True, with_action=True)
+    assert rows(m.action_counts(merged)) == [("delete", 599), ("insert", 1), ("update", 301)]
+
+
+def test_rows_without_an_id_are_spread(spark, hot, shuffled):
+    from millrace.operators.changes import create_or_update
+
+    rows_ = hot.select(F.col("n").alias("resource_id"))
+    ids = hot.filter("n < 100").select(F.col("n").alias("resource_id"), F.col("n").alias("job_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = create_or_update(rows_, ids, ids.select("job_id").filter("job_id < 50"))
+        sizes = tasks_of(found, "action = 'CREATE'")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == N - 100 and max(sizes) <= 2 * sizes[len(sizes) // 2]
+    assert found.columns == ["job_id", "resource_id", "action"]

@@ -33,16 +33,17 @@ def test_documents_of_a_folder(spark, rows, tmp_path):
     (tmp_path / "keys.yaml").write_text("jobs:\n  k:\n    2024-01-02: x")
     (tmp_path / "nan.yaml").write_text("jobs:\n  a:\n    n: .nan")
     read = documents.read_documents(spark, str(tmp_path))
-    assert read.count() == 9
+    assert read.count() == 10
     jobs = documents.yaml_jobs(read).select(documents.file_name(F.col("path")).alias("file"), "resource_id", "reason")
     assert rows(jobs) == [
-        ("broken.yaml", None, "invalid_document"), ("date.yaml", None, "invalid_document"),
+        ("broken.yaml", None, "invalid_document"), ("bytes.yaml", None, "empty_document"), ("date.yaml", None, "invalid_document"),
         ("empty.yaml", None, "no_jobs_key"), ("keys.yaml", "k", None), ("list.yaml", None, "jobs_not_a_mapping"),
         ("nan.yaml", None, "invalid_document"), ("one.yaml", "a", None), ("two.yml", "é", None)]
 
 
 def test_json_documents_match_yaml_ones(spark, rows):
-    texts = ['{"jobs": {"a": {"tasks": [1]}, "b": null}}', "{}", '{"jobs": null}', '{"jobs": [1]}', "{oops", '{"jobs": {}}']
+    texts = ['{"jobs": {"a": {"tasks": [1]}, "b": null}}', "{}", '{"jobs": null}', '{"jobs": [1]}', "{oops", '{"jobs": {}}',
+             '{"jobs": {"a": {"x": 1}, "b": 2, "a": {"x": 3}, "c": 4, "c": 4}}', None, "[1, 1]"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
     keep = ["path", "resource_id", "reason"]
     assert rows(documents.json_jobs(df).select(keep)) == rows(documents.yaml_jobs(df).select(keep))
@@ -171,3 +172,93 @@ def test_a_partition_merge_reads_touched_partitions_only(spark, tmp_path):
     merge_partitions(spark, path, schema, source, ["id", "part"], ["part"], update=["v"])
     after = spark.read.schema(schema).parquet(path)
     assert after.count() == before and after.filter("v = 9").count() == 1
+
+
+def partition_files(folder):
+    return {f"{f.parent.name}/{f.name}": f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def merged_rows(spark, rows, path, schema):
+    return rows(spark.read.schema(schema).parquet(str(path)), "p", "k", "v")
+
+
+def test_a_partition_merge_keeps_the_null_partition(spark, rows, tmp_path):
+    path = tmp_path / "t"
+    old = spark.createDataFrame([(None, 1, "old"), ("a", 1, "old"), ("b", 1, "old"), ("c", 1, "old")], "p string, k int, v string")
+    old.write.partitionBy("p").parquet(str(path))
+    before = partition_files(path)
+    source = spark.createDataFrame([(None, 9, "new"), ("a", 2, "new"), ("c", 1, "new")], old.schema)
+    done = merge_partitions(spark, str(path), old.schema, source, ["p", "k"], ["p"])
+    assert merged_rows(spark, rows, path, old.schema) == [
+        (None, 1, "old"), (None, 9, "new"), ("a", 1, "old"), ("a", 2, "new"), ("b", 1, "old"), ("c", 1, "new")]
+    # The partition between the touched ones is neither read nor written.
+    assert (done.touched, done.written, done.emptied) == (3, 3, 0)
+    kept = {f for f in before if f in partition_files(path) and partition_files(path)[f] == before[f]}
+    assert {f.split("/")[0] for f in kept} == {"p=b"}
+
+
+def test_a_partition_merge_reads_exactly_what_it_touches(spark, tmp_path):
+    from millrace.sinks import partitions as p
+
+    path = str(tmp_path / "t")
+    schema = spark.range(0).selectExpr("id", "id AS x", "CAST(id AS STRING) AS y").schema
+    spark.range(40).selectExpr("id", "id % 4 AS x", "CASE WHEN id % 5 > 0 THEN CAST(id % 5 AS STRING) END AS y").write.partitionBy("x", "y").parquet(path)
+    here = spark.read.schema(schema).parquet(path).filter(p._in({(1, None), (3, "2")}, ["x", "y"], schema))
+    assert {tuple(r) for r in here.select("x", "y").distinct().collect()} == {(1, None), (3, "2")}
+    files = {r[0].split("/t/")[1].rsplit("/", 1)[0] for r in here.select("_metadata.file_path").distinct().collect()}
+    assert files == {"x=1/y=__HIVE_DEFAULT_PARTITION__", "x=3/y=2"}
+    assert "PartitionFilters: [" in here._jdf.queryExecution().toString() and "DataFilters: []" in here._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("delete, left", [
+    (None, [("a", 1, 9), ("a", 2, 1), ("b", 1, 1), ("b b/c", 1, 1), ("z", 5, 9)]),
+    (["p"], [("a", 1, 9), ("b", 1, 1), ("b b/c", 1, 1), ("z", 5, 9)]),
+    (["g"], [("a", 1, 9), ("b", 1, 1), ("z", 5, 9)]),
+    ("all", [("a", 1, 9), ("z", 5, 9)]),
+])
+def test_a_partition_merge_deletes_and_empties_partitions(spark, rows, tmp_path, delete, left):
+    path = tmp_path / "t"
+    old = spark.createDataFrame([("a", 1, 1, "g"), ("a", 2, 1, "g"), ("b", 1, 1, "h"), ("b b/c", 1, 1, "g")], "p string, k int, v int, g string")
+    old.write.partitionBy("p").parquet(str(path))
+    source = spark.createDataFrame([("a", 1, 9, "g"), ("z", 5, 9, "g")], old.schema)
+    for n in range(2):
+        done = merge_partitions(spark, str(path), old.schema, source, ["p", "k"], ["p"], delete=delete)
+        assert merged_rows(spark, rows, path, old.schema) == left
+        if n == 0:
+            assert done.emptied == {"all": 2}.get(delete if isinstance(delete, str) else "", 1 if delete == ["g"] else 0)
+
+
+def test_a_bucketed_merge_does_not_shuffle_the_target(spark, rows, name):
+    from millrace.operators import merge as m
+    from millrace.sinks import buckets
+
+    old = spark.range(2000).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    buckets.write_bucketed(old, name, ["k"], 8)
+    source = spark.range(1500, 2500).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("left", "full"):
+            plan = m.upsert(spark.table(name), source, ["k"], how=how, complete=True)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            scans = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+            assert scans
+            for i in scans:
+                above, level = [], depth(lines[i])
+                for line in reversed(lines[:i]):
+                    if depth(line) < level:
+                        above.append(line)
+                        level = depth(line)
+                # Up to the first join there is no exchange above a scan of the target.
+                below_join = above[: next(n for n, line in enumerate(above) if "Join" in line)]
+                assert not [line for line in below_join if "Exchange" in line]
+        buckets.replace_bucketed(spark, name, lambda target: m.upsert(target, source, ["k"], how="full", complete=True), ["k"], 8)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(spark.table(name).groupBy("v").count()) == [(0, 1500), (1, 1000)]
+    assert not spark.catalog.tableExists(f"{name}_next")
+    again = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()
+    assert again["data_type"] == "8"
+    spark.sql(f"INSERT INTO {name} VALUES (NULL, 3)")
+    with pytest.raises(ValueError, match="without k"):
+        buckets.replace_bucketed(spark, name, lambda target: target, ["k"], 8)
