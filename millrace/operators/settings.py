@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.json import drop_keys, keep_keys, parameters_as_list, parameters_as_strings
@@ -24,6 +26,8 @@ JOB_KEYS = (
 )
 JOB_KEY_RENAMES = {"environments": "_job_environments"}
 TASK_COLUMNS = ("task_key", "task_type", "depends_on", "disabled")
+NUMBERS_OF_JOBS, NUMBERS_OF_TASKS = ("timeout_seconds", "max_concurrent_runs"), ("timeout_seconds",)
+NOT_PLANNED = ("description",)
 JOB_TIMEOUT_SECONDS = 7200
 TASK_TIMEOUT_SECONDS = 3600
 MAX_CONCURRENT_RUNS = 1
@@ -59,6 +63,16 @@ def setting(config: Column, key: str, kind: str = "string") -> Column:
     return value if kind == "string" else value.try_cast(kind)
 
 
+def number_rules(settings: Column, names: Sequence[str]) -> dict[str, Column]:
+    """A rule per setting, of a map of variants, that is given but is no whole number."""
+    rules = {}
+    for name in names:
+        value = F.try_element_at(settings, F.lit(name))
+        given = value.isNotNull() & ~F.is_variant_null(value)
+        rules[f"bad_value:{name}"] = given & F.try_variant_get(value, "$", "bigint").isNull()
+    return rules
+
+
 def with_job_settings(jobs: DataFrame, config: str = "job_config") -> DataFrame:
     """Add one column per job setting: a default where there is one, else NULL."""
     text = F.col(config)
@@ -67,9 +81,9 @@ def with_job_settings(jobs: DataFrame, config: str = "job_config") -> DataFrame:
         "max_concurrent_runs": F.coalesce(setting(text, "max_concurrent_runs", "bigint"), F.lit(MAX_CONCURRENT_RUNS)),
         "environments": setting(text, "_job_environments"),
     }
-    for key in ("queue", "continuous", "trigger", "schedule", "tags", "job_clusters", "notification_settings",
-                "parameters", "edit_mode"):
-        columns[key] = setting(text, key)
+    for key in JOB_KEYS:
+        if key not in columns and key not in NOT_PLANNED:
+            columns[key] = setting(text, key)
     return jobs.withColumns(columns)
 
 

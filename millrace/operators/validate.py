@@ -122,6 +122,12 @@ def key_collisions(tasks: DataFrame, group: Sequence[str], key: str) -> DataFram
     )
 
 
+def colliding_keys(tasks: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """(group, key): the tasks whose cleaned key another key of their group has as well."""
+    named = tasks.select(*group, key, clean_key(F.col(key)).alias("cleaned_key"))
+    return named.join(key_collisions(tasks, group, key), [*group, "cleaned_key"], "left_semi").select(*group, key).distinct()
+
+
 def failed_rows(checked: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, reason), each once: why a group is rejected."""
     return checked.filter(F.size("reasons") > 0).select(*group, F.explode("reasons").alias("reason")).distinct()
@@ -157,19 +163,32 @@ def all_or_nothing(checked: DataFrame) -> DataFrame:
     return checked.filter(clean).drop("reasons")
 
 
-def load_summary(accepted: DataFrame, rejected: DataFrame, group: str) -> DataFrame:
-    """One row: tasks and jobs loaded, jobs that failed."""
+def load_summary(accepted: DataFrame, rejected: DataFrame, group: str, actions: DataFrame | None = None) -> DataFrame:
+    """One row: tasks and jobs loaded, jobs that failed, and tasks deleted by the merge whose actions are given."""
     loaded = accepted.agg(
         F.count(F.lit(1)).alias("tasks_loaded"), F.count_distinct(group).alias("jobs_loaded")
     )
     failed = rejected.agg(F.count_distinct(group).alias("n")).scalar()
-    return loaded.withColumn("jobs_failed", failed)
+    loaded = loaded.withColumn("jobs_failed", failed)
+    if actions is None:
+        return loaded
+    deleted = actions.agg(F.count_if(F.col("action") == "delete").alias("n")).scalar()
+    return loaded.withColumn("tasks_deleted", deleted)
+
+
+def run_outcomes(results: DataFrame, group: str, error: str = "error") -> DataFrame:
+    """(group, status, error), a row for each group: `failed` with its first error in order, or `succeeded`."""
+    first = results.groupBy(group).agg(F.min(error).alias("error"))
+    return first.select(group, _status(F.col("error")).alias("status"), "error")
 
 
 def run_summary(results: DataFrame, error: str = "error") -> DataFrame:
     """Groups per status: `succeeded` without an error, `failed` with one."""
-    status = F.when(F.col(error).isNull(), "succeeded").otherwise("failed")
-    return results.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("jobs"))
+    return results.groupBy(_status(F.col(error)).alias("status")).agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def _status(error: Column) -> Column:
+    return F.when(error.isNull(), "succeeded").otherwise("failed")
 
 
 def load_status(counts: DataFrame) -> DataFrame:

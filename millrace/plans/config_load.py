@@ -20,8 +20,8 @@ from millrace.operators.graph import (
     topological_levels,
 )
 from millrace.operators.merge import Audit, action_counts, reconcile
-from millrace.operators.settings import job_settings, task_settings
-from millrace.operators.validate import blank, dependency_rules, reasons, repeated_keys, with_type_reasons
+from millrace.operators.settings import NUMBERS_OF_JOBS, NUMBERS_OF_TASKS, job_settings, number_rules, task_settings
+from millrace.operators.validate import blank, colliding_keys, dependency_rules, reasons, repeated_keys, with_type_reasons
 from millrace.schemas import CONTROL, CONTROL_KEYS
 from millrace.sources.staging import stage
 
@@ -48,6 +48,7 @@ def job_rows(jobs: DataFrame, variables: Mapping[str, Any] | Column | None = Non
         "undefined_variable": unknown,
         "job_not_a_mapping": F.col("_given") & F.col("_text").isNotNull() & F.col("job").isNull(),
         "no_tasks": F.col("job").isNotNull() & (F.coalesce(F.size("tasks"), F.lit(0)) < 1),
+        **number_rules(F.col("job"), NUMBERS_OF_JOBS),
     }
     return listed.select(
         "path",
@@ -77,6 +78,7 @@ def task_rows(jobs: DataFrame) -> DataFrame:
     task = F.col("task")
     tasks = named.withColumn("task", F.explode_outer("tasks")).withColumns(
         {
+            "_settings": F.try_variant_get(task, "$", "map<string,variant>"),
             KEY: _text(task, "task_key"),
             "task_type": _text(task, "task_type"),
             "_deps": F.try_variant_get(task, "$.depends_on", "variant"),
@@ -87,6 +89,7 @@ def task_rows(jobs: DataFrame) -> DataFrame:
         "missing:task_key": there & blank(F.col(KEY)),
         "missing:task_type": there & blank(F.col("task_type")),
         **dependency_rules(deps, deps),
+        **number_rules(F.col("_settings"), NUMBERS_OF_TASKS),
     }
     return tasks.select(
         "path",
@@ -96,7 +99,7 @@ def task_rows(jobs: DataFrame) -> DataFrame:
         F.when(deps.isNull() | F.is_variant_null(deps), "[]").otherwise(F.to_json(deps)).alias("depends_on"),
         "task_type",
         "job_config",
-        task_settings(F.try_variant_get(task, "$", "map<string,variant>")).alias("task_config"),
+        task_settings(F.col("_settings")).alias("task_config"),
         F.coalesce(F.try_variant_get(task, "$.disabled", "boolean"), F.lit(False)).alias("disabled"),
         F.concat("job_reasons", reasons(own)).alias("reasons"),
     )
@@ -105,7 +108,8 @@ def task_rows(jobs: DataFrame) -> DataFrame:
 def graph_reasons(rows: DataFrame) -> DataFrame:
     """(path, resource_id, task_key, reason): row reasons, repeated keys and graph errors."""
     tasks = rows.filter(F.col(KEY).isNotNull())
-    edges = dependency_edges(tasks)
+    # Parsed once: missing and self-dependencies and the levels all read them.
+    edges = stage(dependency_edges(tasks), "edges")
     found = rows.select("path", GROUP, KEY, F.explode("reasons").alias("reason"))
 
     def add(problems: DataFrame, reason: str) -> DataFrame:
@@ -117,6 +121,7 @@ def graph_reasons(rows: DataFrame) -> DataFrame:
     return (
         found.unionByName(add(repeated_keys(tasks, [GROUP, KEY]), "repeated_task_key"))
         .unionByName(add(several, "repeated_resource_id"))
+        .unionByName(add(colliding_keys(tasks, [GROUP], KEY), "cleaned_key_collision"))
         .unionByName(add(missing_dependencies(tasks, edges, [GROUP], KEY), "missing_dependency"))
         .unionByName(add(self_dependencies(edges, KEY), "self_dependency"))
         .unionByName(add(cycles, "cycle"))
@@ -131,6 +136,7 @@ class Load:
     merged: DataFrame
     problems: DataFrame
     accepted: DataFrame
+    rejected: bool = False  # all of it: the table is as it was
 
     @property
     def table(self) -> DataFrame:
@@ -189,14 +195,9 @@ def load_atomic(
     strict: bool = False,
     default_warehouse: Column | None = None,
 ) -> Load:
-    """Load everything, or leave the table as it was if any document has a problem."""
+    """Load everything, or leave the table as it was if any document has a problem; then nothing is merged."""
     rows, problems = _prepared(jobs, variables, strict, default_warehouse)
-    clean = problems.agg((F.count(F.lit(1)) == 0).alias("clean")).scalar()
-    accepted = rows.filter(F.col(KEY).isNotNull()).drop("reasons").filter(clean)
-    merged = _merged(control, accepted, as_of, user, scope)
-    if scope == "all":
-        # Nothing accepted must not read as "delete everything".
-        restored = F.when((F.col("action") == "delete") & ~problems.agg(
-            (F.count(F.lit(1)) == 0).alias("clean")).scalar(), "keep").otherwise(F.col("action"))
-        merged = merged.withColumn("action", restored)
-    return Load(merged, problems, accepted)
+    accepted = rows.filter(F.col(KEY).isNotNull()).drop("reasons")
+    if problems.isEmpty():
+        return Load(_merged(control, accepted, as_of, user, scope), problems, accepted)
+    return Load(control.withColumn("action", F.lit("keep")), problems, accepted.limit(0), rejected=True)

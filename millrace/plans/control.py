@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.operators.changes import changes_first, changes_since
+from millrace.operators.changes import changes_first, changes_since, escalate, file_diff, only_loaded
 from millrace.operators.merge import Audit, insert_rows, update_where, upsert_ids
 from millrace.operators.transform import equals
 from millrace.operators.validate import load_summary
 from millrace.plans.config_load import Load, load_atomic, load_isolated
 from millrace.plans.job_plan import job_plan, task_plan
-from millrace.sinks.tables import create_control_table, create_id_map_table, replace_own_source
-from millrace.sources.documents import read_documents, yaml_jobs
+from millrace.sinks.tables import create_control_table, create_id_map_table, overwrite, replace_own_source
+from millrace.sources.documents import YAML_GLOB, read_documents, yaml_jobs
+from millrace.sources.files import list_files
 from millrace.sources.staging import stage
 
 
@@ -28,6 +29,25 @@ class Report:
     problems: DataFrame
 
 
+@dataclass(frozen=True)
+class Sync:
+    """What a poll found and did.
+
+    files    (path, action) of files that are new, modified or deleted since the listing before
+    report   of the load, None if no file changed and nothing was loaded
+    changes  (resource_id, task_key, action) of the control table since the watermark
+    plan     what to do with the jobs concerned: all if a file changed, else the changed ones
+    listing, watermark   what the next poll starts from
+    """
+
+    files: DataFrame
+    report: Report | None
+    changes: DataFrame
+    plan: DataFrame
+    listing: DataFrame
+    watermark: Any
+
+
 class ControlTable:
     """Operations on a control table by name. Times and users are parameters with the obvious defaults."""
 
@@ -58,13 +78,43 @@ class ControlTable:
         now = F.current_timestamp() if as_of is None else as_of
         who = F.current_user() if user is None else user
         load: Load = how(self.rows, jobs, now, who, variables, **options)
-        staged = Load(stage(load.merged, "merged"), load.problems, load.accepted)
-        replace_own_source(staged.table, self.name)
-        deleted = staged.merged.agg(F.count_if(F.col("action") == "delete").alias("n")).scalar()
+        # A rejected load is not written: the table stays as it is. Otherwise the merge is
+        # computed once, when it is staged, and the table is written from there.
+        staged = load if load.rejected else replace(load, merged=stage(load.merged, "merged"))
+        if not load.rejected:
+            overwrite(staged.table, self.name)
         failed = staged.problems.filter(F.col("resource_id").isNotNull())
-        summary = load_summary(staged.accepted, failed, "resource_id").withColumn("tasks_deleted", deleted)
+        summary = load_summary(staged.accepted, failed, "resource_id", staged.merged)
         return Report(summary, staged.counts, staged.problems)
 
+    def sync(
+        self,
+        folder: str,
+        live: DataFrame,
+        listing: DataFrame | None = None,
+        watermark: Any = None,
+        variables: Mapping[str, Any] | None = None,
+        **options,
+    ) -> Sync:
+        """One poll: load the folder if its files changed, find changed jobs, and plan them.
+
+        listing and watermark are those of the poll before, or None for the first one. The
+        new watermark is the newest change among the rows read, so that a change that is
+        made meanwhile is found by the next poll. A file whose load finds problems is not
+        loaded again until it changes; its problems are in the report.
+        """
+        now = stage(list_files(self.spark, folder, YAML_GLOB), "listing")
+        before = now.limit(0) if listing is None else listing
+        files = stage(file_diff(before, now), "files")
+        edited = not files.isEmpty()
+        report = self.load_document(folder, variables, **options) if edited and not now.isEmpty() else None
+        rows = stage(self.rows, "control")
+        changes = changes_first(rows) if watermark is None else changes_since(rows, watermark)
+        concerned = escalate(changes.select("resource_id"), rows.select("resource_id"), files)
+        newest = rows.agg(F.max("updated_timestamp")).first()[0]
+        plan = job_plan(only_loaded(rows, concerned, ["resource_id"]), self.spark.table(self.ids), live)
+        return Sync(files, report, changes, plan, now, newest if newest is not None else watermark)
+
     def insert(self, rows: DataFrame) -> None:
         """Add rows; flags and times they lack take the table's defaults."""
         now = F.current_timestamp()

@@ -10,10 +10,12 @@ from millrace.operators.changes import create_or_update
 from millrace.operators.graph import dependency_edges, topological_levels
 from millrace.operators.ranking import first_per_key
 from millrace.operators.settings import (
+    NUMBERS_OF_TASKS,
     TRIGGER_KINDS,
     edit_mode,
     file_source,
     normalised_parameters,
+    number_rules,
     pause_status,
     setting,
     starts_at_once,
@@ -21,7 +23,7 @@ from millrace.operators.settings import (
     with_task_settings,
     without_placeholder,
 )
-from millrace.operators.validate import with_type_reasons
+from millrace.operators.validate import colliding_keys, reasons, with_type_reasons
 
 GROUP, KEY = "resource_id", "task_key"
 
@@ -52,8 +54,16 @@ def task_plan(control: DataFrame, default_warehouse: Column | None = None) -> Da
     warehouse = default_warehouse if default_warehouse is not None else F.lit(None).cast("string")
     config = F.col("task_config")
     levels = topological_levels(control, dependency_edges(control), [GROUP], KEY)
+    collisions = colliding_keys(control, [GROUP], KEY).withColumn("_collides", F.lit(True))
+    extra = reasons({
+        "cleaned_key_collision": F.col("_collides"),
+        **number_rules(F.from_json(config, "map<string,variant>"), NUMBERS_OF_TASKS),
+    })
     return (
         with_type_reasons(with_task_settings(control), default_warehouse=warehouse)
+        .join(collisions, [GROUP, KEY], "left")
+        .withColumn("reasons", F.concat("reasons", extra))
+        .drop("_collides")
         .withColumn("_needs", parse_dependencies(F.col("depends_on")))
         .withColumns(
             {

@@ -66,7 +66,11 @@ def replace_own_source(df: DataFrame, name: str) -> None:
     The staged copy is complete before the target is touched, so a failed swap can
     be repeated from it.
     """
-    staged = stage(df, "replace")
+    overwrite(stage(df, "replace"), name)
+
+
+def overwrite(staged: DataFrame, name: str) -> None:
+    """Replace the rows of a table by those of a staged one."""
     staged.write.mode("overwrite").insertInto(name, overwrite=True)
 
 

@@ -116,6 +116,13 @@ def run_summary(spark, d):
     return v.run_summary(planned.withColumn("error", error))
 
 
+def run_outcomes(spark, d):
+    """Every planned document with its status and error."""
+    planned = create_or_update(spark, d)
+    error = F.when(F.col("action") == "RECREATE", F.concat(F.lit("no longer live: "), F.col("job_id").cast("string")))
+    return v.run_outcomes(planned.withColumn("error", error), "resource_id")
+
+
 def key_collisions(spark, d):
     mark = F.when(F.col("p_size") > 25, "-").when(F.col("p_size") > 10, ".").otherwise("_")
     parts = table(spark, d, "part").select("p_type", F.concat("p_name", mark, "p_brand").alias("task_key"))
@@ -136,6 +143,7 @@ QUERIES = {
     "all_or_nothing_fail": all_or_nothing_fail,
     "load_summary": load_summary,
     "run_summary": run_summary,
+    "run_outcomes": run_outcomes,
     "key_collisions": key_collisions,
 }
 
@@ -185,6 +193,10 @@ SQL = {
     "run_summary": """
         SELECT CASE WHEN toxic = 1 THEN 'failed' ELSE 'succeeded' END AS status, count(*) AS jobs
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+    "run_outcomes": """
+        SELECT doc_id AS resource_id, CASE WHEN toxic = 1 THEN 'failed' ELSE 'succeeded' END AS status,
+               CASE WHEN toxic = 1 THEN 'no longer live: ' || (doc_id * 10 + quality) END AS error
+        FROM documents LEFT JOIN labels USING (doc_id)""",
     "key_collisions": """
         WITH keys AS (SELECT DISTINCT p_type, p_name || CASE WHEN p_size > 25 THEN '-' WHEN p_size > 10 THEN '.' ELSE '_' END
                              || p_brand AS task_key FROM part)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.temporal import at as moment
 from millrace.plans import config_load, job_plan as plan
 from millrace.plans.tasks import ingest_rows
-from millrace.operators.validate import load_status
+from millrace.operators.validate import load_status, load_summary
 from millrace.sinks.tables import write_verified
 from millrace.sources.documents import json_jobs, yaml, yaml_jobs
 from millrace.sources.staging import scratch_path
@@ -73,6 +73,37 @@ def config_problems(spark, d):
     return _load(spark, d).problems.select("resource_id", "task_key", "reason")
 
 
+def config_repeated_ids(spark, d):
+    """Documents that name their job twice, as some of `en` do here, are told apart from sound ones."""
+    twice = F.regexp_replace("content", r'^\{"jobs":\{("[^"]+":)(.*)\}\}$', r'{"jobs":{$1$2,$1$2}}')
+    content = F.when(F.col("path").cast("bigint") % 3 == 0, twice).otherwise(F.col("content"))
+    documents = _documents(spark, d).withColumn("content", content)
+    jobs = json_jobs(documents).select("path", "resource_id", "reason")
+    return jobs.groupBy("path", "resource_id", "reason").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def config_summary(spark, d):
+    """Tasks and jobs loaded, jobs that failed, tasks deleted."""
+    load = _load(spark, d)
+    failed = load.problems.filter("resource_id IS NOT NULL")
+    return load_summary(load.accepted, failed, "resource_id", load.merged)
+
+
+def config_bad_values(spark, d):
+    """Timeouts that are no numbers, and keys that mean one task once they are cleaned, are problems."""
+    lang = F.col("lang")
+    tasks = F.array(*(
+        F.struct(key.alias("task_key"), F.lit("notebook").alias("task_type"), F.lit("p").alias("file_path"))
+        for key in (F.lit("load-all"), F.when(lang == "de", "load.all").otherwise("other"))
+    ))
+    job = F.struct(F.when(lang == "fr", "soon").otherwise(F.col("n_chars").cast("string")).alias("timeout_seconds"), tasks.alias("tasks"))
+    documents = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("path"),
+        F.to_json(F.struct(F.create_map(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), job).alias("jobs"))).alias("content"),
+    )
+    return _load(spark, d, documents=documents).problems.select("resource_id", "task_key", "reason")
+
+
 def config_atomic_fail(spark, d):
     return _load(spark, d, config_load.load_atomic, scope="all").table
 
@@ -154,6 +185,9 @@ QUERIES = {
     "config_isolated": config_isolated,
     "config_actions": config_actions,
     "config_problems": config_problems,
+    "config_repeated_ids": config_repeated_ids,
+    "config_summary": config_summary,
+    "config_bad_values": config_bad_values,
     "config_atomic_fail": config_atomic_fail,
     "config_atomic_pass": config_atomic_pass,
     "job_plan": job_plan,
@@ -205,6 +239,22 @@ SQL = {
         SELECT resource_id, 'load' AS task_key, 'missing:task_type' AS reason FROM doc WHERE lang = 'de'
         UNION ALL SELECT resource_id, 'load', 'missing_dependency' FROM doc WHERE lang = 'fr'
         UNION ALL SELECT resource_id, NULL, 'cycle' FROM doc WHERE lang = 'es'""",
+    "config_repeated_ids": """
+        SELECT CAST(doc_id AS VARCHAR) AS path, '${var.prefix}_' || doc_id AS resource_id,
+               CASE WHEN doc_id % 3 = 0 THEN 'repeated_resource_id' END AS reason,
+               CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS entries FROM documents""",
+    "config_summary": _ROWS + """
+        SELECT (SELECT count(*) FROM task WHERE lang = 'en') AS tasks_loaded,
+               (SELECT count(*) FROM doc WHERE lang = 'en') AS jobs_loaded,
+               (SELECT count(*) FROM doc WHERE lang <> 'en') AS jobs_failed,
+               (SELECT count(*) FROM control WHERE task_key = 'old'
+                AND resource_id IN (SELECT resource_id FROM doc WHERE lang = 'en')) AS tasks_deleted""",
+    "config_bad_values": """
+        SELECT 'doc_' || doc_id AS resource_id, k AS task_key, 'cleaned_key_collision' AS reason
+        FROM documents, (VALUES ('load-all'), ('load.all')) v(k) WHERE lang = 'de'
+        UNION ALL
+        SELECT 'doc_' || doc_id, k, 'bad_value:timeout_seconds'
+        FROM documents, (VALUES ('load-all'), ('other')) v(k) WHERE lang = 'fr'""",
     "config_atomic_fail": _ROWS + _BEFORE,
     "config_atomic_pass": _ROWS + _BEFORE + "WHERE c.resource_id NOT IN (SELECT resource_id FROM doc) UNION ALL"
     + _LOADED.format(

@@ -86,3 +86,19 @@ def test_latest_falls_back(spark):
 def test_load_status(spark):
     counts = spark.createDataFrame([(5, 3, 3), (5, 3, 2)], "rows_read long, rows_kept long, rows_in_target long")
     assert [r.status for r in v.load_status(counts).collect()] == ["SUCCESS", "FAILED"]
+
+
+def test_outcomes_of_groups(spark, rows):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", "late"), ("b", None), ("b", "early")], "g string, error string")
+    assert rows(v.run_outcomes(df, "g")) == [("a", "succeeded", None), ("b", "failed", "early")]
+
+
+def test_keys_that_collide(spark, rows):
+    df = spark.createDataFrame([("j", "a-b"), ("j", "a_b"), ("j", "c"), ("k", "a-b"), ("j", "a-b")], "g string, task_key string")
+    assert rows(v.colliding_keys(df, ["g"], "task_key")) == [("j", "a-b"), ("j", "a_b")]
+
+
+def test_load_summary_with_deletions(spark):
+    accepted = spark.createDataFrame([("a",), ("a",)], "g string")
+    actions = spark.createDataFrame([("delete",), ("keep",), ("delete",)], "action string")
+    assert tuple(v.load_summary(accepted, accepted.limit(0), "g", actions).first()) == (2, 1, 0, 2)
