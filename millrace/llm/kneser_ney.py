@@ -13,7 +13,6 @@ page cache, and probes them shard by shard with sorted hashes.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,12 +26,13 @@ from millrace.llm.shared import mapped, save, shared_folder
 from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 
 # Bytes of text that a shard stands for, and that a task holds as arrays at once.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 4_000_000
 TRAIN_BLOCK, SCORE_BLOCK = 12_000_000, 2_000_000
 
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
 STATS = np.dtype([("c", "<f8"), ("total", "<f8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("pred", "<u4")])
 WORD = np.dtype([("key", "<u8"), *[(n, STATS[n]) for n in STATS.names]])
+OPEN = 2_000  # files that a task keeps mapped
 LOW = 6  # bytes of a word's hash that travel and are compared
 MASK = np.uint64((1 << 8 * LOW) - 1)
 
@@ -47,6 +47,7 @@ class Model:
     singles: tuple[float, ...]  # words by number of predecessors: 1, 2, 3 or more
     low: tuple[float, float, float]  # discounts of predecessor counts
     high: tuple[float, float, float]  # discounts of pair counts
+    written: dict[str, frozenset[int]]  # shards that have files of pairs, and of words
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -158,26 +159,28 @@ def train(texts: DataFrame, text: str = "text", label: str = "model") -> Model:
         first = grouped(keys, order)
         n = np.add.reduceat(n[order].astype(np.int64), first)
         at = order[first]
+        del order, first
         v, w, keys = v[at], w[at], keys[at]
         small = np.minimum(n, 255).astype(np.uint8)
         save(f"{folder}/pairs-{shard}.npy", keys)
         save(f"{folder}/counts-{shard}.npy", small)
         save(f"{folder}/large-{shard}.npy", n[small == 255])
-        del keys, order, first, at
+        del keys, at
         words = word_stats_of(v, w, n)
         owner = shard_of(mixed(words["key"], words["key"]), shards)
         order = np.argsort(owner, kind="stable")
         words, owner = words[order], owner[order]
         found, start = np.unique(owner, return_index=True)
         ends = np.append(start[1:], len(words))
-        totals = np.array([(n == i).sum() for i in (1, 2, 3, 4)] + [len(n)], np.float64)
+        totals = np.array([(n == i).sum() for i in (1, 2, 3, 4)] + [len(n), shard], np.float64)
         rows = [(int(o), columnar(words[a:b])) for o, a, b in zip(found, start, ends)] + [(-1, totals.tobytes())]
         return pd.DataFrame(rows, columns=["shard", "data"])
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
         shard = int(frame["shard"].iloc[0])
         if shard < 0:
-            sums = sum(np.frombuffer(d, np.float64) for d in frame["data"])
+            totals = np.array([np.frombuffer(d, np.float64) for d in frame["data"]])
+            sums = np.append(totals[:, :5].sum(0), totals[:, 5])  # and the shards that they come from
         else:
             words = summed(np.concatenate([from_columnar(d) for d in frame["data"]]))
             words = words[np.argsort(words["key"])]
@@ -200,10 +203,12 @@ def train(texts: DataFrame, text: str = "text", label: str = "model") -> Model:
         .applyInPandas(finish, "shard int, sums array<double>")
         .collect()
     )
-    high = np.zeros(5) + sum(np.array(r["sums"]) for r in found if r["shard"] < 0)
+    pairs = np.concatenate([np.zeros(5), *(r["sums"] for r in found if r["shard"] < 0)])
+    high, pair_shards = (pairs[5:10], pairs[10:]) if len(pairs) > 5 else (pairs, [])
     low = np.zeros(8) + sum(np.array(r["sums"]) for r in found if r["shard"] >= 0)
+    written = {"pairs": frozenset(map(int, pair_shards)), "words": frozenset(r["shard"] for r in found if r["shard"] >= 0)}
     return Model(folder, shards, int(low[0]), int(low[1]), int(low[2]), (low[4], low[5], low[3]),
-                 discounts(*low[4:]), discounts(*high[:4]))
+                 discounts(*low[4:]), discounts(*high[:4]), written)
 
 
 def summed(stats: np.ndarray) -> np.ndarray:
@@ -264,10 +269,13 @@ class Scorer:
         self.m, self.hashes, self.open = model, WordHashes(), {}
 
     def part(self, name: str, shard: int, kind) -> np.ndarray:
+        """An array of a shard; one that was written and is missing is an error."""
         key = name, shard
         if key not in self.open:
-            path = f"{self.m.folder}/{name}-{shard}.npy"
-            self.open[key] = mapped(path) if os.path.exists(path) else np.empty(0, kind)
+            if len(self.open) >= OPEN:
+                self.open.clear()
+            there = shard in self.m.written["words" if name in ("words", "stats") else "pairs"]
+            self.open[key] = mapped(f"{self.m.folder}/{name}-{shard}.npy") if there else np.empty(0, kind)
         return self.open[key]
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:

@@ -15,8 +15,8 @@ from millrace.llm.kneser_ney import scored, train
 QUANTILE = 0.995
 # Trusted rows of one fold set the thresholds, the others train the model.
 FOLDS, CALIBRATION = 5, 1
-# Trusted documents of a language below which the threshold of all languages holds.
-LEAST = 20
+# Documents' worth of the threshold of all languages that goes into that of each language.
+PRIOR = 20
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -24,13 +24,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
     Trusted text is that of documents labelled quality 1 and toxic 0, all of it. Four
     fifths of it (by crc32 of the id) train a Kneser-Ney model, the rest gives each
-    language the quantile of log10 perplexity above which documents are rejected. Languages
-    with fewer than LEAST calibration documents (NULL is one too) use the quantile of all.
+    language the quantile of log10 perplexity above which documents are rejected: the mean
+    of its own and that of all, weighted by its number of calibration documents and PRIOR.
+    NULL is a language; one without calibration documents has the quantile of all.
 
     An empty or NULL text has the perplexity of an end without words and is rejected: it
     has nothing to keep. Without trusted text nothing else is rejected. Repeated rows get
-    the same verdict each. Columns of docs that share a name with the result's raise.
+    the same verdict each. Columns of docs called score, n_tokens, log10_perplexity or keep raise.
     """
+    clash = {"score", "n_tokens", "log10_perplexity", "keep"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs already has {sorted(clash)}")
     trusted = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     key = F.xxhash64("doc_id")
@@ -47,12 +51,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     limits = (
         held.groupBy("lang")
         .agg(F.percentile_approx("log10_perplexity", quantile, 10_000).alias("most"), F.count("*").alias("n"))
-        .filter(F.col("n") >= LEAST)
-        .drop("n")
     )
     overall = held.agg(F.percentile_approx("log10_perplexity", quantile, 10_000)).first()[0]
     limit = F.lit(overall if overall is not None else float("inf")).cast("double")
     for row in limits.collect():
-        limit = F.when(F.col("lang").eqNullSafe(F.lit(row["lang"])), F.lit(row["most"])).otherwise(limit)
+        most = (row["n"] * row["most"] + PRIOR * overall) / (row["n"] + PRIOR)
+        limit = F.when(F.col("lang").eqNullSafe(F.lit(row["lang"])), F.lit(most)).otherwise(limit)
     has_words = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     return perplexity(docs).withColumn("keep", has_words & (F.col("log10_perplexity") <= limit))

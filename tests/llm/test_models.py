@@ -103,6 +103,43 @@ def test_classifier_parts_good_from_bad(spark):
     assert share(1, 0) > 0.9 and share(0, 0) < 0.2
 
 
+def test_classifier_equals_a_plain_one(spark, documents):
+    labels = scan_parquet(spark, FOLDER, "labels").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "lang", "text").collect()
+    trusted = {r.doc_id for r in labels.collect() if (r.quality, r.toxic) == (1, 0)}
+    held = {r.doc_id: crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows}
+    plain = Plain([r.text for r in rows if r.doc_id in trusted and not held[r.doc_id]])
+
+    def perplexity(text):
+        words = tokens(text)
+        return -sum(math.log10(plain.p(a, w)) for a, w in zip(["", *words[:-1]], words)) / len(words)
+
+    own = {r.doc_id: perplexity(r.text) for r in rows}
+    held_out = [r for r in rows if r.doc_id in trusted and held[r.doc_id] and (r.text or "").strip()]
+    # The least value with at least that share of the values at or below it.
+    quantile = lambda values: sorted(values)[math.ceil(0.995 * len(values)) - 1]
+    overall, limits = quantile([own[r.doc_id] for r in held_out]), {}
+    for lang in {r.lang for r in rows}:
+        values = [own[r.doc_id] for r in held_out if r.lang == lang]
+        limits[lang] = (len(values) * quantile(values) + 20 * overall) / (len(values) + 20) if values else overall
+    found = {r.doc_id: r for r in classify(documents, labels).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        assert found[r.doc_id].log10_perplexity == pytest.approx(own[r.doc_id])
+        if abs(own[r.doc_id] - limits[r.lang]) > 1e-9:
+            assert found[r.doc_id].keep == (bool((r.text or "").strip()) and own[r.doc_id] <= limits[r.lang])
+
+
+def test_a_missing_file_of_a_model_is_an_error(spark, documents):
+    import os
+
+    model = kn.train(documents.select("text"))
+    assert model.written["pairs"] == model.written["words"] == frozenset(range(model.shards))
+    os.remove(f"{model.folder}/pairs-0.npy")
+    with pytest.raises(Exception, match="pairs-0.npy"):
+        kn.scored(documents.select("text"), model).count()
+
+
 def test_classifier_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     found = classify(odd, labels)
@@ -111,6 +148,8 @@ def test_classifier_on_odd_rows(spark, odd, none):
     assert classify(none, labels).count() == 0
     with pytest.raises(ValueError):
         classify(odd.withColumn("score", F.lit(1)), labels)
+    with pytest.raises(ValueError):
+        classify(odd.withColumn("keep", F.lit(1)), labels)
 
 
 def measured(text):
