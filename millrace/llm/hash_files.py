@@ -7,7 +7,6 @@ any size costs a task no memory of its own.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +26,14 @@ SHARD = 2_000_000  # hashes of a file
 class HashSet:
     folder: str
     shards: int
+    written: frozenset[int]  # shards that hold any
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Which of some int64 hashes are in the set."""
         out, owner = np.zeros(len(hashes), bool), hashes % self.shards
         for shard in np.unique(owner).tolist():
-            path = f"{self.folder}/{shard}.npy"
-            if os.path.exists(path):
-                known, mine = mapped(path), np.flatnonzero(owner == shard)
+            if shard in self.written:  # a file that is missing is an error
+                known, mine = mapped(f"{self.folder}/{shard}.npy"), np.flatnonzero(owner == shard)
                 needles = hashes[mine]
                 order = np.argsort(needles)
                 at = np.minimum(np.searchsorted(known, needles[order]), len(known) - 1)
@@ -50,11 +49,12 @@ def hash_set(hashes: DataFrame, label: str) -> HashSet:
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(frame[name].to_numpy())
-        save(f"{folder}/{int(values[0] % shards)}.npy", values)
-        return pd.DataFrame({"n": [len(values)]})
+        shard = int(values[0] % shards)
+        save(f"{folder}/{shard}.npy", values)
+        return pd.DataFrame({"shard": [shard]})
 
-    rows.groupBy(F.pmod(name, F.lit(shards))).applyInPandas(write, "n long").agg(F.sum("n")).first()
-    return HashSet(folder, shards)
+    written = rows.groupBy(F.pmod(name, F.lit(shards))).applyInPandas(write, "shard int").collect()
+    return HashSet(folder, shards, frozenset(row["shard"] for row in written))
 
 
 def rows_in(rows: DataFrame, key: Column, found: HashSet) -> DataFrame:

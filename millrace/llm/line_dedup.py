@@ -83,8 +83,12 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, at, line, line_hash) of the lines that are not blank."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    long = rows.filter((F.length("line") >= LEAST_CHARS) & F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
-    return long.withColumn("line_hash", line_hash(F.col("line")))
+    return rows.filter((F.length("line") >= LEAST_CHARS) & has_words(F.col("line"))).withColumn("line_hash", line_hash(F.col("line")))
+
+
+def has_words(line: Column) -> Column:
+    """False for blank lines, which are never copies."""
+    return F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def line_hash(line: Column) -> Column:
@@ -217,16 +221,16 @@ def line_key(document: Column, at: Column) -> Column:
     return F.xxhash64(F.lit(0), document, at)
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key): line_key of the lines that repeat an earlier one."""
+def first_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key): line_key of the first line of every class; a line like no other is a class of its own.
+
+    The first place is a partial aggregate, so a class that holds most lines is never gathered.
+    """
     lines = stage(numbered_lines(docs).drop("line"), "lines")
     classes = line_classes(docs, edits).withColumnRenamed("node", "line_hash")
-    place = F.struct("doc_id", "text_hash", "at")
-    near = lines.join(classes, "line_hash", "left").withColumn("class", F.coalesce("class", "line_hash")).drop("line_hash")
-    near = stage(near, "near")
-    firsts = near.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    later = near.join(firsts, "class").filter(~place.eqNullSafe(F.col("first")))
-    return later.select(line_key(F.xxhash64("doc_id", "text_hash"), F.col("at")).alias("key"))
+    near = lines.join(classes, "line_hash", "left").withColumn("class", F.coalesce("class", "line_hash"))
+    firsts = near.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"))
+    return firsts.select(line_key(F.xxhash64("first.doc_id", "first.text_hash"), F.col("first.at")).alias("key"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -242,17 +246,20 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     clash = {"n_lines", "n_dropped"} & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
-    drops, columns = hash_set(dropped_lines(docs, edits), "dropped-lines"), docs.columns
+    firsts, columns = hash_set(first_lines(docs, edits), "first-lines"), docs.columns
     place = columns.index("text")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     document = F.xxhash64("doc_id", F.xxhash64("text"))
-    keys = bound(document, lambda d: F.transform(split, lambda _, i: line_key(d, i)))
+    # Blank lines have no key and stay.
+    keys = bound(document, lambda d: F.transform(split, lambda line, i: F.when(has_words(line), line_key(d, i))))
     keyed = docs.select("*", keys.alias("_keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(len(columns))
-            drop = drops.has(keys.flatten().to_numpy())
+            flat = keys.flatten()
+            drop = flat.is_valid().to_numpy(zero_copy_only=False)
+            drop[drop] = ~firsts.has(flat.drop_null().to_numpy())
             ends = np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False))
             texts, n_lines, n_dropped = batch.column(place).to_pylist(), [], []
             for i, (text, end) in enumerate(zip(texts, ends)):
