@@ -29,6 +29,7 @@ END = 1  # the id that closes a document
 SHARD = 16_384  # pieces packed together
 SMALL = 4  # lengths below LENGTH / SMALL are small
 GROUPS = 400
+IDS = 1 << 16  # more than any id of a vocabulary that is cut here
 REMEMBERED = 400_000  # words whose ids a worker keeps before it starts afresh
 
 BREAKS = re.compile(r"[ \n\r\t]+")
@@ -40,6 +41,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # added tokens, and their parts by that pattern once they are lower-case.
 LATIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u017f]+|[0-9]|[^a-z\u00df-\u017f0-9]+")
+LATIN_TEXT = re.compile(LATIN.pattern.replace("]+", " \n\r\t]*"))
 
 
 def byte_letters() -> dict[int, int]:
@@ -54,7 +56,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those
     of its words one after the other. Where it cuts words by PATTERN, those of Latin letters
-    are cut here and only their parts go to its vocabulary; all others go through it whole.
+    are cut here and only their parts go to its vocabulary, a text of such words at once;
+    all others go through it whole.
     """
 
     def __init__(self, path: str):
@@ -64,8 +67,13 @@ class WordIds(dict):
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.letters = tokenizer.encode_batch_fast, tokenizer.model, byte_letters()
         self.cuts = cuts_latin_words(json.loads(tokenizer.to_str()))
+        self.bytes = [struct.pack("<I", i) for i in range(IDS)] if self.cuts else []
 
     def of(self, text: str) -> bytes:
+        if self.cuts and LATIN_TEXT.fullmatch(text):
+            if len(self) > REMEMBERED:
+                self.clear()
+            return b"".join(map(self.__getitem__, text.lower().split()))
         words = self.words(text)
         new = [word for word in set(words) if word not in self]
         if len(self) > REMEMBERED and new:
@@ -74,7 +82,7 @@ class WordIds(dict):
         whole = []
         for word in new:
             if self.cuts and LATIN.fullmatch(word):
-                self[word] = b"".join(map(self.part, PARTS.findall(word.lower())))
+                self[word] = self[word.lower()]
             else:
                 whole.append(word)
         for a in range(0, len(whole), 10_000):
@@ -88,13 +96,15 @@ class WordIds(dict):
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         return text.split() if self.cuts and not odd else BREAKS.split(text)
 
-    def part(self, part: str) -> bytes:
-        """Of a part that is a word by itself."""
-        found = self.get(part)
-        if found is None:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-            ids = [token.id for token in self.model.tokenize(letters)]
-            found = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+    def __missing__(self, word: str) -> bytes:
+        """Of a lower-case word of Latin letters; its parts are words as well."""
+        parts = PARTS.findall(word)
+        if len(parts) > 1:
+            found = b"".join(map(self.__getitem__, parts))
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            found = b"".join([self.bytes[token.id] for token in self.model.tokenize(letters)])
+        self[word] = found
         return found
 
 
@@ -111,6 +121,7 @@ def cuts_latin_words(config: dict) -> bool:
         and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
         and not cuts[1]["add_prefix_space"]
         and not cuts[1]["use_regex"]
+        and max(config["model"]["vocab"].values()) < IDS
         and all(t["content"].startswith("<") and not t["normalized"] for t in config["added_tokens"])
     )
 

@@ -94,6 +94,8 @@ def test_word_ids_are_the_tokenizers():
     letters = [chr(c) for c in range(1, 0x250)] + list("'''  \n\tsdtSLV<|>Σςẞ\u0301\u030c가각\u1100\u1161\u3000\u2028中文🙂")
     rng = random.Random(1)
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(5000)]
+    latin = [c for c in letters[:0x180] if packing.LATIN.fullmatch(c)] + list(" '''s \n\tABcd")
+    texts += ["".join(rng.choices(latin, k=rng.randint(0, 60))) for _ in range(5000)]
     texts += ["a<|endoftext|>b <|startoftext|>", "it's we'll'd ''s don't", "", " ", "\x1c\x1d a\x1eb"]
     ids, whole = packing.WordIds(PATH), Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
     assert ids.cuts
