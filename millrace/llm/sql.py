@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm import quality_rules
-from millrace.llm.decontamination import AGREE, MASKS, RUN, SPAN
+from millrace.llm.decontamination import AGREE, MASKS, RUN
 
 BLANK = r"\x20\x09-\x0D"
 
@@ -93,7 +93,7 @@ def decontamination_pairs() -> str:
     def seeds(table: str) -> str:
         return " UNION ALL ".join(
             f"SELECT row, i, {number} AS mask, [{', '.join(f'words[i + {p}]' for p in mask)}] AS seen "
-            f"FROM (SELECT row, words, unnest(range(1, len(words) - {SPAN} + 2)) AS i FROM {table} WHERE len(words) >= {SPAN})"
+            f"FROM (SELECT row, words, unnest(range(1, len(words) - {mask[-1]} + 1)) AS i FROM {table} WHERE len(words) > {mask[-1]})"
             for number, mask in enumerate(MASKS)
         )
 

@@ -1,11 +1,12 @@
 """Line dedup, n-gram join, decontamination and the URL filter against brute force."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup as ld
+from millrace.llm import decontamination as dc, line_dedup as ld
 from millrace.llm.clusters import verified
 from millrace.llm.decontamination import contaminated, without_contaminated
 from millrace.llm.graphs import components
@@ -167,6 +168,37 @@ def test_contamination(spark, odd, none):
     assert contaminated(odd, b).count() == 0 and contaminated(none, b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
 
 
+def test_two_changes_anywhere_leave_a_seed_whole():
+    for changed in itertools.combinations(range(dc.RUN), dc.RUN - dc.AGREE):
+        windows = [{a + p for p in mask} for mask in dc.MASKS for a in range(dc.RUN - mask[-1])]
+        assert any(not window & set(changed) for window in windows), changed
+
+
+def test_contamination_equals_an_alignment_without_seeds(spark):
+    rng = random.Random(21)
+    common = prose(rng, 12).split()  # frequent words, so that seeds of other passages meet as well
+    text = lambda n: [rng.choice(common) if rng.random() < 0.5 else w for w in prose(rng, n).split()]
+    items = [text(rng.randint(10, 30)) for _ in range(12)]
+    docs = []
+    for _ in range(120):
+        item = rng.choice(items)
+        a = rng.randint(0, max(0, len(item) - 13))
+        passage = item[a : a + rng.randint(12, 18)]
+        for i in rng.sample(range(len(passage)), min(len(passage), rng.randint(0, 4))):
+            passage[i] = rng.choice(common)
+        docs.append(text(rng.randint(0, 25)) + passage + text(rng.randint(0, 25)))
+
+    def agreeing(doc, item):
+        runs = [sum(doc[i + k] == item[j + k] for k in range(13) if 0 <= i + k < len(doc))
+                for j in range(len(item) - 12) for i in range(-12, len(doc))]
+        return max(runs, default=0)
+
+    wanted = {(i, j, n) for i, d in enumerate(docs) for j, b in enumerate(items) if (n := agreeing(d, b)) >= 11}
+    frame = lambda rows, id: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], f"{id} long, text string")
+    found = contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {w[:2] for w in wanted} and len(wanted) > 40
+
+
 def test_verdicts_are_of_rows_and_not_of_ids(spark):
     rng = random.Random(11)
     item, *own = (prose(rng, 40) for _ in range(7))
