@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -33,6 +34,33 @@ def test_markup():
     assert [" ".join(blocks_of(page)[0]) for page, _ in MARKUP] == [text for _, text in MARKUP]
 
 
+KEPT = [
+    ("<p class=promo>ad<p>first<p>second", "first second"), ("<ul><li class='comment'>no<li>yes</ul>", "yes"),
+    ("<article><li class=comment>no<ul><li>no too</ul><li>yes</article>", "yes"),
+    ("<table><tr><td class=ad>no<td>a<tr><td>b</table>c", "a b c"), ("<dl><dt class=promo>no<dd>yes</dl>", "yes"),
+    ("<div class='share-price'>12 up</div><div id=related-work>as before</div>", "12 up as before"),
+    ("<div class='widget-theory'>a</div><div class='WidgetArea'>no</div><div class='site-footer'>no</div>", "a"),
+    ("<pre>x = 1 <span class='hljs-comment'># one</span> <span class='token comment'># two</span></pre>", "x = 1 # one # two"),
+    ("<code>a <i class=comment>b</i></code> <i class=ad>no</i>c", "a b c"), ("<div class='related-posts'>no</div>yes", "yes"),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><object>fallback</object>", "let x=1 be fallback"),
+    ("<main></main><p>text</p>", "text"), ("<main> <nav>no</nav></main><div>text</div>", "text"),
+    ("<a title='>'>x</a> 1 <2 <b", "x 1 <2 <b"), ('<a title="open>x</a> y <b>z</b>', "x y z"), ("a <3 b", "a <3 b"),
+    ("<script>no", ""), ("<svg>no</SVG >yes", "yes"), ("<textarea>kept", "kept"), ("<!-- no", ""), ("a<!doctype html>b<?x?>c", "abc"),
+]
+
+
+def test_markup_that_loses_no_text():
+    assert [" ".join(blocks_of(page)[0]) for page, _ in KEPT] == [text for _, text in KEPT]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='", '<a x="', "<a b=\"1>", "<", "<!--", "<p class=ad>", "<svg>", "<a '>", "</x", "<li>", "<div><p>", "<svg <"])
+def test_markup_is_read_in_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    blocks_of(page)
+    assert time.process_time() - start < 10
+
+
 def test_articles_of_the_given_pages(spark):
     pages = scan_parquet(spark, FOLDER, "pages")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_text(pages).collect()}
