@@ -118,8 +118,8 @@ def grouped(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
 
 
-def train(texts: DataFrame, text: str = "text", label: str = "model") -> Model:
-    """The model of a column of texts (NULL is an empty text)."""
+def train(texts: DataFrame, text: str = "text", label: str = "model", block: int = TRAIN_BLOCK) -> Model:
+    """The model of a column of texts (NULL is an empty text); block: bytes of text whose pairs a task counts at once."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     shards, folder = max(4, -(-size // SHARD_BYTES)), shared_folder(spark, label)
@@ -145,7 +145,7 @@ def train(texts: DataFrame, text: str = "text", label: str = "model") -> Model:
             for value in texts_of(batch.column(0)):
                 held.append(value)
                 held_bytes += len(value) + 1
-                if held_bytes >= TRAIN_BLOCK:
+                if held_bytes >= block:
                     yield flush()
                     held, held_bytes = [], 0
         if held:

@@ -30,7 +30,7 @@ SHARD = 16_384  # pieces packed together
 SMALL = 4  # lengths below LENGTH / SMALL are small
 GROUPS = 400
 IDS = 1 << 16  # more than any id of a vocabulary that is cut here
-REMEMBERED = 400_000  # words whose ids a worker keeps before it starts afresh
+REMEMBERED = 150_000  # words whose ids a worker keeps before it starts afresh
 
 BREAKS = re.compile(r"[ \n\r\t]+")
 

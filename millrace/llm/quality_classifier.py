@@ -15,6 +15,7 @@ from millrace.llm.kneser_ney import scored, train
 QUANTILE = 0.995
 # Trusted rows of one fold set the thresholds, the others train the model.
 FOLDS, CALIBRATION = 5, 1
+BLOCK = 4_000_000  # bytes of text that a task counts at once
 # Documents' worth of the threshold of all languages that goes into that of each language.
 PRIOR = 20
 
@@ -40,7 +41,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     key = F.xxhash64("doc_id")
     rows = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull())
     known = rows_in(rows, key, hash_set(trusted.select(key.alias("key")), "trusted-ids"))
-    model = train(known.filter(fold != CALIBRATION), label="trusted")
+    model = train(known.filter(fold != CALIBRATION), label="trusted", block=BLOCK)
 
     def perplexity(df: DataFrame) -> DataFrame:
         found = scored(df, model, names=("score", "n_tokens"))
