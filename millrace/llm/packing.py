@@ -30,7 +30,7 @@ SHARD = 16_384  # pieces packed together
 SMALL = 4  # lengths below LENGTH / SMALL are small
 GROUPS = 400
 IDS = 1 << 16  # more than any id of a vocabulary that is cut here
-REMEMBERED = 150_000  # words whose ids a worker keeps before it starts afresh
+REMEMBERED = 120_000  # words whose ids a worker keeps, and as many that it met before them
 
 BREAKS = re.compile(r"[ \n\r\t]+")
 
@@ -67,17 +67,18 @@ class WordIds(dict):
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model, self.letters = tokenizer.encode_batch_fast, tokenizer.model, byte_letters()
         self.cuts = cuts_latin_words(json.loads(tokenizer.to_str()))
+        self.before: dict[str, bytes] = {}
         self.bytes = [struct.pack("<I", i) for i in range(IDS)] if self.cuts else []
 
     def of(self, text: str) -> bytes:
         if self.cuts and LATIN_TEXT.fullmatch(text):
             if len(self) > REMEMBERED:
-                self.clear()
+                self.age()
             return b"".join(map(self.__getitem__, text.lower().split()))
         words = self.words(text)
         new = [word for word in set(words) if word not in self]
         if len(self) > REMEMBERED and new:
-            self.clear()
+            self.age()
             new = list(set(words))
         whole = []
         for word in new:
@@ -91,6 +92,11 @@ class WordIds(dict):
                 self[word] = np.array(found.ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, words))
 
+    def age(self) -> None:
+        """Words met since the last time stay at hand, those before them go."""
+        self.before = dict(self)
+        self.clear()
+
     def words(self, text: str) -> list[str]:
         """split() knows the white space that PATTERN drops, and four controls that it keeps."""
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
@@ -98,6 +104,9 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         """Of a lower-case word of Latin letters; its parts are words as well."""
+        if word in self.before:
+            found = self[word] = self.before[word]
+            return found
         parts = PARTS.findall(word)
         if len(parts) > 1:
             found = b"".join(map(self.__getitem__, parts))
