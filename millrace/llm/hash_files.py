@@ -57,14 +57,18 @@ def hash_set(hashes: DataFrame, label: str) -> HashSet:
     return HashSet(folder, shards, frozenset(row["shard"] for row in written))
 
 
+def among(batches: Iterator[pa.RecordBatch], found: HashSet | None) -> Iterator[pa.RecordBatch]:
+    """Inside a task: the rows whose key, a long in the last column, is in a set, without that column; all rows without a set."""
+    for batch in batches:
+        if found is not None:
+            hit = found.has(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64))
+            batch = pa.record_batch(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit))
+        yield batch
+
+
 def rows_in(rows: DataFrame, key: Column, found: HashSet) -> DataFrame:
     """The rows whose key (a long, not NULL) is in the set."""
-    schema = StructType(list(rows.schema.fields))
-    names = rows.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = found.has(batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.record_batch(batch.columns[:-1], names).filter(pa.array(hit))
+        yield from among(batches, found)
 
-    return rows.select("*", key.alias("_key")).mapInArrow(run, schema)
+    return rows.select("*", key.alias("_key")).mapInArrow(run, StructType(list(rows.schema.fields)))

@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm.hash_files import HashSet, among
 from millrace.llm.shared import mapped, save, shared_folder
 from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 
@@ -118,8 +119,15 @@ def grouped(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
 
 
-def train(texts: DataFrame, text: str = "text", label: str = "model", block: int = TRAIN_BLOCK) -> Model:
-    """The model of a column of texts (NULL is an empty text); block: bytes of text whose pairs a task counts at once."""
+def train(
+    texts: DataFrame, text: str = "text", label: str = "model", block: int = TRAIN_BLOCK,
+    key: Column | None = None, found: HashSet | None = None,
+) -> Model:
+    """The model of a column of texts (NULL is an empty text).
+
+    block: bytes of text whose pairs a task counts at once. found: only rows whose key it
+    holds are counted, looked up by the task that counts them.
+    """
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     shards, folder = max(4, -(-size // SHARD_BYTES)), shared_folder(spark, label)
@@ -141,7 +149,7 @@ def train(texts: DataFrame, text: str = "text", label: str = "model", block: int
             blobs = [packed_pairs(v[a:b], w[a:b], n[a:b]) for a, b in zip(start, ends)]
             return pa.record_batch([pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "data"])
 
-        for batch in batches:
+        for batch in among(batches, found):
             for value in texts_of(batch.column(0)):
                 held.append(value)
                 held_bytes += len(value) + 1
@@ -194,8 +202,8 @@ def train(texts: DataFrame, text: str = "text", label: str = "model", block: int
                             + [(pred == i).sum() for i in (1, 2, 3, 4)], np.float64)
         return pd.DataFrame({"shard": [shard], "sums": [list(map(float, sums))]})
 
-    found = (
-        texts.select(F.col(text))
+    sent = (
+        texts.select(F.col(text), *([] if key is None else [key.alias("_key")]))
         .mapInArrow(count, "shard int, data binary")
         .groupBy("shard")
         .applyInPandas(merge, "shard int, data binary")
@@ -203,10 +211,10 @@ def train(texts: DataFrame, text: str = "text", label: str = "model", block: int
         .applyInPandas(finish, "shard int, sums array<double>")
         .collect()
     )
-    pairs = np.concatenate([np.zeros(5), *(r["sums"] for r in found if r["shard"] < 0)])
+    pairs = np.concatenate([np.zeros(5), *(r["sums"] for r in sent if r["shard"] < 0)])
     high, pair_shards = (pairs[5:10], pairs[10:]) if len(pairs) > 5 else (pairs, [])
-    low = np.zeros(8) + sum(np.array(r["sums"]) for r in found if r["shard"] >= 0)
-    written = {"pairs": frozenset(map(int, pair_shards)), "words": frozenset(r["shard"] for r in found if r["shard"] >= 0)}
+    low = np.zeros(8) + sum(np.array(r["sums"]) for r in sent if r["shard"] >= 0)
+    written = {"pairs": frozenset(map(int, pair_shards)), "words": frozenset(r["shard"] for r in sent if r["shard"] >= 0)}
     return Model(folder, shards, int(low[0]), int(low[1]), int(low[2]), (low[4], low[5], low[3]),
                  discounts(*low[4:]), discounts(*high[:4]), written)
 
@@ -340,8 +348,11 @@ class Scorer:
 SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", names: Sequence[str] = tuple(SCORES)) -> DataFrame:
-    """All columns of docs and the chosen scores; row by row, nothing is shuffled."""
+def scored(
+    docs: DataFrame, model: Model, text: str = "text", names: Sequence[str] = tuple(SCORES),
+    key: Column | None = None, found: HashSet | None = None,
+) -> DataFrame:
+    """All columns of docs and the chosen scores, of the rows whose key is found if a set is given; nothing is shuffled."""
     clash = set(names) & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
@@ -349,15 +360,15 @@ def scored(docs: DataFrame, model: Model, text: str = "text", names: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in among(batches, found):
             texts = texts_of(batch.column(place))
             for a, b in blocks(texts, SCORE_BLOCK):
-                found = scorer(texts[a:b])
-                extra = [pa.array(found[n], SCORES[n]) for n in names]
+                scores = scorer(texts[a:b])
+                extra = [pa.array(scores[n], SCORES[n]) for n in names]
                 kept = batch.slice(a, b - a)
                 yield pa.record_batch([*kept.columns, *extra], [*columns, *names])
 
     schema = StructType(list(docs.schema.fields))
     for name in names:
         schema = schema.add(name, "long" if pa.types.is_integer(SCORES[name]) else "double")
-    return docs.mapInArrow(run, schema)
+    return (docs if key is None else docs.select("*", key.alias("_key"))).mapInArrow(run, schema)

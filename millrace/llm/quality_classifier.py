@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.hash_files import hash_set, rows_in
+from millrace.llm.hash_files import hash_set
 from millrace.llm.kneser_ney import scored, train
 
 # Share of trusted text above whose perplexity a language's documents are rejected.
@@ -40,14 +40,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     key = F.xxhash64("doc_id")
     rows = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull())
-    known = rows_in(rows, key, hash_set(trusted.select(key.alias("key")), "trusted-ids"))
-    model = train(known.filter(fold != CALIBRATION), label="trusted", block=BLOCK)
+    known = {"key": key, "found": hash_set(trusted.select(key.alias("key")), "trusted-ids")}
+    model = train(rows.filter(fold != CALIBRATION), label="trusted", block=BLOCK, **known)
 
-    def perplexity(df: DataFrame) -> DataFrame:
-        found = scored(df, model, names=("score", "n_tokens"))
+    def perplexity(df: DataFrame, **only) -> DataFrame:
+        found = scored(df, model, names=("score", "n_tokens"), **only)
         return found.withColumn("log10_perplexity", -F.col("score") / F.col("n_tokens")).drop("score", "n_tokens")
 
-    held = perplexity(known.filter(fold == CALIBRATION)).filter(F.length(F.trim("text")) > 0)
+    held = perplexity(rows.filter(fold == CALIBRATION), **known).filter(F.length(F.trim("text")) > 0)
     # A bounded summary: one row for each language, at most a few hundred.
     limits = (
         held.groupBy("lang")

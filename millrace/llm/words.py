@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 
 # Words one task remembers before it starts afresh: bounds memory, changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # What no word can be: the end of a text and the place before its first word.
 END, START = b"\n", b""
