@@ -174,6 +174,65 @@ def test_random_strings_are_told_from_words(spark):
     assert spans[900] == f"random:{a}:{a + 30}" and all("random" not in s for d, s in spans.items() if d < 900)
 
 
+ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"]
+PLACES = {
+    "alone": "{prose} {key} {prose}", "after a name": "{prose} PRODUCTION_PAYMENT_GATEWAY_CREDENTIAL={key} {prose}",
+    "in a path": "{prose} https://example.org/account/settings/{key}/overview {prose}",
+    "beside a base span": "{prose} " + "0123456789abcdef" * 2 + "-{key} {prose}", "beside digits": "{prose} 2024-01-02/{key}=12 {prose}",
+}
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_planted_keys_are_found_and_names_are_not(spark, sf):
+    rng = random.Random(int(float(sf) * 100))
+    prose = "the settings of this account are kept in the configuration file of the service"
+    docs = scan_parquet(spark, FOLDER.replace("0.001", sf), "documents")
+    scores = secrets.scores_of(secrets.train(docs))
+    spans = lambda text: [(a, b) for _, a, b in secrets.random_spans(text, secrets.base_spans(text), scores)]
+    for place, pattern in PLACES.items():
+        hits = []
+        for letters in ALPHABETS:
+            for _ in range(100):
+                key = "".join(rng.choices(letters, k=24))
+                text = pattern.format(prose=prose, key=key)
+                a = text.index(key)
+                # Found if nearly all of the key is covered, and little else.
+                hits.append(any(min(a + 24, y) - max(a, x) >= 20 and y - x <= 32 for x, y in spans(text)))
+        assert np.mean(hits) >= 0.9, (place, np.mean(hits))
+    for name in ("PRODUCTION_PAYMENT_GATEWAY_CREDENTIAL", "getConfigurationDirectoryName", "internationalisation_of_settings",
+                 "https://example.org/account/settings/overview/information", "2024-01-02/2024-05-06=reports"):
+        assert spans(f"{prose} {name} {prose}") == [], name
+
+
+def test_a_key_in_several_texts_is_found_in_each(spark):
+    documents = scan_parquet(spark, FOLDER.replace("0.001", "0.01"), "documents")
+    key, prose = "q7Rk2VxW9bTzL4nHs8Yd", "the settings of this account"
+    rows = [(-1 - i, f"{prose} {key} {prose}") for i in range(5)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = secrets.find_secrets(docs).filter("doc_id < 0").collect()
+    a = len(prose) + 1
+    assert [[(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in found] == [[("random", a, a + 20)]] * 5
+
+
+def test_stretches_of_a_run():
+    scores = np.full((secrets.SYMBOLS, secrets.SYMBOLS), -1.0)
+    scores[52:62, 52:62] = 1.0  # digits look random, letters do not
+    found = lambda run: [run[a:b] for a, b in secrets.stretches(run, scores)]
+    digits = "0123456789012345"
+    assert found(digits) == [digits] and found(digits[:-4]) == [] and found("") == []
+    assert found(f"NAME_OF={digits}/name/{digits}") == [digits, digits]
+    assert found(f"name{digits[:8]}/{digits[:8]}+{digits[:8]}=") == [f"{digits[:8]}+{digits[:8]}"]
+    assert found(f"{digits[:9]}--{digits[:9]}") == []
+
+
+def test_taken_spans_are_cut_out_of_runs():
+    taken = [(0, 5, 40), (2, 10, 20), (2, 22, 30), (2, 31, 35), (2, 36, 39), (1, 60, 70)]
+    reached = [40, 40, 40, 40, 40, 70]
+    assert secrets.outside(38, 100, taken, reached) == [(40, 60), (70, 100)]
+    assert secrets.outside(0, 50, taken, reached) == [(0, 5), (40, 50)]
+    assert secrets.outside(61, 65, taken, reached) == [] and secrets.outside(70, 80, taken, reached) == [(70, 80)]
+
+
 def test_pipeline(spark, documents):
     docs, columns = documents, documents.columns
     for name, step in corpus_pipeline.STAGES[:-1]:
