@@ -53,6 +53,13 @@ def missing_dependencies(tasks: DataFrame, edges: DataFrame, group: Sequence[str
     )
 
 
+def edges_by_presence(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Edges with `known`: whether their job has the task they lead to."""
+    there = _nodes_as_deps(tasks, group, key).withColumn("_there", F.lit(True))
+    joined = edges.join(there, [*group, "dep_key"], "left")
+    return joined.select(*group, key, "dep_key", F.col("_there").isNotNull().alias("known"))
+
+
 def self_dependencies(edges: DataFrame, key: str) -> DataFrame:
     return edges.filter(F.col(key) == F.col("dep_key"))
 
@@ -63,12 +70,13 @@ def root_tasks(tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: st
 
 
 def topological_levels(
-    tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, batch: int = BATCH
+    tasks: DataFrame, edges: DataFrame, group: Sequence[str], key: str, batch: int = BATCH, known: bool = False
 ) -> DataFrame:
     """(group, key, level): roots are level 0, others one above their highest dependency.
 
     The level is NULL for tasks on a cycle or behind one. Dependencies that do not exist
-    are left to missing_dependencies and ignored here.
+    are left to missing_dependencies and ignored here. known: edges are staged and
+    distinct already, and lead to tasks that exist.
 
     Graphs of at most `batch` edges are ordered whole, many in one task, in a single pass.
     Larger ones are spread over tasks and contracted round by round: see _contracted.
@@ -77,17 +85,18 @@ def topological_levels(
     nodes = tasks.select(*node).distinct()
     # Distinct before the join: after it, the join's partitioning would be kept for the
     # aggregation, and a dependency that most edges share could not be split.
-    distinct = edges.select(*group, key, "dep_key").distinct()
-    known = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
-    known, n_edges = _staged(known, "edges")
-    roots = nodes.join(known, node, "left_anti").select(*node, F.lit(0).alias("level"))
-    if n_edges <= batch:
-        return roots.unionByName(_walked_whole(known, group, key, batch))
-    large, n_large = _staged(known.groupBy(*group).count().filter(F.col("count") > batch).select(*group), "large")
+    if not known:
+        distinct = edges.select(*group, key, "dep_key").distinct()
+        edges = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
+        edges = stage(edges, "edges")
+    roots = nodes.join(edges, node, "left_anti").select(*node, F.lit(0).alias("level"))
+    if edges.count() <= batch:
+        return roots.unionByName(_walked_whole(edges, group, key, batch))
+    large, n_large = _staged(edges.groupBy(*group).count().filter(F.col("count") > batch).select(*group), "large")
     if not n_large:
-        return roots.unionByName(_walked_whole(known, group, key, batch))
-    small = _walked_whole(known.join(large, list(group), "left_anti"), group, key, batch)
-    deep = _contracted(known.join(large, list(group), "left_semi"), roots, group, key, batch)
+        return roots.unionByName(_walked_whole(edges, group, key, batch))
+    small = _walked_whole(edges.join(large, list(group), "left_anti"), group, key, batch)
+    deep = _contracted(edges.join(large, list(group), "left_semi"), roots, group, key, batch)
     return roots.unionByName(small).unionByName(deep)
 
 
@@ -376,7 +385,8 @@ def _least(start: np.ndarray, source: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 def _spread_cycles(edges: DataFrame, group: Sequence[str], key: str) -> DataFrame:
     """Cycles of graphs that no task holds whole; each round settles at least one part of every graph."""
-    node, parts = [*group, key], []
+    node = [*group, key]
+    parts = [edges.select(*node, F.col(key).alias("cycle")).limit(0)]
     left, n = _staged(edges, "left")
     while n:
         deps = left.select(*group, F.col("dep_key").alias(key))

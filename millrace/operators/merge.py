@@ -144,6 +144,7 @@ def merge(
     how: str = "left",
     staged: bool = False,
     complete: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Merge source into target on keys.
 
@@ -156,6 +157,7 @@ def merge(
     staged   the source is a staged table or a file already; otherwise it is staged here.
     complete no key of either side holds a NULL: sides are joined on the keys alone, so that
              a target bucketed by them is not shuffled.
+    unique   no two source rows share a key: none are looked for.
 
     The source is read once to stage it and once to find keys that several of its rows
     have. It is an error if one of them is in the target; such rows, however many share a
@@ -165,9 +167,8 @@ def merge(
         raise ValueError(f"how must be 'left' or 'full', not {how!r}")
     if not staged:
         source = stage(source, "source")
-    repeated = stage(_repeated(source, keys), "repeated")
-    extra = None
-    if not repeated.isEmpty():
+    extra, repeated = None, None if unique else stage(_repeated(source, keys), "repeated")
+    if repeated is not None and not repeated.isEmpty():
         if not target.select(*keys).join(repeated, list(keys), "left_semi").isEmpty():
             raise ValueError(f"several source rows match one target row on ({', '.join(keys)})")
         extra = source.join(repeated, list(keys), "left_semi").select(*source.columns)

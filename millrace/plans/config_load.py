@@ -15,7 +15,7 @@ from millrace.functions.text import display_name, fill_template
 from millrace.operators.graph import (
     cyclic_groups,
     dependency_edges,
-    missing_dependencies,
+    edges_by_presence,
     self_dependencies,
     topological_levels,
 )
@@ -108,21 +108,22 @@ def task_rows(jobs: DataFrame) -> DataFrame:
 def graph_reasons(rows: DataFrame) -> DataFrame:
     """(path, resource_id, task_key, reason): row reasons, repeated keys and graph errors."""
     tasks = rows.filter(F.col(KEY).isNotNull())
-    # Parsed once: missing and self-dependencies and the levels all read them.
-    edges = stage(dependency_edges(tasks), "edges")
+    # Parsed and looked up once: missing and self-dependencies and the levels all read them.
+    edges = stage(edges_by_presence(tasks, dependency_edges(tasks), [GROUP], KEY), "edges")
+    known = edges.filter("known").drop("known")
     found = rows.select("path", GROUP, KEY, F.explode("reasons").alias("reason"))
 
     def add(problems: DataFrame, reason: str) -> DataFrame:
         columns = [F.col(c) if c in problems.columns else F.lit(None).cast("string").alias(c) for c in ("path", GROUP, KEY)]
         return problems.select(*columns, F.lit(reason).alias("reason"))
 
-    cycles = cyclic_groups(topological_levels(tasks, edges, [GROUP], KEY), [GROUP])
+    cycles = cyclic_groups(topological_levels(tasks, known, [GROUP], KEY, known=True), [GROUP])
     several = repeated_keys(rows.select(GROUP, "path").distinct(), [GROUP])
     return (
         found.unionByName(add(repeated_keys(tasks, [GROUP, KEY]), "repeated_task_key"))
         .unionByName(add(several, "repeated_resource_id"))
         .unionByName(add(colliding_keys(tasks, [GROUP], KEY), "cleaned_key_collision"))
-        .unionByName(add(missing_dependencies(tasks, edges, [GROUP], KEY), "missing_dependency"))
+        .unionByName(add(edges.filter("NOT known"), "missing_dependency"))
         .unionByName(add(self_dependencies(edges, KEY), "self_dependency"))
         .unionByName(add(cycles, "cycle"))
         .distinct()
@@ -164,7 +165,8 @@ def _merged(control: DataFrame, accepted: DataFrame, as_of: Column, user: Column
     source = accepted.select([f.name for f in CONTROL.fields if f.name in accepted.columns])
     where = "all" if scope == "all" else [GROUP]
     return reconcile(
-        control, source, CONTROL_KEYS, where, audit=Audit(as_of, user), keep_deleted=True, with_action=True
+        control, source, CONTROL_KEYS, where, audit=Audit(as_of, user), keep_deleted=True, with_action=True,
+        staged=True, unique=True,  # a filter of staged rows, without those of repeated keys
     )
 
 

@@ -10,24 +10,16 @@ from millrace.operators.aggregate import daily_summary, freshness
 from millrace.operators.merge import incremental_window, upsert_newer
 from millrace.operators.ranking import newest_per_key
 from millrace.operators.transform import on_day, present_and_positive
+from millrace.schemas import SILVER_SALES
 
-# The sample rows (order, customer, product, quantity, price, revenue, status).
+# Rows to try the pipeline with (order, customer, product, quantity, price, revenue, status).
 SAMPLE_SALES = (
-    ("ORD001", "CUST001", "PROD001", 10, 29.99, 299.90, "completed"),
-    ("ORD002", "CUST002", "PROD002", 5, 49.99, 249.95, "completed"),
-    ("ORD003", "CUST001", "PROD003", 2, 99.99, 199.98, "pending"),
-)
-# Columns an update of a silver row takes from its source.
-SILVER_UPDATES = (
-    "customer_id",
-    "product_id",
-    "order_date",
-    "quantity",
-    "unit_price",
-    "revenue",
-    "status",
-    "updated_at",
+    ("S-1", "ada", "lamp", 4, 12.50, 50.00, "completed"),
+    ("S-2", "bo", "desk", 1, 180.00, 180.00, "completed"),
+    ("S-3", "ada", "chair", 3, 41.25, 123.75, "pending"),
 )
+# What an update of a silver row takes from its source: all but its key and when it was first seen.
+SILVER_UPDATES = tuple(name for name in SILVER_SALES.names if name not in ("order_id", "processed_at"))
 
 
 def sample_sales(spark: SparkSession, as_of: Column) -> DataFrame:
@@ -82,7 +74,7 @@ def incremental_load(
     fresh = incremental_window(bronze, silver, "processed_at", "updated_at")
     newest = newest_per_key(fresh, [key], "processed_at", [F.col(c).desc() for c in bronze.columns if c != key])
     updates = [c for c in SILVER_UPDATES if c in silver.columns]
-    return upsert_newer(silver, to_silver(newest, as_of), [key], "updated_at", update=updates, **options)
+    return upsert_newer(silver, to_silver(newest, as_of), [key], "updated_at", update=updates, unique=True, **options)
 
 
 @dataclass(frozen=True)

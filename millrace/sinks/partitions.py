@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.operators.merge import merge
+from millrace.operators.merge import merge, update_where
 from millrace.sources.staging import stage
 
 
@@ -64,6 +64,33 @@ def merge_partitions(
     return Rewritten(len(touched), len(after), len(emptied))
 
 
+def update_partitions(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    condition: Column,
+    assignments: Mapping[str, Column],
+    partition_by: Sequence[str],
+) -> Rewritten:
+    """Set columns of the rows a condition selects in the parquet table at path.
+
+    Only partitions that hold such rows are rewritten, staged first; partition columns
+    cannot be set, as rows do not move. Updating again must change nothing for a failed
+    run to be repeated, which is up to the assignments.
+    """
+    by = list(partition_by)
+    if set(by) & set(assignments):
+        raise ValueError("partition columns cannot be set")
+    table = spark.read.schema(schema).parquet(path)
+    touched = _values(table.filter(condition).select(*by))
+    here = table.filter(_in(touched, by, schema))
+    staged = stage(update_where(here, condition, assignments).select(*schema.names), "partitions")
+    staged.hint("rebalance", *by).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*by).parquet(path)
+    return Rewritten(len(touched), len(touched), 0)
+
+
 def _touched(table: DataFrame, source: DataFrame, by: list[str], delete: str | Sequence[str] | None) -> DataFrame:
     own = source.select(*by)
     if delete is None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import merge as m
 from millrace.operators.ranking import newest_per_key
 from millrace.plans.sales import incremental_load as load
-from millrace.sinks import buckets
+from millrace.sinks import buckets, partitions
 from millrace.sinks.partitions import merge_partitions
 from millrace.sources.staging import scratch_path
 from millrace.workload import at, plain, table
@@ -99,6 +99,16 @@ def reconcile_partitions(spark, d):
     return spark.read.schema(target.schema).parquet(path)
 
 
+def update_partitions(spark, d):
+    """Open orders of a table kept by year get another price; years without any are left alone."""
+    orders, path = _yearly(table(spark, d, "orders")), scratch_path(spark, "orders")
+    orders.write.partitionBy("year").parquet(path)
+    raised = {"o_totalprice": F.col("o_totalprice") + 1}
+    open_late = (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") >= at("1999-06-01"))
+    partitions.update_partitions(spark, path, orders.schema, open_late, raised, ["year"])
+    return spark.read.schema(orders.schema).parquet(path)
+
+
 def scoped_delete(spark, d):
     source = table(spark, d, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))
     return m.scoped_delete(table(spark, d, "orders"), source, ["o_custkey", "o_orderkey"], ["o_custkey"])
@@ -170,6 +180,7 @@ QUERIES = {
     "incremental_load": incremental_load,
     "incremental_load_bucketed": incremental_load_bucketed,
     "reconcile_partitions": reconcile_partitions,
+    "update_partitions": update_partitions,
     "scoped_delete": scoped_delete,
     "reconcile": reconcile,
     "reconcile_all": reconcile_all,
@@ -279,3 +290,7 @@ SQL["reconcile_partitions"] = """
     SELECT * FROM s
     UNION ALL
     SELECT * FROM t WHERE year IS NULL OR year NOT IN (SELECT year FROM s WHERE year IS NOT NULL)"""
+SQL["update_partitions"] = """
+    SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1999-06-01' THEN o_totalprice + 1
+                           ELSE o_totalprice END AS o_totalprice),
+           CAST(CASE WHEN o_orderkey % 17 <> 0 THEN year(o_orderdate) END AS INTEGER) AS year FROM orders"""

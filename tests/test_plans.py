@@ -19,9 +19,9 @@ def now():
 def test_sample_sales_to_daily(spark, rows):
     run = sales.sales_run(sales.sample_sales(spark, now()), now())
     day = run.daily.first()
-    assert (day.total_orders, day.total_quantity, day.unique_customers, day.completed_orders) == (3, 17, 2, 2)
-    assert float(day.total_revenue) == 749.83 and round(day.avg_order_value, 4) == 249.9433
-    assert rows(run.silver, "order_id", "status") == [("ORD001", "COMPLETED"), ("ORD002", "COMPLETED"), ("ORD003", "PENDING")]
+    assert (day.total_orders, day.total_quantity, day.unique_customers, day.completed_orders) == (3, 8, 2, 2)
+    assert float(day.total_revenue) == 353.75 and round(day.avg_order_value, 4) == 117.9167
+    assert rows(run.silver, "order_id", "status") == [("S-1", "COMPLETED"), ("S-2", "COMPLETED"), ("S-3", "PENDING")]
     assert sales.daily_sales(run.silver, now(), "2024-06-01").count() == 1
     assert sales.daily_sales(run.silver, now(), "2024-06-02").count() == 0
 
@@ -29,10 +29,10 @@ def test_sample_sales_to_daily(spark, rows):
 def test_silver_drops_unusable_rows(spark, rows):
     bronze = sales.sample_sales(spark, now())
     broken = bronze.withColumns({
-        "order_id": F.when(F.col("order_id") != "ORD001", F.col("order_id")),
-        "revenue": F.when(F.col("order_id") == "ORD002", F.lit(0)).otherwise(F.col("revenue")),
+        "order_id": F.when(F.col("order_id") != "S-1", F.col("order_id")),
+        "revenue": F.when(F.col("order_id") == "S-2", F.lit(0)).otherwise(F.col("revenue")),
     })
-    assert rows(sales.to_silver(broken, now()), "order_id") == [("ORD003",)]
+    assert rows(sales.to_silver(broken, now()), "order_id") == [("S-3",)]
 
 
 def test_incremental_load_into_an_empty_table_and_again(spark, rows):
@@ -41,10 +41,10 @@ def test_incremental_load_into_an_empty_table_and_again(spark, rows):
     first = sales.incremental_load(empty, bronze.unionByName(bronze), now())
     assert first.count() == 3
     later = F.lit("2024-06-02 12:00:00").cast("timestamp")
-    changed = bronze.withColumn("status", F.lit("returned")).withColumn("processed_at", later).filter("order_id = 'ORD003'")
+    changed = bronze.withColumn("status", F.lit("returned")).withColumn("processed_at", later).filter("order_id = 'S-3'")
     again = sales.incremental_load(first, bronze.unionByName(changed), later)
-    assert rows(again, "order_id", "status") == [("ORD001", "COMPLETED"), ("ORD002", "COMPLETED"), ("ORD003", "RETURNED")]
-    kept = again.filter("order_id = 'ORD003'").first()
+    assert rows(again, "order_id", "status") == [("S-1", "COMPLETED"), ("S-2", "COMPLETED"), ("S-3", "RETURNED")]
+    kept = again.filter("order_id = 'S-3'").first()
     assert kept.processed_at == NOW and kept.updated_at == datetime(2024, 6, 2, 12)
 
 

@@ -46,6 +46,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThan(c_acctbal,0.0)" in text and "ReadSchema: struct<c_custkey:bigint,c_name:string,c_acctbal:double>" in text
     text = plan(contract.queries()["daily_as_of"](spark, FOLDER))
     assert "GreaterThanOrEqual(o_orderdate,1998-10-03T00:00)" in text and "LessThan(o_orderdate,1998-10-04T00:00)" in text
+    assert "GreaterThan(l_extendedprice,0.0)" in plan(contract.queries()["sales_daily"](spark, FOLDER))
     assert "GreaterThanOrEqual(ts,ScalarSubquery" in plan(contract.queries()["incremental_window"](spark, FOLDER))
 
 
@@ -74,3 +75,22 @@ def test_sources_keep_to_the_rules():
         text = path.read_text()
         for word in ("localCheckpoint", "crossJoin", ".rdd", "F.udf", "broadcast(", "toPandas", "_jdf", "_jvm"):
             assert word not in text, f"{word} in {path}"
+
+
+def test_functions_of_tasks_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from millrace.operators import graph
+    from millrace.sources import documents
+
+    for number, function in enumerate((graph._levels_of, graph._cycles_of, documents._yaml_jobs)):
+        (tmp_path / f"{number}").write_bytes(cloudpickle.dumps(function))
+    code = (
+        "import pickle, sys, pyspark.cloudpickle\n"
+        f"for n in range(3): pickle.load(open(f'{tmp_path}/{{n}}', 'rb'))\n"
+        "assert not any(m.startswith('millrace') for m in sys.modules)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""})

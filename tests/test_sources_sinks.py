@@ -262,3 +262,18 @@ def test_a_bucketed_merge_does_not_shuffle_the_target(spark, rows, name):
     spark.sql(f"INSERT INTO {name} VALUES (NULL, 3)")
     with pytest.raises(ValueError, match="without k"):
         buckets.replace_bucketed(spark, name, lambda target: target, ["k"], 8)
+
+
+def test_an_update_rewrites_only_partitions_with_such_rows(spark, rows, tmp_path):
+    path = tmp_path / "t"
+    old = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 1, 1), (None, 2, 1), ("c", 3, 1)], "p string, k int, v int")
+    old.write.partitionBy("p").parquet(str(path))
+    before = partition_files(path)
+    done = partitions.update_partitions(spark, str(path), old.schema, F.col("k") == 2, {"v": F.lit(9)}, ["p"])
+    assert merged_rows(spark, rows, path, old.schema) == [(None, 2, 9), ("a", 1, 1), ("a", 2, 9), ("b", 1, 1), ("c", 3, 1)]
+    after = partition_files(path)
+    assert done.touched == 2 and {f.split("/")[0] for f in before if after.get(f) == before[f]} == {"p=b", "p=c"}
+    assert partitions.update_partitions(spark, str(path), old.schema, F.col("k") == 7, {"v": F.lit(0)}, ["p"]).touched == 0
+    assert partition_files(path) == after
+    with pytest.raises(ValueError):
+        partitions.update_partitions(spark, str(path), old.schema, F.lit(True), {"p": F.lit("x")}, ["p"])
