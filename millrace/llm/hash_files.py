@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import mapped, save, shared_folder
+from millrace.llm.shared import mapped, save, shared_folder, tidy
 from millrace.sources.staging import stage
 
 SHARD = 2_000_000  # hashes of a file
@@ -71,4 +71,4 @@ def rows_in(rows: DataFrame, key: Column, found: HashSet) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from among(batches, found)
 
-    return rows.select("*", key.alias("_key")).mapInArrow(run, StructType(list(rows.schema.fields)))
+    return rows.select("*", key.alias("_key")).mapInArrow(tidy(run), StructType(list(rows.schema.fields)))

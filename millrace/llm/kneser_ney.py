@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.hash_files import HashSet, among
-from millrace.llm.shared import mapped, save, shared_folder
+from millrace.llm.shared import mapped, release, save, shared_folder, tidy
 from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 
 # Bytes of text that a shard stands for, and that a task holds as arrays at once.
@@ -182,6 +182,8 @@ def train(
         ends = np.append(start[1:], len(words))
         totals = np.array([(n == i).sum() for i in (1, 2, 3, 4)] + [len(n), shard], np.float64)
         rows = [(int(o), columnar(words[a:b])) for o, a, b in zip(found, start, ends)] + [(-1, totals.tobytes())]
+        del words, owner
+        release()
         return pd.DataFrame(rows, columns=["shard", "data"])
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +206,7 @@ def train(
 
     sent = (
         texts.select(F.col(text), *([] if key is None else [key.alias("_key")]))
-        .mapInArrow(count, "shard int, data binary")
+        .mapInArrow(tidy(count), "shard int, data binary")
         .groupBy("shard")
         .applyInPandas(merge, "shard int, data binary")
         .groupBy("shard")
@@ -371,4 +373,4 @@ def scored(
     schema = StructType(list(docs.schema.fields))
     for name in names:
         schema = schema.add(name, "long" if pa.types.is_integer(SCORES[name]) else "double")
-    return (docs if key is None else docs.select("*", key.alias("_key"))).mapInArrow(run, schema)
+    return (docs if key is None else docs.select("*", key.alias("_key"))).mapInArrow(tidy(run), schema)

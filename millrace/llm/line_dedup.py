@@ -24,6 +24,7 @@ from millrace.llm.graphs import components
 from millrace.llm.hash_files import hash_set, rows_in
 from millrace.llm.kneser_ney import shard_of
 from millrace.llm.quality_rules import bound
+from millrace.llm.shared import release, tidy
 from millrace.sources.staging import stage
 
 EDITS = 2
@@ -147,10 +148,12 @@ def meeting_lines(docs: DataFrame, edits: int, shards: int) -> DataFrame:
         size = np.diff(np.append(starts, len(entries)))
         good = (size > 1) & (np.add.reduceat(own, starts, dtype=np.int64) > 0) if len(first) else size > 1
         kept = entries[np.repeat(good, size)]
+        del entries, key, same
+        release()
         return pd.DataFrame({"bucket": kept["key"].view(np.int64) if len(kept) else [], "node": kept["line"]})
 
     rows = numbered_lines(docs).filter(F.length("line") >= EDIT_CHARS).select("line", "line_hash")
-    packs = rows.mapInArrow(send, "shard int, data binary")
+    packs = rows.mapInArrow(tidy(send), "shard int, data binary")
     return packs.groupBy("shard").applyInPandas(meet, "bucket long, node long")
 
 
@@ -274,4 +277,4 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             yield pa.record_batch([*out, *counts], [*columns, "n_lines", "n_dropped"])
 
     schema = StructType(list(docs.schema.fields)).add("n_lines", "integer").add("n_dropped", "integer")
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(tidy(run), schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.clusters import Sets, clusters, verified
 from millrace.llm.graphs import components
 from millrace.llm.words import WordHashes, mixed, shingle_hashes, texts_of
+from millrace.llm.shared import tidy
 from millrace.sources.staging import stage
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, width: int, depth: int, trees: int) -> DataFrame
                     ["doc_id", "node", "n", "paths"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, paths array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, node long, n long, paths array<long>")
 
 
 def with_shingles(docs: DataFrame, width: int) -> DataFrame:
@@ -109,7 +110,7 @@ def with_shingles(docs: DataFrame, width: int) -> DataFrame:
 
     names = ["class", "node", "copies", "paths", "weight", "shingles"]
     rows = docs.select("text", *names[:4])
-    return rows.mapInArrow(run, "class long, node long, copies long, paths array<long>, weight long, shingles binary")
+    return rows.mapInArrow(tidy(run), "class long, node long, copies long, paths array<long>, weight long, shingles binary")
 
 
 def comparer(threshold: float):

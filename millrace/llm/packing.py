@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.shared import tidy
 from millrace.sources.staging import stage
 
 LENGTH = 4096  # tokens of a sequence
@@ -162,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def composed(sizes: list[int], counts: list[int], length: int) -> Iterator[tuple[list[int], int]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from millrace.sources.staging import scratch_path
@@ -34,3 +37,20 @@ def save(path: str, array: np.ndarray) -> None:
 
 def mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task over batches, followed by release()."""
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return task
