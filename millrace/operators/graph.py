@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
@@ -82,12 +83,12 @@ def topological_levels(
     Larger ones are spread over tasks and contracted round by round: see _contracted.
     """
     node, dep = [*group, key], [*group, "dep_key"]
-    nodes = tasks.select(*node).distinct()
+    nodes = stage(tasks.select(*node).distinct(), "nodes")
     # Distinct before the join: after it, the join's partitioning would be kept for the
     # aggregation, and a dependency that most edges share could not be split.
     if not known:
         distinct = edges.select(*group, key, "dep_key").distinct()
-        edges = distinct.join(_nodes_as_deps(tasks, group, key), dep, "left_semi").select(*group, key, "dep_key")
+        edges = distinct.join(nodes.withColumnRenamed(key, "dep_key"), dep, "left_semi").select(*group, key, "dep_key")
         edges = stage(edges, "edges")
     roots = nodes.join(edges, node, "left_anti").select(*node, F.lit(0).alias("level"))
     if edges.count() <= batch:
@@ -95,6 +96,7 @@ def topological_levels(
     large, n_large = _staged(edges.groupBy(*group).count().filter(F.col("count") > batch).select(*group), "large")
     if not n_large:
         return roots.unionByName(_walked_whole(edges, group, key, batch))
+    roots = stage(roots, "roots")
     small = _walked_whole(edges.join(large, list(group), "left_anti"), group, key, batch)
     deep = _contracted(edges.join(large, list(group), "left_semi"), roots, group, key, batch)
     return roots.unionByName(small).unionByName(deep)
@@ -106,52 +108,50 @@ def _contracted(edges: DataFrame, roots: DataFrame, group: Sequence[str], key: s
     An edge says level(task) >= max(base, level(dep) + step). Each round places tasks that
     wait for nothing, and those whose dependencies are placed inside a batch of edges in
     order of their keys. A task that waits for a single other one needs no place of its
-    own: its edge is followed by doubling, to where it ends, and replaces it in the edges
-    of others, whose parallel ones become one. So chains of any length take a number of
+    own: its edge is followed, inside its batch and then by doubling, to where it ends, and
+    replaces it in the edges of others, whose parallel ones become one. So chains of any length take a number of
     steps that grows with its logarithm, and so do graphs that fall apart into chains; what
     remains are tasks that wait for several others, a layer of them or a batch a round.
     In the end the tasks that were followed take their level from where they ended.
     """
     node, dep = [*group, key], [*group, "dep_key"]
-    start = edges.select(*node, "dep_key", F.lit(0).alias("base"), F.lit(1).alias("step"))
+    start = edges.filter(F.col(key).isNotNull()).select(*node, "dep_key", F.lit(0).alias("base"), F.lit(1).alias("step"))
     longest = edges.count() + 1  # no path has more edges
     at_start = _as_deps(roots.select(*node, "level"), group, key)
-    waiting, left = _staged(_merged(_resolved(start, at_start, dep), node), "waiting")
+    # Edges are distinct, so bases alone are to be merged at first.
+    bases = start.join(at_start, dep).groupBy(*node).agg(F.max(F.col("dep_level") + F.col("step")).alias("base"))
+    bases = bases.select(*node, F.lit(None).cast(edges.schema["dep_key"].dataType).alias("dep_key"), "base", F.lit(0).alias("step"))
+    waiting, left = _staged(start.join(at_start, dep, "left_anti").select(*bases.columns).unionByName(bases), "waiting")
+    no_level = F.lit(None).cast("int").alias("level")
+    unplaced = edges.filter(F.col(key).isNull()).select(*node).distinct()
     placed_parts, followed_parts = [], []
     while left:
-        per_task = waiting.groupBy(*node).agg(
-            F.count("dep_key").alias("n"), F.max("dep_key").alias("dep_key"), F.max("base").alias("base"), F.max("step").alias("step")
-        )
-        state = stage(per_task, "state")
-        ready = state.filter("n = 0").select(*node, F.col("base").alias("level"))
-        placed = ready.unionByName(_walked(waiting, group, key, batch)).groupBy(*node).agg(F.max("level").alias("level"))
-        placed, n_placed = _staged(placed, "placed")
-        single = state.filter("n = 1").select(*node, "dep_key", "base", "step").join(placed, node, "left_anti")
-        followed, n_followed = _followed(single.select(*node, "dep_key", "base", "step"), group, key, longest)
-        if not n_placed and not n_followed:
+        walked = stage(_walked(waiting, group, key, batch), "walked")
+        placed = walked.filter("level IS NOT NULL").select(*node, "level")
+        rest = walked.filter("level IS NULL AND NOT single").select(*node, "dep_key", "base", "step")
+        if walked.filter("level IS NOT NULL OR single").isEmpty():
+            unplaced = unplaced.unionByName(rest.select(*node).distinct())
             break
+        followed = _followed(walked.filter("single").select(*node, "dep_key", "base", "step"), group, key, longest)
         placed_parts.append(placed)
         followed_parts.append(followed)
-        gone = placed.select(*node).unionByName(state.filter("n = 1").select(*node)).distinct()
-        rest = waiting.join(gone, node, "left_anti").select(*node, "dep_key", "base", "step")
-        ends = followed.select(
-            *group, F.col(key).alias("dep_key"), F.col("dep_key").alias("_end"),
-            F.col("base").alias("_base"), F.col("step").alias("_step"),
-        )
+        if rest.isEmpty():
+            break
         base, step = F.col("base"), F.col("step")
-        moved = rest.join(ends, dep, "left").select(
+        moved = rest.join(_ends(followed, group, key), dep, "left").select(
             *node, F.coalesce("_end", "dep_key").alias("dep_key"),
             F.greatest(base, F.col("_base") + step).alias("base"), (step + F.coalesce("_step", F.lit(0))).alias("step"),
         )
         waiting, left = _staged(_merged(_resolved(moved, _as_deps(placed, group, key), dep), node), "waiting")
-    levels = reduce(DataFrame.unionByName, [roots, *placed_parts]) if placed_parts else roots
+    found = placed_parts
     for followed in reversed(followed_parts):
-        ended = followed.join(_as_deps(levels, group, key), dep)
-        level = F.greatest(F.col("base"), F.col("dep_level") + F.col("step"))
-        found = stage(ended.select(*node, level.alias("level")), "ended")
-        levels = levels.unionByName(found)
-    tasks = edges.select(*node).distinct()
-    return tasks.join(levels, node, "left").select(*node, "level")
+        # Many tasks end at few, whose levels are small enough to be sent to all.
+        levels = _as_deps(reduce(DataFrame.unionByName, found, roots).filter("level IS NOT NULL"), group, key)
+        ends = stage(levels.join(followed.select(*dep).distinct(), dep, "left_semi"), "ends")
+        level = F.when(F.col("dep_level").isNotNull(), F.greatest(F.col("base"), F.col("dep_level") + F.col("step")))
+        ended = followed.join(ends, dep, "left").select(*node, level.alias("level"))
+        found = [*found, stage(ended, "ended")]
+    return reduce(DataFrame.unionByName, found, unplaced.select(*node, no_level))
 
 
 def _resolved(waiting: DataFrame, placed: DataFrame, dep: list[str]) -> DataFrame:
@@ -171,32 +171,45 @@ def _merged(waiting: DataFrame, node: list[str]) -> DataFrame:
     return waiting.groupBy(*node, "dep_key").agg(F.max("base").alias("base"), F.max("step").alias("step"))
 
 
-def _followed(single: DataFrame, group: Sequence[str], key: str, longest: int) -> tuple[DataFrame, int]:
-    """Edges of tasks that wait for one other, made to end at a task that is not such; by doubling.
+def _followed(single: DataFrame, group: Sequence[str], key: str, longest: int) -> DataFrame:
+    """Edges of tasks that wait for one other, made to end at a task that is not such.
 
-    Those that lead into a cycle grow beyond the longest path and are left out.
+    Doubling is for the tasks in which edges of others end, the ends of batches, since
+    edges were followed inside batches; the others' edges are moved once, afterwards.
+    Those that lead into a cycle grow beyond the longest path and are left out, or end
+    at a task that is.
     """
     node, dep = [*group, key], [*group, "dep_key"]
-    current, n = _staged(single, "followed")
+    met = single.select(*dep).distinct().withColumnRenamed("dep_key", key)
+    current, n = _staged(single.join(met, node, "left_semi").select(*single.columns), "followed")
+    if not n:
+        return single
     while n:
-        ends = current.select(
-            *group, F.col(key).alias("dep_key"), F.col("dep_key").alias("_end"),
-            F.col("base").alias("_base"), F.col("step").alias("_step"),
-        )
-        joined = current.join(ends, dep, "left")
-        step = F.col("step") + F.coalesce("_step", F.lit(0))
-        base = F.greatest(F.col("base"), F.col("_base") + F.col("step"))
-        jumped = joined.select(
-            *node, F.coalesce("_end", "dep_key").alias("dep_key"), base.alias("base"), step.alias("step"),
-            F.col("_end").isNotNull().alias("_on"),
-        )
         seen = Observation()
-        counted = jumped.filter(F.col("step") < longest).observe(seen, F.count_if("_on").alias("on"), F.count(F.lit(1)).alias("n"))
+        jumped = _jumped(current, current, group, key).filter(F.col("step") < longest)
+        counted = jumped.observe(seen, F.count_if("_on").alias("on"), F.count(F.lit(1)).alias("n"))
         current = stage(counted, "followed").drop("_on")
         n = seen.get["n"]
         if not seen.get["on"]:
             break
-    return current, n
+    return _jumped(single, current, group, key).drop("_on")
+
+
+def _jumped(edges: DataFrame, others: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Edges that lead where the edge of the task they led to does, and whether there was one (_on)."""
+    joined = edges.join(_ends(others, group, key), [*group, "dep_key"], "left")
+    return joined.select(
+        *group, key, F.coalesce("_end", "dep_key").alias("dep_key"),
+        F.greatest(F.col("base"), F.col("_base") + F.col("step")).alias("base"),
+        (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step"), F.col("_end").isNotNull().alias("_on"),
+    )
+
+
+def _ends(followed: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    return followed.select(
+        *group, F.col(key).alias("dep_key"), F.col("dep_key").alias("_end"),
+        F.col("base").alias("_base"), F.col("step").alias("_step"),
+    )
 
 
 def _as_deps(placed: DataFrame, group: Sequence[str], key: str) -> DataFrame:
@@ -215,25 +228,120 @@ def _walked_whole(edges: DataFrame, group: Sequence[str], key: str, most: int) -
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _cut(batches, names, most):
-            yield _levels_of(frame.assign(base=0, step=1), names, key, whole=True)
+            yield _levels_of(frame.assign(base=0, step=1), names, key)
 
     schema = edges.select(*group, key).schema.add("level", "integer")
     return edges.repartition(*group).sortWithinPartitions(*group).mapInPandas(walk, schema)
 
 
 def _walked(waiting: DataFrame, group: Sequence[str], key: str, most: int) -> DataFrame:
-    """Levels of the tasks that can be placed inside batches of about `most` edges, in order of group and key.
+    """Edges of waiting tasks after a walk in batches of about `most` edges, in order of group and key.
 
-    A task with more edges than that is left to the next round's count.
+    A task that is placed inside its batch has one row with its level. One that waits for a
+    single other task has one row, marked single, that leads out of the batch, or to a task
+    that is not such. Other rows are as before: those of tasks that wait for several, that lead
+    into a cycle of the batch, or that have more edges than a batch.
     """
-    names = [*group, key]
+    node = [*group, key]
+    # Two rows, an edge and a base, are the least that a followed task may have.
+    most = max(most, 2)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _cut(batches, names, most):
-            yield _levels_of(frame, list(group), key, whole=False)
+    rows = waiting.select(*node, "dep_key", "base", "step")
+    schema = rows.schema.add("level", "integer").add("single", "boolean")
+    names = schema.names
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, piece in _pieces(batches, node, most):
+            yield from _stepped(table, piece, node).select(names).to_batches()
 
-    schema = waiting.select(*names).schema.add("level", "integer")
-    return waiting.repartitionByRange(*names).sortWithinPartitions(*names).mapInPandas(walk, schema)
+    return rows.repartitionByRange(*node).sortWithinPartitions(*node).mapInArrow(walk, schema)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers, NULL as one of them."""
+    return pa.chunked_array(column).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], names: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows and their pieces, numbers of about `most` rows each that change only where `names` do.
+
+    Values of `names` with more rows than that have the piece -1. A table has as many pieces
+    as come in one go, so that small pieces cost no table each.
+    """
+    held, large = None, None  # rows of the last value so far; the last value, if it has too many
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+        held = None
+        if not table.num_rows:
+            continue
+        codes = [_codes(table.column(n)) for n in names]
+        number = np.cumsum(np.append(False, np.any([c[1:] != c[:-1] for c in codes], axis=0)))
+        sizes = np.bincount(number)
+        first = np.cumsum(sizes) - sizes
+        too_many = sizes > most
+        end = lambda at: tuple(table.column(n)[at].as_py() for n in names)
+        if large is not None and large == end(0):
+            too_many[0] = True
+        large = end(-1) if too_many[-1] else None
+        keep = table.num_rows if too_many[-1] else int(first[-1])
+        if keep < table.num_rows:
+            held = table.slice(keep)
+        if keep:
+            yield table.slice(0, keep), np.where(too_many, -1, first // most)[number][:keep]
+    if held is not None:
+        yield held, np.zeros(held.num_rows, np.int64)
+
+
+def _stepped(table: pa.Table, piece: np.ndarray, node: list[str]) -> pa.Table:
+    """Rows of _walked for those of _pieces."""
+    known = table.column("dep_key").is_null().to_numpy()
+    base, step = (table.column(c).to_numpy().astype(np.int64) for c in ("base", "step"))
+    # Tasks and dependencies as numbers, apart in each piece.
+    *groups, key = node
+    place = piece.astype(np.int64)
+    for g in groups:
+        codes = _codes(table.column(g))
+        place = np.unique(place * (codes.max() + 1) + codes, return_inverse=True)[1]
+    ends = _codes(pa.chunked_array([*table.column(key).chunks, *table.column("dep_key").chunks]))
+    both = np.unique(np.append(place, place).astype(np.int64) * (int(ends.max()) + 1) + ends, return_inverse=True)[1]
+    small = piece >= 0
+    n = int(both.max()) + 1
+    task, needs = both[: len(place)], both[len(place) :]
+    level, placed = _placed(task[small], needs[small & ~known], known[small], base[small], step[small], n, False)
+    # Tasks that wait for one other, and where its edge leads; followed by doubling, too.
+    waits = small & ~known
+    single = (np.bincount(task[waits], minlength=n) == 1) & ~placed
+    own, met = np.zeros(n, np.int64), np.zeros(n, np.int64)  # a row of each task, and one that leads to it
+    own[task], met[needs[~known]] = np.arange(len(place)), np.flatnonzero(~known)
+    lowest, length, to = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    np.maximum.at(lowest, task[small], base[small])
+    np.maximum.at(length, task[small], step[small])
+    lone = waits & single[task]
+    to[task[lone]] = needs[lone]
+    for _ in range(n.bit_length() + 1):
+        on = np.flatnonzero(single & single[to])
+        if not on.size:
+            break
+        t = to[on]
+        lowest[on], length[on], to[on] = np.maximum(lowest[on], lowest[t] + length[on]), length[on] + length[t], to[t]
+    done = np.flatnonzero(single & ~single[to])  # others lead into a cycle
+    over = np.flatnonzero(placed)
+    settled = placed.copy()
+    settled[done] = True
+    rest = np.flatnonzero(~small | ~settled[task])
+    at = np.concatenate((rest, own[done], own[over]))
+    lead = np.concatenate((rest, met[to[done]], own[over]))
+    none, kind = np.zeros(len(rest) + len(done), np.int64), np.repeat((0, 1, 2), (len(rest), len(done), len(over)))
+    out = table.select(node).take(pa.array(at))
+    dep_key = table.column("dep_key").take(pa.array(lead, mask=kind == 2))
+    zeros = np.zeros(len(over), np.int64)
+    numbers = {"base": np.concatenate((base[rest], lowest[done], zeros)), "step": np.concatenate((step[rest], length[done], zeros))}
+    out = out.append_column("dep_key", dep_key)
+    for name, values in numbers.items():
+        out = out.append_column(name, pa.array(values, pa.int32()))
+    out = out.append_column("level", pa.array(np.append(none, level[over]), pa.int32(), mask=kind != 2))
+    return out.append_column("single", pa.array(kind == 1))
 
 
 def _cut(batches: Iterator[pd.DataFrame], names: list[str], most: int) -> Iterator[pd.DataFrame]:
@@ -265,38 +373,49 @@ def _cut(batches: Iterator[pd.DataFrame], names: list[str], most: int) -> Iterat
         yield frame
 
 
-def _levels_of(edges: pd.DataFrame, group: list[str], key: str, whole: bool) -> pd.DataFrame:
-    """Levels of the tasks all of whose dependencies are placed by these edges.
-
-    The edges of a task are all here, one without dep_key being a base. If graphs are
-    whole, tasks without edges are roots, and those that cannot be placed have no level.
-    """
+def _levels_of(edges: pd.DataFrame, group: list[str], key: str) -> pd.DataFrame:
+    """Levels of the tasks of whole graphs; tasks without edges are roots, those that cannot be placed have no level."""
     known = edges["dep_key"].isna().to_numpy()
     ends = [edges[[*group, key]], edges.loc[~known, [*group, "dep_key"]].rename(columns={"dep_key": key})]
     both = pd.concat(ends, ignore_index=True)
     codes = both.groupby([*group, key], sort=False, dropna=False).ngroup().to_numpy()
     nodes = both.drop_duplicates(ignore_index=True)
     task, needs = codes[: len(edges)], codes[len(edges) :]
-    level, own = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
+    base, step = (edges[c].to_numpy(dtype=np.int64) for c in ("base", "step"))
+    level, placed = _placed(task, needs, known, base, step, len(nodes), True)
+    found = nodes.assign(level=pd.Series(level, dtype="Int32").where(placed))
+    own = np.zeros(len(nodes), bool)
+    own[task] = True
+    return found[own]
+
+
+def _placed(
+    task: np.ndarray, needs: np.ndarray, known: np.ndarray, base: np.ndarray, step: np.ndarray, n: int, whole: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """(level, placed) of n tasks: placed are those all of whose dependencies are placed by these edges.
+
+    The edges of a task are all here; those that are known need nothing and are a base, the
+    others need a task each. If graphs are whole, tasks without edges are roots.
+    """
+    level, own = np.zeros(n, np.int64), np.zeros(n, bool)
     own[task] = True
-    np.maximum.at(level, task, edges["base"].to_numpy(dtype=np.int64))
-    dependants, steps = task[~known], edges["step"].to_numpy(dtype=np.int64)[~known]
-    waiting = np.bincount(dependants, minlength=len(nodes))
+    np.maximum.at(level, task, base)
+    dependants, steps = task[~known], step[~known]
+    waiting = np.bincount(dependants, minlength=n)
     order = np.argsort(needs, kind="stable")
-    dependants, steps, used = dependants[order], steps[order], np.bincount(needs, minlength=len(nodes))
+    dependants, steps, used = dependants[order], steps[order], np.bincount(needs, minlength=n)
     starts = np.cumsum(used) - used
     free = np.flatnonzero((waiting == 0) & (own | whole))
-    placed = np.zeros(len(nodes), bool)
+    placed = np.zeros(n, bool)
     while free.size:
         placed[free] = True
-        n = used[free]
-        at = np.repeat(starts[free] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        n_used = used[free]
+        at = np.repeat(starts[free] - (np.cumsum(n_used) - n_used), n_used) + np.arange(n_used.sum())
         met = dependants[at]
-        np.maximum.at(level, met, np.repeat(level[free], n) + steps[at])
+        np.maximum.at(level, met, np.repeat(level[free], n_used) + steps[at])
         np.subtract.at(waiting, met, 1)
         free = np.unique(met[waiting[met] == 0])
-    found = nodes.assign(level=pd.Series(level, dtype="Int32").where(placed))
-    return found[own if whole else own & placed]
+    return level, placed
 
 
 def cyclic_groups(levels: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -193,3 +193,23 @@ def test_tasks_on_cycles_are_told_from_tasks_behind_them(spark, seed, small):
     found = g.cycle_members(df, g.dependency_edges(df), GROUP, KEY, small).collect()
     assert {(r.resource_id, r.task_key): (r.resource_id, r.cycle) for r in found} == python_cycles(nodes, deps)
     assert len(found) == len({(r.resource_id, r.task_key) for r in found})
+
+
+def test_a_chain_is_followed_inside_its_batches(spark):
+    _, edges = chains(spark, 2, 300)
+    walked = g._walked(edges.withColumns({"base": F.lit(0), "step": F.lit(1)}), GROUP, KEY, 100).collect()
+    assert len(walked) == 598 and all(r.single and r.level is None and r.dep_key + r.step == r.task_key for r in walked)
+    # They lead out of batches, of which each of at most 8 tasks has one more than its edges fill.
+    assert len({(r.resource_id, r.dep_key) for r in walked}) < 24
+
+
+@pytest.mark.parametrize("small", [2, 7])
+def test_chains_that_meet_and_cycles_longer_than_a_batch(spark, small):
+    edges = [("a", i, i - 1) for i in range(1, 40)] + [("a", 100, 39), ("a", 100, 17), ("a", 101, 100)]
+    edges += [("b", i, (i + 1) % 30) for i in range(30)] + [("b", 50 + i, 49 + i) for i in range(1, 20)] + [("b", 50, 3)]
+    df = spark.createDataFrame(edges, "resource_id string, task_key long, dep_key long")
+    nodes = {(g_, x) for g_, t, d in edges for x in (t, d)}
+    deps = {n: [(g_, d) for g_, t, d in edges if (g_, t) == n] for n in nodes}
+    t = spark.createDataFrame(sorted(nodes), "resource_id string, task_key long")
+    levels = g.topological_levels(t, df, GROUP, KEY, small)
+    assert {(r.resource_id, r.task_key): r.level for r in levels.collect()} == python_levels(nodes, deps)
