@@ -20,14 +20,23 @@ BATCHES = 4
 
 
 def _folder(df, label):
-    """The table as a folder of BATCHES files, dealt round, so that every group of rows is spread over them."""
+    """The table as a folder of BATCHES parts at least, dealt by what rows hold, so that every group of rows is spread over them.
+
+    Parts that are too large for a task are several files.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.repartition(BATCHES).write.parquet(path)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(BATCHES)))
+    dealt.hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
     return path
 
 
 def _arrivals(spark, d, name, df):
-    return flows.file_arrivals(spark, _folder(df, name), df.schema, files_per_batch=1)
+    """The table as a stream of BATCHES batches of about as many files each."""
+    path = _folder(df, name)
+    files = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path).inputFiles()
+    if not files:
+        df.limit(0).write.mode("append").parquet(path)
+    return flows.file_arrivals(spark, path, df.schema, files_per_batch=max(1, -(-len(files) // BATCHES)))
 
 
 def stream_silver(spark, d):

@@ -8,7 +8,9 @@ from millrace.operators import validate as v
 from millrace.plans import config_load
 from millrace.schemas import CONTROL
 from millrace.sources import documents
+from millrace.sources.staging import scratch_path
 from millrace.streaming import counted, daily, flows, ledger, quarantine, sync
+from millrace.workload import streams
 
 YAML = "jobs:\n  {job}:\n    tasks:\n      - {{task_key: {task}, task_type: notebook, file_path: p}}\n"
 
@@ -213,3 +215,24 @@ def test_documents_are_synced_into_the_control_table(spark, rows, tmp_path):
     assert run() == [("a", "u"), ("b", "t")]
     assert rows(spark.read.parquet(rejects), "reason") == [("invalid_document",)]
     assert {r.created_timestamp.day for r in sync.snapshot(spark, root, CONTROL).collect()} == {2}
+
+
+def test_arrivals_are_batches_of_files_that_a_task_can_read(spark):
+    """A larger table makes more files, not larger ones, and no more batches."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        df = spark.range(0, 200_000, 1, 8).withColumn("value", F.xxhash64("id"))
+        found = streams._arrivals(spark, None, "arrivals", df)
+        root = scratch_path(spark, "arrived")
+        flows.append_flow(found.withColumn("file", F.input_file_name()), lambda d: d, root, scratch_path(spark, "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.parquet(root)
+    assert got.select("id", "value").exceptAll(df).isEmpty() and got.count() == 200_000
+    sizes = [r["count"] for r in got.groupBy("file").count().collect()]
+    assert len(sizes) > 2 * streams.BATCHES and max(sizes) < 200_000 / streams.BATCHES
+    empty = streams._arrivals(spark, None, "arrivals", df.limit(0))
+    flows.append_flow(empty, lambda d: d, root + "-none", scratch_path(spark, "checkpoint")).awaitTermination()
+    assert spark.read.parquet(root + "-none").count() == 0
