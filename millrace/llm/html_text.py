@@ -2,14 +2,17 @@
 
 Markup that names its purpose (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts) is dropped wherever it stands, and a page that marks its article keeps
-that article whole. Where a page marks none, repetition decides: runs of WIDTH tokens that
-several pages of the host share are repeated, and so are whole blocks of any length; blocks
-that are repeated whole or covered by repeated runs are boilerplate; the others are kept.
-
-This stands in for a suffix array of each host: no suffixes are sorted and no common prefixes
-measured. Runs are hashed and counted, those at the starts of blocks and at places inside
-them chosen by their own content, the same on every page; so they are a fraction of the text
-and split evenly over tasks, however many pages one host has.
+that article whole. Where a page marks none, a suffix array of its host decides: suffixes of
+blocks that several pages of the host begin alike, for WIDTH tokens or up to the end of a
+shorter block, are repeated; blocks that are repeated whole or covered by repeated runs are
+boilerplate; the others are kept.
+
+The array is sorted by Spark, in ranges of host and suffix, and neighbours are compared.
+Suffixes are as long as they can matter: where pages share more than WIDTH tokens they
+share WIDTH at each place of what they share. Every place of every block counts. Suffixes whose
+start no LEAST_PAGES pages can share, by a hash of it, have no neighbours and are not sorted;
+equal ones of a task are sorted once, with their number. So a passage that all pages of one
+host hold is a few rows, and the array splits evenly over tasks.
 """
 
 from __future__ import annotations
@@ -19,15 +22,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from millrace.llm.hash_files import HashSet, hash_set
-from millrace.llm.words import WordHashes, mixed, shingle_hashes
+from millrace.llm.suffix_dedup import Rolling
+from millrace.llm.words import mixed
+from millrace.sources.staging import stage
 
 WIDTH = 12  # tokens of a run
-THIN = 16  # one in so many places inside a block has its run counted
+SHOWN = 1024  # bytes of a suffix that are sorted as they are; of longer ones a hash stands for the rest
+SEGMENTS = 1024  # of the hashes of suffixes, 32 bits each
+HELD = 1_000_000  # hashes that a task packs at once
+SORTED = 40_000  # different suffixes that a task counts before it sends them
 LEAST_PAGES = 3  # pages that share a substring before it is boilerplate
 COVERED = 0.8  # share of a block's runs that are repeated when it is boilerplate
 
@@ -208,43 +217,150 @@ def host_hash(url: str | None) -> int:
     return xxhash.xxh3_64_intdigest((m[1] if m else "").lower())
 
 
-def whole_blocks(blocks: list[str], host: int) -> np.ndarray:
-    """Key of each block as a whole, however short."""
-    return np.array([xxhash.xxh3_64_intdigest(b.encode(), host) for b in blocks], np.uint64)
+def places(blocks: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, owner, runs): the suffixes of blocks, cut after WIDTH tokens, the block of each and each block's number of them.
 
+    A block of fewer tokens has one suffix, from its start to its end mark.
+    """
+    data = "".join(b + "\n" for b in blocks).encode()
+    letters = np.frombuffer(data, np.uint8)
+    stops = np.flatnonzero((letters == 32) | (letters == 10))
+    begins = np.append(0, stops[:-1] + 1)[: len(stops)]
+    last = np.flatnonzero(letters[stops] == 10)
+    sizes = np.diff(last, prepend=-1)
+    token = np.arange(len(stops))
+    owner = np.repeat(np.arange(len(blocks)), sizes)
+    first = last - sizes + 1
+    use = np.where(sizes[owner] < WIDTH, token == first[owner], token + WIDTH - 1 <= last[owner])
+    at = token[use]
+    own = owner[use]
+    end = np.where(sizes[own] < WIDTH, stops[last[own]] + 1, stops[np.minimum(at + WIDTH - 1, last[own])])
+    return data, begins[at], end, own, np.bincount(own, minlength=len(blocks))
+
+
+def start_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, host: int) -> np.ndarray:
+    """A number below SEGMENTS * 2^32 for each suffix, the same for equal ones of a host."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    found = Rolling(np.frombuffer(data, np.uint8)).of(starts, None, ends - starts)
+    return (mixed(found, np.full(len(found), host, np.uint64)) % np.uint64(SEGMENTS << 32)).astype(np.int64)
+
+
+def suffix(data: bytes, start: int, end: int) -> bytes:
+    if end - start <= SHOWN:
+        return data[start:end]
+    return data[start : start + SHOWN - 16] + xxhash.xxh3_128_digest(data[start:end])
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, body, marked, blocks) of all pages; body is a hash of the blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blocks_of(page or "") for page in batch.column(2).to_pylist()]
+            hosts = np.array([host_hash(u) for u in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            bodies = [xxhash.xxh3_64_intdigest("\n".join(b)) >> 1 for b, _ in found]
+            columns = [*batch.columns[:2], pa.array(hosts), pa.array(bodies, pa.int64()), pa.array([m for _, m in found], pa.bool_())]
+            columns.append(pa.array([b for b, _ in found], pa.list_(pa.string())))
+            yield pa.record_batch(columns, ["page_id", "url", "host", "body", "marked", "blocks"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host long, body long, marked boolean, blocks array<string>"
+    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+
+
+def shared_starts(texts: DataFrame) -> DataFrame:
+    """Start hashes that LEAST_PAGES pages have, each once a page; they travel sorted, as differences, a byte of all together."""
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        keys = np.concatenate((keys[:LEAST_PAGES], keys[LEAST_PAGES:][keys[LEAST_PAGES:] != keys[:-LEAST_PAGES]]))  # more say no more
+        segments, first = np.unique(keys >> 32, return_index=True)
+        low = [np.diff(part & 0xFFFFFFFF, prepend=0).astype("<u4") for part in np.split(keys, first[1:])]
+        columns = [pa.array(segments.astype(np.int32)), pa.array([x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in low], pa.binary())]
+        return pa.record_batch(columns, ["segment", "keys"])
 
-def runs(blocks: list[str], host: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each counted run, block it begins in) of one page."""
-    words = [b.encode().split() for b in blocks]
-    stream = hashes.of([w for b in words for w in b])
-    if len(stream) < WIDTH:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys = shingle_hashes(stream, WIDTH)
-    sizes = np.array([len(w) for w in words])
-    owner = np.repeat(np.arange(len(words)), sizes)[: len(keys)]
-    first = np.cumsum(sizes) - sizes
-    inside = np.arange(len(keys)) + WIDTH <= (first + sizes)[owner]
-    chosen = ((keys % np.uint64(THIN)) == 0) & inside
-    chosen[first[first < len(keys)]] = True
-    return mixed(keys[chosen], np.full(int(chosen.sum()), host, np.uint64)), owner[chosen]
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data, starts, ends, _, _ = places(blocks)
+                held.append(np.unique(start_hashes(data, starts, ends, host % (1 << 64))))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def repeated(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = (np.frombuffer(k, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for k in frame["keys"])
+        low = np.sort(np.concatenate([np.cumsum(x, dtype=np.uint32) for x in parts]))
+        n = LEAST_PAGES - 1
+        often = np.unique(low[n:][low[n:] == low[: max(len(low) - n, 0)]])
+        return pd.DataFrame({"key": (int(frame["segment"].iloc[0]) << 32) + often.astype(np.int64)})
+
+    rows = texts.select("host", "blocks").mapInArrow(run, "segment int, keys binary")
+    return rows.groupBy("segment").applyInPandas(repeated, "key long")
+
+
+def suffix_rows(texts: DataFrame, starts: HashSet) -> DataFrame:
+    """(host, suffix, n, a, b): suffixes with shared starts, the pages that hold them, the least and the greatest of their bodies."""
+    def table(held: dict) -> pa.RecordBatch:
+        keys, values = zip(*held.items())
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary())]
+        columns += [pa.array(c, pa.int64()) for c in zip(*values)]
+        return pa.record_batch(columns, ["host", "suffix", "n", "a", "b"])
 
-def run_rows(pages: DataFrame) -> DataFrame:
-    """(key, body): the counted runs and whole blocks of all pages, each key once a page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         for batch in batches:
-            keys, bodies = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for url, page in zip(*(c.to_pylist() for c in batch.columns)):
-                blocks, _ = blocks_of(page or "")
-                host = host_hash(url)
-                found = np.unique(np.concatenate((runs(blocks, host, hashes)[0], whole_blocks(blocks, host))))
-                body = xxhash.xxh3_64_intdigest("\n".join(blocks)) >> 1
-                keys.append(found), bodies.append(np.full(len(found), body))
-            columns = np.concatenate(keys).view(np.int64), np.concatenate(bodies)
-            yield pa.record_batch([pa.array(c) for c in columns], ["key", "body"])
+            for host, body, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                data, begin, end, _, _ = places(blocks)
+                hit = starts.has(start_hashes(data, begin, end, host % (1 << 64)))
+                for own in {suffix(data, s, e) for s, e in zip(begin[hit].tolist(), end[hit].tolist())}:
+                    n, a, b = held.get((host, own), (0, body, body))
+                    held[host, own] = n + 1, min(a, body), max(b, body)
+                if len(held) >= SORTED:
+                    yield table(held)
+                    held = {}
+        if held:
+            yield table(held)
+
+    return texts.select("host", "body", "blocks").mapInArrow(run, "host long, suffix binary, n long, a long, b long")
+
+
+def common_tokens(one: bytes, other: bytes) -> int:
+    """Tokens that two suffixes begin with alike; the end of a block is part of its last token."""
+    n = 0
+    for a, b in zip(one.split(b" "), other.split(b" ")):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def repeated_suffixes(rows: DataFrame) -> DataFrame:
+    """key of the suffixes that LEAST_PAGES pages of a host, not all copies of one, have whole as a common prefix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, a, b = None, 0, 0, 0
+        for batch in batches:
+            keys = []
+            for host, own, more, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is not None and at[0] == host and len(at[1]) == len(own) and common_tokens(at[1], own) == own.count(b" ") + 1:
+                    n, a, b = n + more, min(a, low), max(b, high)
+                    continue
+                if n >= LEAST_PAGES and a != b:
+                    keys.append(suffix_key(*at))
+                at, n, a, b = (host, own), more, low, high
+            yield pa.record_batch([pa.array(keys, pa.int64())], ["key"])
+        if n >= LEAST_PAGES and a != b:
+            yield pa.record_batch([pa.array([suffix_key(*at)], pa.int64())], ["key"])
+
+    return rows.repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix").mapInArrow(run, "key long")
 
-    return pages.select("url", "html").mapInArrow(run, "key long, body long")
+
+def suffix_key(host: int, own: bytes) -> int:
+    key = xxhash.xxh3_64_intdigest(own, host % (1 << 64))
+    return key - (1 << 64) if key >> 63 else key
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -258,35 +374,28 @@ def extract_text(pages: DataFrame) -> DataFrame:
     boilerplate, has an empty text. Pages with a NULL url form one host; repeated rows are
     extracted each; other columns are not read; an empty table gives no rows.
     """
-    repeated = (
-        run_rows(pages)
-        .groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("body").alias("a"), F.max("body").alias("b"))
-        .filter((F.col("n") >= LEAST_PAGES) & (F.col("a") != F.col("b")))
-        .select("key")
-    )
-    known = hash_set(repeated, "repeated-runs")
+    found = stage(parsed(pages), "blocks")
+    starts = hash_set(shared_starts(found), "shared-starts")
+    known = hash_set(repeated_suffixes(stage(suffix_rows(found, starts), "suffixes")), "repeated-suffixes")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
-            for url, page in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-                blocks, marked = blocks_of(page or "")
-                out.append(" ".join(blocks if marked else own_blocks(blocks, host_hash(url), known, hashes)))
+            for host, marked, blocks in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                out.append(" ".join(blocks if marked else own_blocks(blocks, host, starts, known)))
             columns = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
             yield pa.record_batch(columns, ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(
+    return found.select("page_id", "url", "host", "marked", "blocks").mapInArrow(
         texts, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     )
 
 
-def own_blocks(blocks: list[str], host: int, known: HashSet, hashes: WordHashes) -> list[str]:
+def own_blocks(blocks: list[str], host: int, starts: HashSet, known: HashSet) -> list[str]:
     """The blocks that the host does not repeat whole and its repeated runs do not cover."""
-    found, owner = runs(blocks, host, hashes)
-    hit = known.has(found.view(np.int64))
-    n = np.bincount(owner, minlength=len(blocks))
-    share = np.bincount(owner, weights=hit, minlength=len(blocks)) / np.maximum(n, 1)
-    whole = known.has(whole_blocks(blocks, host).view(np.int64))
-    return [b for b, s, w in zip(blocks, share, whole) if s < COVERED and not w]
+    data, begin, end, owner, runs = places(blocks)
+    hit = np.flatnonzero(starts.has(start_hashes(data, begin, end, host % (1 << 64))))
+    keys = [suffix_key(host, suffix(data, s, e)) for s, e in zip(begin[hit].tolist(), end[hit].tolist())]
+    hit = hit[known.has(np.array(keys, np.int64))]
+    share = np.bincount(owner[hit], minlength=len(blocks)) / np.maximum(runs, 1)
+    return [b for b, s in zip(blocks, share) if s < COVERED]

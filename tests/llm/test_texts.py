@@ -99,6 +99,29 @@ def test_short_blocks_that_a_host_repeats_go(spark):
     assert [r.text for r in extract_text(pages).sort("page_id").collect()] == [*own, "Subscribe to our letter"]
 
 
+def test_every_place_of_a_block_counts(spark):
+    """A passage that a host repeats behind each page's own first word covers the block, whichever places it has."""
+    rng = random.Random(3)
+    rows = []
+    for h in range(20):
+        notice = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(28))
+        rows += [(4 * h + p, f"http://h{h}/{p}", f"<div>n{p} {notice}</div><p>page {p} of {h}</p>") for p in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages.repartition(3)).collect()}
+    assert got == {4 * h + p: f"page {p} of {h}" for h in range(20) for p in range(4)}
+
+
+def test_long_tokens_and_copies(spark):
+    """Tokens longer than what is sorted; copies of one page are no repetition; a token more is another block."""
+    wide = " ".join(c * 300 for c in "abcdefghijklmn")
+    rows = [(p, "http://h/", f"<div>{wide}</div><p>own {p}</p><p>{wide[:-1]}{p}</p>") for p in range(4)]
+    rows += [(p, "http://i/", "<div>one page in four copies</div>") for p in range(4, 8)] + [(8, None, "<div>x</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    want = {p: f"own {p} {wide[:-1]}{p}" for p in range(4)} | {p: "one page in four copies" for p in range(4, 8)} | {8: "x"}
+    assert got == want
+
+
 def test_pieces_and_places(documents, odd, none):
     tokenizer = Tokenizer.from_file(PATH)
     for docs in (documents, odd):
