@@ -17,26 +17,15 @@ from millrace.workload.relational import _DAILY_SQL, AS_OF, order_lines
 
 
 BATCHES = 4
-
-
-def _folder(df, label):
-    """The table as a folder of BATCHES parts at least, dealt by what rows hold, so that every group of rows is spread over them.
-
-    Parts that are too large for a task are several files.
-    """
-    path = scratch_path(df.sparkSession, label)
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(BATCHES)))
-    dealt.hint("rebalance", "_part").write.partitionBy("_part").parquet(path)
-    return path
+ROWS = 1_000_000  # of a file
 
 
 def _arrivals(spark, d, name, df):
-    """The table as a stream of BATCHES batches of about as many files each."""
-    path = _folder(df, name)
-    files = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path).inputFiles()
-    if not files:
-        df.limit(0).write.mode("append").parquet(path)
-    return flows.file_arrivals(spark, path, df.schema, files_per_batch=max(1, -(-len(files) // BATCHES)))
+    """The table as a stream of BATCHES batches, dealt round, so that every group of rows is spread over them; a batch is as many files as it has ROWS."""
+    files = max(1, -(-df.count() // (BATCHES * ROWS)))
+    path = scratch_path(spark, name)
+    df.repartition(BATCHES * files).write.parquet(path)
+    return flows.file_arrivals(spark, path, df.schema, files_per_batch=files)
 
 
 def stream_silver(spark, d):

@@ -217,22 +217,19 @@ def test_documents_are_synced_into_the_control_table(spark, rows, tmp_path):
     assert {r.created_timestamp.day for r in sync.snapshot(spark, root, CONTROL).collect()} == {2}
 
 
-def test_arrivals_are_batches_of_files_that_a_task_can_read(spark):
+def test_arrivals_are_batches_of_files_that_a_task_can_read(spark, monkeypatch):
     """A larger table makes more files, not larger ones, and no more batches."""
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "64k")
-    try:
-        df = spark.range(0, 200_000, 1, 8).withColumn("value", F.xxhash64("id"))
-        found = streams._arrivals(spark, None, "arrivals", df)
-        root = scratch_path(spark, "arrived")
-        flows.append_flow(found.withColumn("file", F.input_file_name()), lambda d: d, root, scratch_path(spark, "checkpoint")).awaitTermination()
-    finally:
-        spark.conf.set(name, before)
-    got = spark.read.parquet(root)
-    assert got.select("id", "value").exceptAll(df).isEmpty() and got.count() == 200_000
-    sizes = [r["count"] for r in got.groupBy("file").count().collect()]
-    assert len(sizes) > 2 * streams.BATCHES and max(sizes) < 200_000 / streams.BATCHES
+    monkeypatch.setattr(streams, "ROWS", 1_000, raising=False)
+    df = spark.range(0, 19_000, 1, 8).withColumn("value", F.xxhash64("id"))
+    batches = []
+    found = streams._arrivals(spark, None, "arrivals", df).withColumn("file", F.input_file_name())
+    keep = lambda batch, number: batches.append(batch.collect())
+    found.writeStream.foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == streams.BATCHES
+    rows = [r for batch in batches for r in batch]
+    assert sorted((r.id, r.value) for r in rows) == sorted((r.id, r.value) for r in df.collect())
+    assert len({r.file for r in rows}) == 20
     empty = streams._arrivals(spark, None, "arrivals", df.limit(0))
-    flows.append_flow(empty, lambda d: d, root + "-none", scratch_path(spark, "checkpoint")).awaitTermination()
-    assert spark.read.parquet(root + "-none").count() == 0
+    root = scratch_path(spark, "none")
+    flows.append_flow(empty, lambda d: d, root, scratch_path(spark, "checkpoint")).awaitTermination()
+    assert spark.read.parquet(root).count() == 0
