@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -108,6 +109,28 @@ def test_one_bucket():
     assert repeated_strings(rows, 4) == wanted
 
 
+def test_results_are_made_in_slices(spark, monkeypatch):
+    texts = [b"x" * n for n in (3, 9, 0, 30, 2)] + [None, b"y"]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    monkeypatch.setattr(suffix_dedup, "SLICE", 10)
+    parts = [part.to_pydict()["doc_id"] for part in suffix_dedup.slices(batch, 1)]
+    assert parts == [[0, 1], [2, 3], [4, 5, 6]]
+    assert [len(part) for part in suffix_dedup.slices(batch.slice(0, 0), 1)] == [0]
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcd", k=60)) for _ in range(30)] + [None, ""]
+    texts += [t and t[5:50] for t in texts]
+    assert found(spark, texts, 12, parts=2) == brute(texts, 12)
+
+
+@pytest.mark.parametrize("cast, name, back", [("string", "body", 5), ("binary", "body", 5), ("string", "kept", 4)])
+def test_texts_travel_once(spark, cast, name, back):
+    docs = spark.createDataFrame([(1, "12345678"), (2, "12345678"), (3, None)], "doc_id long, text string")
+    rows = without_repeats(docs.select("doc_id", F.col("text").cast(cast).alias(name)), name, length=4)
+    assert rows._jdf.queryExecution().analyzed().children().apply(0).output().size() == 2
+    assert len(rows.columns) == back
+    assert sorted((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in rows.collect()) == [(1, 8, b""), (2, 8, b""), (3, 0, b"")]
+
+
 def test_odd_tables(spark, odd, none):
     assert without_repeats(none).collect() == []
     docs = odd.withColumn("spans", F.lit("old")).withColumn("bytes", F.lit("x")).withColumn("n", F.lit(1))
