@@ -374,7 +374,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     boilerplate, has an empty text. Pages with a NULL url form one host; repeated rows are
     extracted each; other columns are not read; an empty table gives no rows.
     """
-    found = stage(parsed(pages), "blocks")
+    found = stage(parsed(pages), "blocks", codec="zstd")  # the most that this keeps on disk
     starts = hash_set(shared_starts(found), "shared-starts")
     known = hash_set(repeated_suffixes(stage(suffix_rows(found, starts), "suffixes")), "repeated-suffixes")
 

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from millrace.llm import packing, secrets
 from millrace.llm.html_text import blocks_of, extract_text
+from millrace.sources import staging
 from millrace.sources.tables import scan_parquet
 from tests.llm.conftest import FOLDER
 
@@ -111,6 +112,16 @@ def test_every_place_of_a_block_counts(spark):
     assert got == {4 * h + p: f"page {p} of {h}" for h in range(20) for p in range(4)}
 
 
+def test_staged_blocks_are_smaller_than_their_text(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(3000)]
+    pages = [(i, f"https://h.org/{i}", "<article>" + " ".join(rng.choices(words, k=300)) + "</article>") for i in range(1000)]
+    monkeypatch.setattr(staging, "scratch_root", lambda spark: str(tmp_path))
+    found = extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2))
+    staged = sum(f.stat().st_size for f in tmp_path.glob("blocks-*/*.parquet"))
+    assert staged < 0.55 * found.agg(F.sum("n_chars")).first()[0]
+
+
 def test_long_tokens_and_copies(spark):
     """Tokens longer than what is sorted; copies of one page are no repetition; a token more is another block."""
     wide = " ".join(c * 300 for c in "abcdefghijklmn")
