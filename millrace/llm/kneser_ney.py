@@ -26,14 +26,15 @@ from millrace.llm.hash_files import HashSet, among
 from millrace.llm.shared import mapped, release, save, shared_folder, tidy
 from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 
-# Bytes of text that a shard stands for, and that a task holds as arrays at once.
-SHARD_BYTES = 4_000_000
-TRAIN_BLOCK, SCORE_BLOCK = 12_000_000, 2_000_000
+# Bytes of text that a shard stands for: every block of texts meets every shard, so beyond
+# MANY shards of the small size they grow, up to the large one.
+SHARD_BYTES, LARGE_SHARD_BYTES, MANY = 4_000_000, 16_000_000, 512
+# Bytes of text that a task holds as arrays at once, and pairs that it merges at once.
+TRAIN_BLOCK, SCORE_BLOCK, MERGE_ROWS = 12_000_000, 2_000_000, 1_000_000
 
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
 STATS = np.dtype([("c", "<f8"), ("total", "<f8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("pred", "<u4")])
 WORD = np.dtype([("key", "<u8"), *[(n, STATS[n]) for n in STATS.names]])
-OPEN = 2_000  # files that a task keeps mapped
 LOW = 6  # bytes of a word's hash that travel and are compared
 MASK = np.uint64((1 << 8 * LOW) - 1)
 
@@ -64,6 +65,11 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def shards_for(size: int) -> int:
+    """Shards of a model of `size` bytes of text."""
+    return max(4, min(-(-size // SHARD_BYTES), max(MANY, -(-size // LARGE_SHARD_BYTES))))
+
+
 def low_bytes(values: np.ndarray) -> np.ndarray:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]
 
@@ -80,14 +86,34 @@ def packed_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     return np.int64(len(v)).tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
 
-def unpacked_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-    v, w = (from_low(np.frombuffer(blob, np.uint8, k * LOW, at + i * k * LOW).reshape(k, LOW)) for i in (0, 1))
-    n = np.frombuffer(blob, np.uint8, k, at + 2 * k * LOW).astype(np.uint32)
-    n[n == 255] = np.frombuffer(blob, "<u4", -1, at + 2 * k * LOW + k)
+def size_of(blob: bytes) -> int:
+    """Packed pairs."""
+    return int(np.frombuffer(blob, np.int64, 1)[0])
+
+
+def unpacked_pairs(blob: bytes, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs from start to end, all if not given."""
+    k, at = size_of(blob), 8
+    end = k if end is None else end
+    v, w = (
+        from_low(np.frombuffer(blob, np.uint8, (end - start) * LOW, at + (i * k + start) * LOW).reshape(-1, LOW))
+        for i in (0, 1)
+    )
+    small = np.frombuffer(blob, np.uint8, end, at + 2 * k * LOW)
+    n = small[start:].astype(np.uint32)
+    large = n == 255
+    if large.any():
+        before = np.count_nonzero(small[:start] == 255)
+        n[large] = np.frombuffer(blob, "<u4", before + np.count_nonzero(large), at + 2 * k * LOW + k)[before:]
     return v, w, n
 
 
+def cuts_of(blob: bytes, first: int, parts: int, shards: int) -> np.ndarray:
+    """Where each of `parts` of the shards begins, from the first on, in packed pairs sorted by key; and the end."""
+    v, w, _ = unpacked_pairs(blob)
+    return np.searchsorted(shard_of(mixed(v, w), shards), np.arange(first, first + parts + 1, dtype=np.uint64))
+
+
 def blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes; a longer text is a range of its own."""
     start, held = 0, 0
@@ -113,12 +139,38 @@ def pairs_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     return v, w, starts
 
 
-def grouped(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+def sorting(hashes: np.ndarray) -> np.ndarray:
+    """What sorts spread hashes, equal ones in their order: sorted with their places in the low bits, faster than argsort."""
+    n = len(hashes)
+    if n < 2:
+        return np.arange(n)
+    low, mask = hashes.min(), np.uint64((1 << n.bit_length()) - 1)
+    spare = 64 - int(hashes.max() - low).bit_length()  # bits in which none differ
+    packed = hashes - low if spare == 64 else (hashes - low) << np.uint64(spare)
+    packed &= ~mask
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    packed &= mask
+    order = packed.view(np.int64)
+    found = hashes[order]
+    # Hashes that differ in the replaced bits alone may stand in the wrong order; among millions hardly any do.
+    return np.argsort(hashes, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
+def grouped(keys: np.ndarray, order: np.ndarray | slice) -> np.ndarray:
     """Where each run of equal keys starts in the given order."""
     k = keys[order]
     return np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
 
 
+def distinct(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct keys, sorted; the place of each key among them)."""
+    first = grouped(keys, order)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return keys[order[first]], place
+
+
 def train(
     texts: DataFrame, text: str = "text", label: str = "model", block: int = TRAIN_BLOCK,
     key: Column | None = None, found: HashSet | None = None,
@@ -130,7 +182,7 @@ def train(
     """
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    shards, folder = max(4, -(-size // SHARD_BYTES)), shared_folder(spark, label)
+    shards, folder = shards_for(size), shared_folder(spark, label)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,7 +191,7 @@ def train(
         def flush() -> pa.RecordBatch:
             v, w, _ = pairs_of(held, hashes)
             keys = mixed(v, w)
-            order = np.argsort(keys, kind="stable")
+            order = sorting(keys)
             first = grouped(keys, order)
             n = np.diff(np.append(first, len(order)))
             at = order[first]
@@ -161,27 +213,17 @@ def train(
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         shard = int(frame["shard"].iloc[0])
-        v, w, n = (np.concatenate(x) for x in zip(*map(unpacked_pairs, frame["data"])))
-        keys = mixed(v, w)
-        order = np.argsort(keys, kind="stable")
-        first = grouped(keys, order)
-        n = np.add.reduceat(n[order].astype(np.int64), first)
-        at = order[first]
-        del order, first
-        v, w, keys = v[at], w[at], keys[at]
-        small = np.minimum(n, 255).astype(np.uint8)
+        keys, small, large, words, totals = merged(list(frame["data"]), shard, shards)
         save(f"{folder}/pairs-{shard}.npy", keys)
         save(f"{folder}/counts-{shard}.npy", small)
-        save(f"{folder}/large-{shard}.npy", n[small == 255])
-        del keys, at
-        words = word_stats_of(v, w, n)
+        save(f"{folder}/large-{shard}.npy", large)
+        del keys, small, large
         owner = shard_of(mixed(words["key"], words["key"]), shards)
         order = np.argsort(owner, kind="stable")
         words, owner = words[order], owner[order]
         found, start = np.unique(owner, return_index=True)
         ends = np.append(start[1:], len(words))
-        totals = np.array([(n == i).sum() for i in (1, 2, 3, 4)] + [len(n), shard], np.float64)
-        rows = [(int(o), columnar(words[a:b])) for o, a, b in zip(found, start, ends)] + [(-1, totals.tobytes())]
+        rows = [(int(o), columnar(words[a:b])) for o, a, b in zip(found, start, ends)] + [(-1, np.append(totals, shard).tobytes())]
         del words, owner
         release()
         return pd.DataFrame(rows, columns=["shard", "data"])
@@ -193,7 +235,6 @@ def train(
             sums = np.append(totals[:, :5].sum(0), totals[:, 5])  # and the shards that they come from
         else:
             words = summed(np.concatenate([from_columnar(d) for d in frame["data"]]))
-            words = words[np.argsort(words["key"])]
             save(f"{folder}/words-{shard}.npy", np.ascontiguousarray(words["key"]))
             stats = np.empty(len(words), STATS)
             for name in STATS.names:
@@ -221,12 +262,46 @@ def train(
                  discounts(*low[4:]), discounts(*high[:4]), written)
 
 
+def merged(
+    blobs: list[bytes], shard: int, shards: int, rows: int = MERGE_ROWS,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all packed pairs of a shard, each blob sorted by key: sorted keys, counts up to 255, (places, counts) of
+    those of 255 and more, WORD of their words, and the pairs of count 1, 2, 3, 4 and of any.
+
+    One range of keys goes after the other, so that about `rows` are held as arrays at once.
+    """
+    parts = max(1, -(-sum(map(size_of, blobs)) // rows))
+    cuts = [cuts_of(b, shard * parts, parts, shards * parts) if parts > 1 else (0, None) for b in blobs]
+    found, totals, words, at = [], np.zeros(5), np.empty(0, WORD), 0
+    for part in range(parts):
+        v, w, n = map(np.concatenate, zip(*(unpacked_pairs(b, c[part], c[part + 1]) for b, c in zip(blobs, cuts))))
+        if not len(n):
+            continue
+        keys = mixed(v, w)
+        order = sorting(keys)
+        first = grouped(keys, order)
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        order = order[first]
+        v, w, keys = v[order], w[order], keys[order]
+        small = np.minimum(n, 255).astype(np.uint8)
+        large = np.flatnonzero(small == 255)
+        found.append((keys, small, np.array([at + large, n[large]])))
+        totals += [*((n == i).sum() for i in (1, 2, 3, 4)), len(n)]
+        at += len(n)
+        del order, first, keys
+        stats = word_stats_of(v, w, n)
+        words = summed(np.concatenate((words, stats))) if len(words) else stats
+    keys, small, large = zip(*found)
+    return np.concatenate(keys), np.concatenate(small), np.concatenate(large, axis=1), words, totals
+
+
 def summed(stats: np.ndarray) -> np.ndarray:
-    """One row for each key."""
-    order = np.argsort(stats["key"], kind="stable")
-    first = grouped(stats["key"], order)
+    """One row for each key, sorted."""
+    keys = np.ascontiguousarray(stats["key"])
+    order = sorting(keys)
+    first = grouped(keys, order)
     out = np.zeros(len(first), WORD)
-    out["key"] = stats["key"][order[first]]
+    out["key"] = keys[order[first]]
     if len(first):
         for name in STATS.names:
             out[name] = np.add.reduceat(stats[name][order], first)
@@ -236,7 +311,7 @@ def summed(stats: np.ndarray) -> np.ndarray:
 def word_stats_of(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
     """One row for each word of distinct pairs (v, w) of count n; either side is sorted by itself, to hold little at once."""
     def side(keys: np.ndarray, columns: dict) -> tuple[np.ndarray, dict]:
-        order = np.argsort(keys)
+        order = sorting(keys)
         first = grouped(keys, order)
         sums = {name: np.add.reduceat(of()[order], first, dtype=np.int64) for name, of in columns.items()}
         return keys[order[first]], sums
@@ -245,7 +320,9 @@ def word_stats_of(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
         side(v, {"total": lambda: n, "n1": lambda: n == 1, "n2": lambda: n == 2, "n3": lambda: n >= 3}),
         side(w, {"c": lambda: n, "pred": lambda: np.ones(len(n), np.uint8)}),
     ]
-    found = np.union1d(sides[0][0], sides[1][0])
+    found = np.concatenate((sides[0][0], sides[1][0]))
+    found.sort()
+    found = found[grouped(found, slice(None))]
     out = np.zeros(len(found), WORD)
     out["key"] = found
     for keys, sums in sides:
@@ -278,58 +355,57 @@ class Scorer:
     def __init__(self, model: Model):
         self.m, self.hashes, self.open = model, WordHashes(), {}
 
-    def part(self, name: str, shard: int, kind) -> np.ndarray:
+    def part(self, name: str, shard: int, empty: np.ndarray) -> np.ndarray:
         """An array of a shard; one that was written and is missing is an error."""
         key = name, shard
         if key not in self.open:
-            if len(self.open) >= OPEN:
-                self.open.clear()
             there = shard in self.m.written["words" if name in ("words", "stats") else "pairs"]
-            self.open[key] = mapped(f"{self.m.folder}/{name}-{shard}.npy") if there else np.empty(0, kind)
+            self.open[key] = np.asarray(mapped(f"{self.m.folder}/{name}-{shard}.npy")) if there else empty
         return self.open[key]
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        needles, found = keys[order], np.zeros(len(keys))
-        owner = shard_of(needles, self.m.shards)
-        edges = np.searchsorted(owner, np.arange(self.m.shards + 1, dtype=np.uint64))
-        for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            known = self.part("pairs", shard, np.uint64)
-            if a == b or not len(known):
+    def found(self, name: str, hashes: np.ndarray, needles: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, which needles it holds, where) of distinct needles, by shards of their hashes; either sorted in its shard."""
+        edges = np.searchsorted(shard_of(hashes, self.m.shards), np.arange(self.m.shards + 1, dtype=np.uint64)).tolist()
+        for shard, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a == b:
                 continue
-            at = np.minimum(np.searchsorted(known, needles[a:b]), len(known) - 1)
-            hit = known[at] == needles[a:b]
-            small = self.part("counts", shard, np.uint8)
-            n = np.where(hit, small[at], 0).astype(np.float64)
-            if (n == 255).any():
-                large = np.flatnonzero(small == 255)
-                full = n == 255
-                n[full] = self.part("large", shard, np.int64)[np.searchsorted(large, at[full])]
-            found[order[a:b]] = n
-        return found
+            known = self.part(name, shard, np.empty(0, np.uint64))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, needles[a:b]), len(known) - 1)
+                hit = np.flatnonzero(known[at] == needles[a:b])
+                yield shard, hit + a, at[hit]
+
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        needles, place = distinct(keys, sorting(keys))
+        counts = np.zeros(len(needles))
+        for shard, mine, at in self.found("pairs", needles, needles):
+            n = self.part("counts", shard, np.empty(0, np.uint8))[at].astype(np.float64)
+            full = n == 255
+            if full.any():
+                places, large = self.part("large", shard, np.empty((2, 0), np.int64))
+                n[full] = large[np.searchsorted(places, at[full])]
+            counts[mine] = n
+        return counts[place]
 
     def word_stats(self, words: np.ndarray) -> np.ndarray:
         """STATS of sorted distinct words."""
         out = np.zeros(len(words), STATS)
-        owner = shard_of(mixed(words, words), self.m.shards)
-        order = np.argsort(owner, kind="stable")
-        edges = np.searchsorted(owner[order], np.arange(self.m.shards + 1, dtype=np.uint64))
-        for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            known = self.part("words", shard, np.uint64)
-            if a == b or not len(known):
-                continue
-            mine = order[a:b]
-            at = np.minimum(np.searchsorted(known, words[mine]), len(known) - 1)
-            hit = known[at] == words[mine]
-            out[mine[hit]] = self.part("stats", shard, STATS)[at[hit]]
+        hashes = mixed(words, words)
+        order = np.argsort(shard_of(hashes, self.m.shards), kind="stable")
+        for shard, mine, at in self.found("words", hashes[order], words[order]):
+            out[order[mine]] = self.part("stats", shard, np.empty(0, STATS))[at]
         return out
 
     def __call__(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of some texts."""
         m = self.m
         v, w, starts = pairs_of(texts, self.hashes)
-        words, place = np.unique(np.concatenate((v, w)), return_inverse=True)
-        stats, (pv, pw) = self.word_stats(words), np.split(place, 2)
+        both = np.append(w, v[:1])  # a text begins after START, which is no word
+        words, place = distinct(both, sorting(both))
+        pw, pv = place[:-1], np.empty(len(w), place.dtype)
+        pv[1:], pv[starts] = pw[:-1], place[-1]
+        stats, n = self.word_stats(words), self.pair_counts(mixed(v, w))
+        del v, w, both, place
         pred, d = stats["pred"].astype(np.float64), (0.0, *m.low)
         mass = sum(a * b for a, b in zip(m.low, m.singles))
         each = (pred - np.take(d, np.minimum(pred, 3).astype(int))) / max(m.pairs, 1)
@@ -337,12 +413,11 @@ class Scorer:
         total, d = stats["total"], (0.0, *m.high)
         left = sum(a * stats[n] for a, n in zip(m.high, ("n1", "n2", "n3")))
         gamma = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-        n = self.pair_counts(mixed(v, w))
-        higher = (n - np.take(d, np.minimum(n, 3).astype(int))) / np.maximum(total[pv], 1)
+        higher = (n - np.take(d, np.minimum(n, 3).astype(int))) / np.maximum(total, 1)[pv]
         score = np.log10(higher + gamma[pv] * lower[pw])
         c = stats["c"]
         base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.words + 1)))[pw]
-        tokens = np.diff(np.append(starts, len(w)))
+        tokens = np.diff(np.append(starts, len(pw)))
         return {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64)[pw], starts),
                 "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts)}
 
@@ -352,9 +427,12 @@ SCORES = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float6
 
 def scored(
     docs: DataFrame, model: Model, text: str = "text", names: Sequence[str] = tuple(SCORES),
-    key: Column | None = None, found: HashSet | None = None,
+    key: Column | None = None, found: HashSet | None = None, block: int = SCORE_BLOCK,
 ) -> DataFrame:
-    """All columns of docs and the chosen scores, of the rows whose key is found if a set is given; nothing is shuffled."""
+    """All columns of docs and the chosen scores, of the rows whose key is found if a set is given; nothing is shuffled.
+
+    block: bytes of text that a task looks up at once; each block meets every shard of the model.
+    """
     clash = set(names) & set(docs.columns)
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
@@ -364,7 +442,7 @@ def scored(
         scorer = Scorer(model)
         for batch in among(batches, found):
             texts = texts_of(batch.column(place))
-            for a, b in blocks(texts, SCORE_BLOCK):
+            for a, b in blocks(texts, block):
                 scores = scorer(texts[a:b])
                 extra = [pa.array(scores[n], SCORES[n]) for n in names]
                 kept = batch.slice(a, b - a)
