@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -30,7 +31,8 @@ from millrace.llm.words import END, START, WordHashes, mixed, texts_of
 # MANY shards of the small size they grow, up to the large one.
 SHARD_BYTES, LARGE_SHARD_BYTES, MANY = 4_000_000, 16_000_000, 512
 # Bytes of text that a task holds as arrays at once, and pairs that it merges at once.
-TRAIN_BLOCK, SCORE_BLOCK, MERGE_ROWS = 12_000_000, 2_000_000, 1_000_000
+TRAIN_BLOCK, SCORE_BLOCK, MERGE_ROWS = 12_000_000, 2_000_000, 500_000
+TEXTS = 500  # texts of a batch that become Python objects at once
 
 PAIR = np.dtype([("v", "<u8"), ("w", "<u8"), ("n", "<u4")])
 STATS = np.dtype([("c", "<f8"), ("total", "<f8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("pred", "<u4")])
@@ -114,16 +116,16 @@ def cuts_of(blob: bytes, first: int, parts: int, shards: int) -> np.ndarray:
     return np.searchsorted(shard_of(mixed(v, w), shards), np.arange(first, first + parts + 1, dtype=np.uint64))
 
 
-def blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
+def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes; a longer text is a range of its own."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        held += size + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def pairs_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,12 +204,13 @@ def train(
             return pa.record_batch([pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "data"])
 
         for batch in among(batches, found):
-            for value in texts_of(batch.column(0)):
-                held.append(value)
-                held_bytes += len(value) + 1
-                if held_bytes >= block:
-                    yield flush()
-                    held, held_bytes = [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                for value in texts_of(batch.column(0).slice(at, TEXTS)):
+                    held.append(value)
+                    held_bytes += len(value) + 1
+                    if held_bytes >= block:
+                        yield flush()
+                        held, held_bytes = [], 0
         if held:
             yield flush()
 
@@ -441,11 +444,11 @@ def scored(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in among(batches, found):
-            texts = texts_of(batch.column(place))
-            for a, b in blocks(texts, block):
-                scores = scorer(texts[a:b])
-                extra = [pa.array(scores[n], SCORES[n]) for n in names]
+            sizes = pc.binary_length(batch.column(place).cast(pa.binary())).fill_null(0).to_pylist()
+            for a, b in blocks(sizes, block):
                 kept = batch.slice(a, b - a)
+                scores = scorer(texts_of(kept.column(place)))
+                extra = [pa.array(scores[n], SCORES[n]) for n in names]
                 yield pa.record_batch([*kept.columns, *extra], [*columns, *names])
 
     schema = StructType(list(docs.schema.fields))
